@@ -33,7 +33,7 @@ def lenient_strings(value: Column) -> Column:
 
 
 def split_trim(value: Column) -> Column:
-    return F.transform(F.split(value, ","), F.trim)
+    return F.transform(F.split(value, ","), lambda x: F.trim(x))
 
 
 def surrogate_key(*parts: Column) -> Column:
