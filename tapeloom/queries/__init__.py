@@ -1,2 +1,2 @@
-from tapeloom.queries import bars, news, warehouse  # noqa: F401
+from tapeloom.queries import bars, io, news, warehouse  # noqa: F401
 from tapeloom.queries.registry import ORACLE, QUERIES  # noqa: F401
