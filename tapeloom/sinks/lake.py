@@ -129,7 +129,8 @@ def compact(
     salt = F.lit(0)
     if many:
         counts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-        salt = F.floor(F.rand(17) * F.coalesce(F.try_element_at(counts, text), F.lit(1)))
+        at = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+        salt = F.pmod(at, F.coalesce(F.try_element_at(counts, text), F.lit(1)).cast("long"))
     staged = f"{path.rstrip('/')}/_compacting"
     rows.withColumn("_salt", salt).repartition(sum(todo.values()), text, "_salt").drop("_salt").write.mode(
         "overwrite"
