@@ -68,6 +68,7 @@ def process_batch(messages: DataFrame, batch_id: int, base: str) -> None:
     days = news.select("date").distinct()
 
     def stored(name: str, ddl: str) -> DataFrame:
+        # One row per calendar day at most, whatever the batch holds; it prunes the partitions.
         return table(spark, base, name, ddl).join(F.broadcast(days), "date", "left_semi")
 
     order = [F.asc("time_published"), F.asc("url")]
