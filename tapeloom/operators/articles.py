@@ -229,8 +229,7 @@ def ticker_sentiment_report(unique_mentions: DataFrame, items: Column, start: Co
     n = F.count(s)
     positive, negative = F.count_if(s > 0.15), F.count_if(s < -0.15)
     share = lambda x: half_up(x / n, 2)
-    return unique_mentions.groupBy("ticker").agg(
-        F.any_value(items).alias("news_count"),
+    report = unique_mentions.groupBy("ticker").agg(
         half_up(F.avg(s), 4).alias("avg_sentiment"),
         half_up(F.avg("relevance"), 4).alias("avg_relevance"),
         half_up(F.avg("weighted_score"), 4).alias("avg_weighted_sentiment"),
@@ -241,9 +240,8 @@ def ticker_sentiment_report(unique_mentions: DataFrame, items: Column, start: Co
         share(positive).alias("positive_ratio"),
         share(negative).alias("negative_ratio"),
         share(n - positive - negative).alias("neutral_ratio"),
-        F.any_value(start).alias("window_start"),
-        F.any_value(end).alias("window_end"),
     )
+    return report.select("*", items.alias("news_count"), start.alias("window_start"), end.alias("window_end"))
 
 
 def sentiment_accumulation(enriched: DataFrame, *keys: str | Column) -> DataFrame:

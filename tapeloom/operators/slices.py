@@ -31,16 +31,11 @@ def with_halo(df: DataFrame, key: str, order: Sequence[str], rows: int, slice_of
     """
     sliced = df.withColumn(SLICE, slice_of)
     latest_first = W.partitionBy(key, SLICE).orderBy(*[F.desc(c) for c in order])
-    tails = sliced.withColumn("_back", F.row_number().over(latest_first)).filter(F.col("_back") <= rows)
-    tails = tails.withColumn("_pos", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-
-    starts = tails.groupBy(key, SLICE).agg((F.min("_pos") - 1).alias("_before"))
-    wanted = starts.filter(F.col("_before") > 0).select(
-        key,
-        SLICE,
-        F.explode(F.sequence(F.greatest(F.col("_before") - rows + 1, F.lit(1)), F.col("_before"))).alias("_pos"),
-    )
-    halo = tails.drop(SLICE, "_back").join(wanted, [key, "_pos"]).drop("_pos")
+    tails = sliced.withColumn("_back", F.row_number().over(latest_first)).filter(F.col("_back") <= rows).drop("_back")
+    # A slice needs a row exactly if it begins within the next ``rows`` rows of the tails.
+    ahead = W.partitionBy(key).orderBy(*order).rowsBetween(1, rows)
+    later = F.array_except(F.collect_set(SLICE).over(ahead), F.array(SLICE))
+    halo = tails.withColumn("_later", later).withColumn(SLICE, F.explode("_later")).drop("_later")
     return sliced.withColumn(HALO, F.lit(False)).unionByName(halo.withColumn(HALO, F.lit(True)))
 
 

@@ -143,11 +143,11 @@ def mlx7(v: Views):
 _MONTH = "1998-06-01"
 _MONTH_SQL = (
     RETURNS + f", targets AS (SELECT ticker, CAST(day AS DATE) AS td FROM (SELECT DISTINCT ticker FROM daily) x CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{_MONTH}', TIMESTAMP '1998-06-30', INTERVAL 1 DAY)) AS day) y), "
-    "reach AS (SELECT t.ticker, td, min(d) AS first_d, max_by(c, d) AS close FROM targets t JOIN daily b ON t.ticker = b.ticker AND b.d < td AND b.d >= td - 29 GROUP BY t.ticker, td), "
+    "reach AS (SELECT t.ticker, td, min(d) AS first_d, max_by(c, d) AS close FROM targets t JOIN daily b ON t.ticker = b.ticker AND b.d < td AND b.d >= td - 30 GROUP BY t.ticker, td), "
     f"vec AS (SELECT ticker, d, o_ret, min(d) OVER (PARTITION BY ticker ORDER BY d ROWS 6 PRECEDING) AS oldest, count(*) OVER (PARTITION BY ticker ORDER BY d ROWS 6 PRECEDING) AS k FROM returns), "
-    "newest AS (SELECT t.ticker, td, max_by(o_ret, d) AS ret, max_by(oldest, d) AS oldest FROM targets t JOIN vec b ON t.ticker = b.ticker AND b.d < td AND b.d >= td - 29 AND k = 7 GROUP BY t.ticker, td), "
+    "newest AS (SELECT t.ticker, td, max_by(o_ret, d) AS ret, max_by(oldest, d) AS oldest FROM targets t JOIN vec b ON t.ticker = b.ticker AND b.d < td AND b.d >= td - 30 AND k = 7 GROUP BY t.ticker, td), "
     "priced AS (SELECT ticker, td, close * (1 + ret) AS pred FROM reach JOIN newest USING (ticker, td) WHERE oldest > first_d), "
-    "ahead AS (SELECT t.ticker, td, min(d) AS nd, min_by(c, d) AS nc, min_by(v, d) AS nv FROM targets t JOIN daily b ON t.ticker = b.ticker AND b.d >= td AND b.d < td + 7 GROUP BY t.ticker, td)"
+    "ahead AS (SELECT t.ticker, td, min(d) AS nd, min_by(c, d) AS nc, min_by(v, d) AS nv FROM targets t JOIN daily b ON t.ticker = b.ticker AND b.d > td AND b.d < td + 7 GROUP BY t.ticker, td)"
 )
 
 
