@@ -32,6 +32,11 @@ def news_documents(raw: DataFrame, time_update: Column) -> DataFrame:
     return raw.select(content_key(F.col("title"), F.col("url"), t).alias("_id"), *kept, t.alias("time_update"))
 
 
+def _given(df: DataFrame, name: str) -> Column:
+    """The column, or NULL where the documents lack it."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
 def _parsed(df: DataFrame, name: str, schema) -> Column:
     if name not in df.columns:
         return F.array().cast(schema)
@@ -46,7 +51,7 @@ def to_envelope(docs: DataFrame, message_id: Column | None = None, now: Column |
     prepared = docs.withColumn("_tickers", tickers)
 
     def field(name: str, default: str = "") -> Column:
-        return (F.coalesce(F.col(name), F.lit(default)) if name in docs.columns else F.lit(default)).alias(name)
+        return F.coalesce(_given(docs, name), F.lit(default)).alias(name)
 
     source_id = F.coalesce(F.col("_id"), F.lit(""))
     key = nf.primary_ticker(F.col("_tickers"))
@@ -60,7 +65,7 @@ def to_envelope(docs: DataFrame, message_id: Column | None = None, now: Column |
             _parsed(docs, "authors", schemas.NEWS_DATA["authors"].dataType).alias("authors"),
             field("summary"), field("source"), field("category_within_source"), field("source_domain"),
             _parsed(docs, "topics", schemas.TOPICS).alias("topics"),
-            safe_double(F.col("overall_sentiment_score")).alias("overall_sentiment_score"),
+            safe_double(_given(docs, "overall_sentiment_score")).alias("overall_sentiment_score"),
             field("overall_sentiment_label", "Neutral"),
             F.col("_tickers").alias("ticker_sentiment"),
         ).alias("data"),

@@ -72,7 +72,6 @@ def apply_documents(target: DataFrame, docs: DataFrame, key: str, order: Sequenc
 
 def clamp(df: DataFrame, column: str, ceiling) -> DataFrame:
     """Values above the ceiling are set to it; ``was_clamped`` tells which."""
-    limit = F.lit(ceiling)
-    return df.withColumn("was_clamped", F.coalesce(F.col(column) > limit, F.lit(False))).withColumn(
-        column, F.least(F.col(column), limit) if ceiling is not None else F.col(column)
-    )
+    over = F.coalesce(F.col(column) > F.lit(ceiling), F.lit(False))
+    marked = df.withColumn("was_clamped", over)
+    return marked.withColumn(column, F.when(F.col("was_clamped"), F.lit(ceiling)).otherwise(F.col(column)))

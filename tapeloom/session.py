@@ -21,6 +21,8 @@ def build_session(app: str = "tapeloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.ui.enabled": "false",
+        # No Python call-site capture per column expression: building a plan gets much cheaper.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
