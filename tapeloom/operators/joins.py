@@ -25,35 +25,57 @@ def exchange_mic(name: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), name)
 
 
+def _nearest(
+    points: DataFrame, t: str, events: DataFrame, reach: Column, span_ms: int, forward: bool, payload: Column
+) -> DataFrame:
+    """Points with ``_found``: the payload of the nearest event ahead of or behind them.
+
+    Time is cut into slices of ``span_ms`` and each event is also placed in the slice from
+    which a point could look at it, so (ticker, slice) holds all a point can need; within it
+    one pass carries the nearest event to the points. No pairs are formed, and a hot ticker
+    is split by time. Events at a point's own time qualify in both directions. What lies
+    farther away than ``span_ms`` may or may not be found: callers drop it.
+    """
+    span = F.lit(span_ms)
+    home = F.floor(reach / span)
+    right = events.select(
+        "ticker", F.explode(F.array(home, home - 1 if forward else home + 1)).alias("_slice"),
+        reach.alias("_at"), F.lit(0).alias("_kind"), payload.alias("_event"),
+    )
+    left = points.select(
+        "ticker", F.floor(F.col(t) / span).alias("_slice"), F.col(t).alias("_at"), F.lit(1).alias("_kind"),
+        F.struct(*[F.col(c) for c in points.columns]).alias("_point"),
+    )
+    order = F.desc("_at") if forward else F.asc("_at")
+    w = W.partitionBy("ticker", "_slice").orderBy(order, "_kind").rowsBetween(W.unboundedPreceding, 0)
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.withColumn("_found", F.last("_event", ignorenulls=True).over(w)).filter(F.col("_kind") == 1)
+
+
 def next_bar(
     points: DataFrame, bars: DataFrame, t: str = "t", gap_ms: int = 1000, horizon_ms: int = 7 * DAY_MS,
-    fields=("t", "o", "h", "l", "c", "v"),
+    fields=("t", "o", "h", "l", "c", "v"), prefix: str = "next_",
 ) -> DataFrame:
     """For every point the first bar of its ticker in ``[t + gap, t + horizon]``, as ``next_*``.
 
-    Points without such a bar keep NULLs. Time is cut into slices as long as the horizon and
-    each bar is also placed in the slice before its own, so (ticker, slice) holds all a point
-    can need; within it one backward pass carries the nearest bar to the points. No pairs are
-    formed and a hot ticker is split by time.
+    Points without such a bar keep NULLs.
     """
-    names = points.columns
     payload = F.struct(*[F.col(f) for f in fields])
     # A bar qualifies for a point at p when bar.t - gap >= p.
-    reach = F.col("t") - gap_ms
-    sl = F.floor(reach / F.lit(horizon_ms))
-    right = bars.select(
-        "ticker", F.explode(F.array(sl, sl - 1)).alias("_slice"), reach.alias("_at"),
-        F.lit(0).alias("_kind"), payload.alias("_bar"),
-    )
-    left = points.select(
-        "ticker", F.floor(F.col(t) / F.lit(horizon_ms)).alias("_slice"), F.col(t).alias("_at"),
-        F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in names]).alias("_point"),
-    )
-    w = W.partitionBy("ticker", "_slice").orderBy(F.desc("_at"), "_kind").rowsBetween(W.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True)
-    found = both.withColumn("_next", F.last("_bar", ignorenulls=True).over(w)).filter(F.col("_kind") == 1)
-    within = F.col("_next.t") <= F.col("_at") + horizon_ms
-    return found.select("_point.*", *[F.when(within, F.col("_next")[f]).alias(f"next_{f}") for f in fields])
+    found = _nearest(points, t, bars, F.col("t") - gap_ms, horizon_ms, True, payload)
+    within = F.col("_found.t") <= F.col("_at") + horizon_ms
+    return found.select("_point.*", *[F.when(within, F.col("_found")[f]).alias(f"{prefix}{f}") for f in fields])
+
+
+def last_bar(
+    points: DataFrame, bars: DataFrame, t: str = "t", span_ms: int = 30 * DAY_MS,
+    fields=("t", "o", "h", "l", "c", "v"), prefix: str = "last_",
+) -> DataFrame:
+    """For every point the newest bar of its ticker in ``[t - span, t]``, as ``last_*``."""
+    payload = F.struct(*[F.col(f) for f in fields])
+    found = _nearest(points, t, bars, F.col("t"), span_ms, False, payload)
+    within = F.col("_found.t") >= F.col("_at") - span_ms
+    return found.select("_point.*", *[F.when(within, F.col("_found")[f]).alias(f"{prefix}{f}") for f in fields])
 
 
 def look_back(targets: DataFrame, bars: DataFrame, span_ms: int = 30 * DAY_MS) -> DataFrame:
@@ -70,9 +92,10 @@ def look_back(targets: DataFrame, bars: DataFrame, span_ms: int = 30 * DAY_MS) -
 
 
 def last_close_at_or_before(targets: DataFrame, bars: DataFrame, span_ms: int = 30 * DAY_MS) -> DataFrame:
-    """Reference price of each target: the newest close of its look-back."""
-    return look_back(targets, bars, span_ms).groupBy("ticker", "target_t").agg(
-        F.max_by("c", "t").alias("reference_close"), F.count(F.lit(1)).alias("bars_in_reach")
+    """Reference price of each target: the newest close of its look-back; targets without one are left out."""
+    found = last_bar(targets, bars, "target_t", span_ms, ("t", "c"))
+    return found.filter(F.col("last_t").isNotNull()).select(
+        *targets.columns, F.col("last_c").alias("reference_close"), F.col("last_t").alias("reference_t")
     )
 
 

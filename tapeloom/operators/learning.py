@@ -150,17 +150,15 @@ def vectors_as_of(targets: DataFrame, bars: DataFrame, returns: DataFrame) -> Da
 
     A vector counts only if all its days have a predecessor inside the look-back.
     """
-    day_ms = candles.DAY_MS
-    reach = joins.look_back(targets, bars).groupBy("ticker", "target_t").agg(
-        F.min("t").alias("_first_t"), F.max_by("c", "t").alias("reference_close")
-    )
-    vectors = trailing_vectors(returns).withColumn("t", F.unix_date("d").cast("long") * day_ms)
-    payload = F.struct("oldest_d", *FEATURES)
-    newest = joins.look_back(targets, vectors).groupBy("ticker", "target_t").agg(F.max_by(payload, "t").alias("x"))
-    enough = F.col("x.oldest_d") > F.timestamp_millis("_first_t").cast("date")
-    return reach.join(newest, ["ticker", "target_t"]).filter(enough).select(
-        "ticker", "target_t", "reference_close", *[F.col(f"x.{f}").alias(f) for f in FEATURES]
-    )
+    span = 30 * candles.DAY_MS
+    begun = targets.withColumn("_from", F.col("target_t") - span)
+    # First and last bar of the look-back, then the newest vector within it: three as-of lookups.
+    begun = joins.next_bar(begun, bars, "_from", 0, span, ("t",), "_first_").drop("_from")
+    priced = joins.last_close_at_or_before(begun, bars, span)
+    vectors = trailing_vectors(returns).withColumn("t", F.unix_date("d").cast("long") * candles.DAY_MS)
+    found = joins.last_bar(priced, vectors, "target_t", span, ("t", "oldest_d", *FEATURES), "")
+    enough = F.col("oldest_d") > F.timestamp_millis("_first_t").cast("date")
+    return found.filter(enough).select("ticker", "target_t", "reference_close", *FEATURES)
 
 
 def month_backtest(targets: DataFrame, scored: DataFrame, bars: DataFrame, prediction: str = "prediction") -> DataFrame:

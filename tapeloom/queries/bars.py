@@ -460,7 +460,7 @@ def joi9(v: Views):
 
 @query(
     "win14_reference_price",
-    f"WITH {BARS}, {_TARGETS} SELECT a.ticker, target_t, max_by(b.c, b.t) AS reference_close, count(*) AS bars_in_reach FROM targets a "
+    f"WITH {BARS}, {_TARGETS} SELECT a.ticker, target_t, max_by(b.c, b.t) AS reference_close, max(b.t) AS reference_t FROM targets a "
     f"JOIN bars b ON a.ticker = b.ticker AND b.t BETWEEN a.target_t - 2592000000 AND a.target_t GROUP BY a.ticker, target_t",
 )
 def win14(v: Views):

@@ -14,7 +14,7 @@ TARGET_FILE_BYTES = 256 * 1024 * 1024
 ROWS_PER_FILE = 2_000_000
 
 
-def spread_by(df: DataFrame, *partitions: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def spread_by(df: DataFrame, *partitions: str) -> DataFrame:
     """Bring rows of one output partition together without putting a big one into one task.
 
     AQE splits partitions of a rebalance that exceed the advisory size and joins small ones,

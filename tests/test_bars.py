@@ -95,6 +95,19 @@ def test_next_bar_against_loops(spark):
         assert (r.next_t, r.next_c) == (reach[0] if reach else (None, None))
 
 
+def test_last_bar_against_loops(spark):
+    rng = random.Random(6)
+    bars = list({t: ("A", t, float(i)) for i, t in enumerate(rng.randrange(90) * DAY for _ in range(25))}.values())
+    points = [("A", t) for t in range(0, 120 * DAY, 4 * DAY)] + [("B", 5 * DAY)]
+    got = joins.last_bar(
+        spark.createDataFrame(points, "ticker string, t long"), spark.createDataFrame(bars, "ticker string, t long, c double"),
+        fields=("t", "c")).collect()
+    assert len(got) == len(points)
+    for r in got:
+        reach = sorted((t, c) for k, t, c in bars if k == r.ticker and r.t - 30 * DAY <= t <= r.t)
+        assert (r.last_t, r.last_c) == (reach[-1] if reach else (None, None))
+
+
 def test_look_back_against_loops(spark):
     bars = [("A", i * DAY, float(i)) for i in range(100)]
     targets = [("A", 45 * DAY), ("A", 99 * DAY + 5)]
