@@ -103,9 +103,11 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Key values of ``child`` without a parent, and how many rows carry each.
 
     The child is counted per key first: a hot key crosses the network as one row per task.
+    An outer join with a filter keeps that order; an anti join would be moved below the count.
     """
     keys = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    return keys.join(parent.select(F.col(pk).alias("key")), "key", "left_anti")
+    known = parent.select(F.col(pk).alias("key"), F.lit(True).alias("_known"))
+    return keys.join(known, "key", "left").filter(F.col("_known").isNull()).drop("_known")
 
 
 def orphan_report(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:

@@ -109,6 +109,7 @@ def trailing_stats(
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     size = bucket * 1_000_000
+    start_of = lambda at: at - F.pmod(at, F.lit(size))
     base = ticks.withColumn("_us", us)
     p, v = F.col(price), F.col(volume).cast("double")
 
@@ -116,7 +117,7 @@ def trailing_stats(
     placed = (
         base.withColumn("_w", F.explode(copies))
         .withColumn("_at", F.col("_us") + F.col("_w") * 1_000_000)
-        .withColumn("_b", F.floor(F.col("_at") / F.lit(size)))
+        .withColumn("_b", start_of(F.col("_at")))
     )
     group = W.partitionBy(key, "_b")
     upto = group.orderBy("_at", "_w", tie).rowsBetween(W.unboundedPreceding, 0)
@@ -142,7 +143,7 @@ def trailing_stats(
     edges = placed.select("*", *columns).filter(F.col("_w") == 0)
 
     totals = (
-        base.withColumn("_b", F.floor(F.col("_us") / F.lit(size)))
+        base.withColumn("_b", start_of(F.col("_us")))
         .groupBy(key, "_b")
         .agg(
             F.count(p).alias("n"), F.sum(p).alias("s"), F.max(p).alias("hi"), F.min(p).alias("lo"),
@@ -151,7 +152,7 @@ def trailing_stats(
     )
     between = []
     for w in windows:
-        frame = W.partitionBy(key).orderBy("_b").rangeBetween(-(_covers(w, bucket) - 1), -1)
+        frame = W.partitionBy(key).orderBy("_b").rangeBetween(-(_covers(w, bucket) - 1) * size, -1)
         combine = {"n": F.sum, "s": F.sum, "hi": F.max, "lo": F.min, "v": F.sum, "f": F.first}
         between += [f(x).over(frame).alias(f"{x}_mid{w}") for x, f in combine.items()]
     middle = totals.select(key, "_b", *between)

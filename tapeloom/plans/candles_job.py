@@ -14,7 +14,6 @@ from tapeloom.sources.readers import lake_range
 
 def merge_dimension(spark: SparkSession, path: str, staged: DataFrame, key: str) -> None:
     """Insert what the dimension lacks; the first load creates it."""
-    lake_sink.recover_table(spark, path)
     if not paths.exists(spark, path):
         staged.dropDuplicates([key]).write.parquet(path)
         return

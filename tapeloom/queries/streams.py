@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tapeloom import schemas
 from tapeloom.functions import news as nf
-from tapeloom.functions import prices
 from tapeloom.functions.rounding import half_up
 from tapeloom.operators import articles as art
 from tapeloom.operators import candles, documents, ranking
@@ -15,9 +14,8 @@ from tapeloom.queries import bars as bar_queries
 from tapeloom.queries.registry import ORACLE, query
 from tapeloom.session import work_dir
 from tapeloom.sinks import lake as lake_sink
-from tapeloom.sinks import tables
 from tapeloom.streaming import sinks, sources, state, windows
-from tapeloom.views import BARS, DAILY_SENTIMENT_SELECT, MENTIONS, NEWS, TICKS, Views, label, r
+from tapeloom.views import BARS, DAILY_SENTIMENT_SELECT, MENTIONS, NEWS, TICKS, Views, r
 
 
 class StreamViews(Views):
@@ -267,7 +265,9 @@ def str18(v: Views):
 def job7(v: Views):
     out, path = work_dir(v.spark, "stream"), _envelope_topic(v, v.articles)
     live = _envelopes(v, path)
-    sinks.drain(news_stream_job.lake_rows(live), sinks.lake(f"{out}/lake", dead_path=f"{out}/dead"), f"{out}/c1")
+    sinks.drain(news_stream_job.lake_rows(live), sinks.lake(f"{out}/landing", dead_path=f"{out}/dead"), f"{out}/c1")
+    for _ in range(2):
+        lake_sink.publish_days(v.spark, f"{out}/landing", f"{out}/lake", "2024-01-01", "2024-02-01")
     sinks.drain(live, news_stream_job.into_tables(f"{out}/db"), f"{out}/c2")
     n = news_stream_job
     return documents.output_counts({

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom import schemas
 from tapeloom.functions.rounding import half_up
-from tapeloom.functions.text import surrogate_key
 from tapeloom.operators import articles as art
 from tapeloom.operators import candles, documents, joins, merge, ranking
 from tapeloom.plans import candles_job, companies_job, export_job, news_job

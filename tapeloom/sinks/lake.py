@@ -142,6 +142,17 @@ def compact(
     return len(todo)
 
 
+def publish_days(spark: SparkSession, landing: str, path: str, start: str, end: str) -> None:
+    """Days ``[start, end)`` of a stream's landing folder, one folder per batch, as compact lake days.
+
+    A day is always written from all its batches and replaces the day in the lake, so
+    publishing may be repeated, also after late batches.
+    """
+    d = F.col("ingest_date")
+    days = spark.read.parquet(landing).filter((d >= F.lit(start).cast("date")) & (d < F.lit(end).cast("date")))
+    write_lake(days.drop("batch_id"), path, mode="overwrite")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace an unpartitioned table, even one that ``df`` reads.
 

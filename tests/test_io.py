@@ -8,7 +8,6 @@ from tapeloom import schemas
 from tapeloom.operators import articles as art
 from tapeloom.operators import candles
 from tapeloom.plans import candles_job, companies_job, news_stream_job
-from tapeloom.queries.streams import StreamViews  # noqa: F401  (importable without data)
 from tapeloom.session import work_dir
 from tapeloom.sinks import lake, tables
 from tapeloom.sources import paths, readers
