@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tapeloom.functions.rounding import half_up, ratio
 from tapeloom.operators import indicators as ind
 
+# The processor travels to the executors by value: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CLOSE = T.StructType([T.StructField("c", T.DoubleType())])
 HISTORY_OUT = "ticker string, t long, c double, closes array<double>"
 

@@ -157,3 +157,16 @@ def test_anomalies(spark):
     assert anomaly(spark, [0.1] * 12, 0.8).reason == "no_variance"
     assert anomaly(spark, history, -0.8).direction == "drop"
     assert not math.isnan(r.z_score)
+
+
+def test_state_processor_needs_no_package_on_the_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = tmp_path / "processor"
+    blob.write_bytes(cloudpickle.dumps(state.CloseHistory(5, 3)))
+    code = f"import pickle; p = pickle.load(open({str(blob)!r}, 'rb')); print(p.keep, p.emit)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip().endswith("5 3"), done.stderr
