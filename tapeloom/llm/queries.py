@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import token_counts
-from tapeloom.llm.common import table
+from tapeloom.llm import mixing, sharding, token_counts
+from tapeloom.llm.common import table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,53 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_shards")
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = utf8("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shards(docs, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(coalesce(cast(doc_id AS VARCHAR), '')) AS h FROM documents),
+classed AS (
+  SELECT *, 8 * length(bin(size)) + ((size * 8) // (1::BIGINT << (length(bin(size)) - 1))) - 8 AS class,
+         cast('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS spread FROM sized),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1] AS weight FROM totals),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)::DOUBLE)
+            / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM weighed WINDOW before AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (
+  SELECT source, source_size, coalesce(least(cap::DOUBLE, weight *
+         (SELECT arg_min(level, cap::DOUBLE / weight) FROM levels WHERE level * weight <= cap)), cap::DOUBLE) AS target
+  FROM levels),
+ranked AS (
+  SELECT c.doc_id, c.size, c.source, g.source_size, g.target,
+         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
+         cast('0x' || substr(md5('7:' || coalesce(c.source, '')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u,
+         row_number() OVER (PARTITION BY c.source ORDER BY class DESC, spread, size DESC, h, doc_id NULLS FIRST) - 1 AS rank
+  FROM classed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       (size * least(floor(rate * (rank + 1) + u) - floor(rate * rank + u), ceil(rate)))::BIGINT AS taken
+FROM ranked
+"""
+
+
+@query("op4_source_mixing", OP4_SQL)
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.copies(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
