@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import mixing, sharding, token_counts
+from tapeloom.llm import exact_dedup, mixing, sharding, token_counts
 from tapeloom.llm.common import table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,22 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP9_SQL = """
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+same AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM whole GROUP BY text)
+SELECT w.doc_id, s.keep_id, s.group_size,
+       w.doc_id IS NOT DISTINCT FROM s.keep_id
+         AND row_number() OVER (PARTITION BY w.text, w.doc_id) = 1 AS kept,
+       sha256(w.text) AS text_sha256
+FROM whole w JOIN same s USING (text)
+"""
+
+
+@query("op9_exact_dedup", OP9_SQL)
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
