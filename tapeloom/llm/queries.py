@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, mixing, sharding, simhash, token_counts
+from tapeloom.llm import credential_scan, exact_dedup, mixing, sharding, simhash, token_counts
 from tapeloom.llm.common import table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,47 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP8_KIND = """
+SELECT row, key, owner, repository, {kind} AS kind, i,
+       cast(list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS INT) AS start,
+       m[i] AS hit, s[i] AS secret
+FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (
+  SELECT *, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS s,
+         regexp_split_to_array(text, '{pattern}') AS p FROM whole)) t
+"""
+OP8_SQL = f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id AS key, coalesce(text, '') AS text, source AS owner, lang AS repository FROM documents),
+hits AS ({" UNION ALL ".join(
+    OP8_KIND.format(kind=k, pattern=p.replace("'", "''"), group=g) for k, (p, g) in enumerate(
+        ((credential_scan.ASSIGN, 2), (credential_scan.ACCESS, 0), (credential_scan.HEX, 0))))}),
+base AS MATERIALIZED (
+  SELECT row, owner, repository, kind, start, start + length(hit) AS stop, start + length(hit) - length(secret) AS origin, secret
+  FROM hits WHERE kind > 0 OR length(secret) >= 6),
+held AS (
+  SELECT secret, count(DISTINCT coalesce(owner, chr(1))) AS owners,
+         count(DISTINCT coalesce(owner, chr(1)) || '/' || coalesce(repository, chr(1))) AS repositories FROM base GROUP BY secret),
+every AS (
+  SELECT row, kind, start, stop FROM base UNION ALL
+  SELECT row, CASE WHEN owners <= 2 AND repositories <= 4 THEN 3 ELSE 4 END, origin, stop FROM base JOIN held USING (secret)),
+told AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (kind = 4) AS n_example,
+         string_agg(names[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base,
+         string_agg(names[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'live', 'example'] AS names FROM every) GROUP BY row)
+SELECT key AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM whole LEFT JOIN told USING (row)
+"""
+
+
+@query("op8_secret_scan", OP8_SQL)
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_scan.scan(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 same AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM whole GROUP BY text)
