@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import credential_scan, exact_dedup, mixing, packing, sharding, simhash, token_counts
+from tapeloom.llm import credential_scan, exact_dedup, mixing, nearest, packing, sharding, simhash, token_counts
 from tapeloom.llm.common import table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2, ids=False)
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op7_exact_top_k", OP7_SQL)
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 OP8_KIND = """
 SELECT row, key, owner, repository, {kind} AS kind, i,
        cast(list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS INT) AS start,
