@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import credential_scan, exact_dedup, mixing, nearest, packing, sharding, simhash, token_counts
-from tapeloom.llm.common import table, utf8
+from tapeloom.llm import credential_scan, exact_dedup, mixing, nearest, packing, sharding, simhash, token_counts, toxicity
+from tapeloom.llm.common import held_out, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,6 +85,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2, ids=False)
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    test = held_out("doc_id", 3, 1)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, ~test))
+    return scored.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS row, vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
