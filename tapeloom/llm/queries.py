@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import credential_scan, exact_dedup, mixing, nearest, packing, sharding, simhash, token_counts, toxicity
+from tapeloom.llm import credential_scan, exact_dedup, mixing, nearest, packing, quality, sharding, simhash, token_counts, toxicity
 from tapeloom.llm.common import held_out, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    test = held_out("doc_id", 5, 0)
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels, ~test))
+    return scored.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
