@@ -206,8 +206,9 @@ def top_k(rows: DataFrame, query: Column, key: str = "vec_id", vector: str = "em
     first = ranked(index.visit(near, queries, batches, k), k)
     floors = first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
     radius = queries.select("q", F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")).alias("length2"))
-    radius = radius.join(floors, "q", "left").select("q", "floor", F.sqrt(F.greatest(
-        F.col("length2") + F.lit(stats["reach2"]) - 2 * F.col("floor").cast("double"), F.lit(0.0))).alias("radius"))
+    radius = radius.join(floors, "q", "left").select("q", "floor", F.when(
+        F.col("floor").isNotNull(), F.sqrt(F.greatest(
+            F.col("length2") + F.lit(stats["reach2"]) - 2 * F.col("floor").cast("double"), F.lit(0.0)))).alias("radius"))
 
     # Every annulus that the radius reaches; the slack covers the rounding of distances.
     slack = 1e-6 * (1 + stats["reach2"]) ** 0.5
