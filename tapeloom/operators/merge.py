@@ -63,11 +63,22 @@ def set_fields(target: DataFrame, updates: DataFrame, key: str, order: Sequence[
     )
 
 
-def apply_documents(target: DataFrame, docs: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """As ``set_fields``; documents without a key are plain inserts."""
-    keyed = set_fields(target, docs.filter(F.col(key).isNotNull()), key, order)
-    loose = docs.filter(F.col(key).isNull()).select(*[c for c in docs.columns if c in target.columns])
-    return keyed.unionByName(loose, allowMissingColumns=True)
+def with_keys(docs: DataFrame, key: str, batch: str) -> DataFrame:
+    """Documents without a key get one from the batch's name, their content and their number among equals.
+
+    Equal documents are counted, not ranked, and a repeated batch gives the same keys.
+    """
+    rest = [c for c in docs.columns if c != key]
+    loose = docs.filter(F.col(key).isNull()).groupBy(*rest).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = loose.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    content = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    named = F.concat_ws("-", F.lit("auto"), F.lit(batch), content, F.col("_i").cast("string"))
+    return docs.filter(F.col(key).isNotNull()).unionByName(numbered.withColumn(key, named).drop("_n", "_i"))
+
+
+def apply_documents(target: DataFrame, docs: DataFrame, key: str, order: Sequence[Column], batch: str = "0") -> DataFrame:
+    """As ``set_fields``; documents without a key are inserts of the batch, once however often it is applied."""
+    return set_fields(target, with_keys(docs, key, batch), key, order)
 
 
 def clamp(df: DataFrame, column: str, ceiling) -> DataFrame:

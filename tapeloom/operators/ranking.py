@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OFFSET_LIMIT = 100_000
-
 
 def leaderboard(values: DataFrame, name: str, value: str, ts: str, n: int = 10, ascending: bool = False) -> DataFrame:
     """Best ``n`` tickers by their latest value; ties follow the name, in the same direction."""
@@ -34,22 +32,14 @@ def live_latest(df: DataFrame, value: str, ts: str, as_of: Column, ttl_seconds:
     return latest.filter(F.col(ts) > as_of - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
-def page(
-    df: DataFrame, order: Sequence[str], page_id: int, n: int = 1000, bucket: Column | None = None
-) -> DataFrame:
+def page(df: DataFrame, order: Sequence[str], page_id: int, bucket: Column, n: int = 1000) -> DataFrame:
     """One page of the ordered rows, with ``page_id`` and ``page_count`` on every row.
 
-    Near pages are a top-k of offset + n rows. That set would grow with the page number, so
-    beyond ``OFFSET_LIMIT`` rows the position is found through ``bucket``, a column that
-    rises with ``order``: a count per bucket tells which buckets hold the page, and only
-    those are ranked.
+    ``bucket`` is a column that rises with ``order``: a count per bucket tells which buckets
+    hold the page, and only those are ranked, however deep the page is.
     """
-    skip = (page_id - 1) * n
     pages = F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(n)).cast("long")
-    if bucket is None or skip + n <= OFFSET_LIMIT:
-        rows = df.orderBy(*order).offset(skip).limit(n)
-    else:
-        rows = _rows_between(df, order, bucket, skip, n)
+    rows = _rows_between(df, order, bucket, (page_id - 1) * n, n)
     return rows.select(F.lit(page_id).cast("long").alias("page_id"), pages.alias("page_count"), *df.columns)
 
 

@@ -13,14 +13,18 @@ from tapeloom.sinks.lake import write_lake
 from tapeloom.sources import paths
 
 NEWS, MAPPING, DAILY = "news_sentiment_processed", "news_ticker_mapping", "ticker_sentiment_daily"
+#: Ids stored so far, each with the batch that stored it, spread over buckets by the hash of the id.
+IDS = "news_message_ids"
+ID_BUCKETS = 64
 NEWS_DDL = (
     "id bigint, message_id string, source_id string, title string, url string, time_published timestamp, "
-    "summary string, source_name string, overall_sentiment_score double, overall_sentiment_label string, date date"
+    "summary string, source_name string, overall_sentiment_score double, overall_sentiment_label string, date date, batch string"
 )
 MAPPING_DDL = (
     "news_id bigint, i int, ticker string, relevance_score double, ticker_sentiment_score double, "
-    "ticker_sentiment_label string, time_published timestamp, date date"
+    "ticker_sentiment_label string, time_published timestamp, date date, batch string"
 )
+IDS_DDL = "message_id string, bucket int, batch string"
 DAILY_DDL = (
     "ticker string, news_count bigint, avg_sentiment_score double, bullish_count bigint, bearish_count bigint, "
     "neutral_count bigint, top_sentiment_score double, created_batch bigint, updated_batch bigint, date date"
@@ -49,47 +53,61 @@ def mapping_rows(messages: DataFrame) -> DataFrame:
     flat = messages.select("message_id", at.alias("time_published"), F.col("data.ticker_sentiment").alias("ticker_sentiment"))
     m = art.mentions_of(flat, "message_id", "time_published")
     return m.filter(F.col("time_published").isNotNull()).select(
-        "message_id", "i", "ticker", F.col("relevance").alias("relevance_score"),
+        surrogate_key(F.col("message_id")).alias("news_id"), "i", "ticker", F.col("relevance").alias("relevance_score"),
         F.col("sentiment_score").alias("ticker_sentiment_score"),
         F.col("sentiment_label").alias("ticker_sentiment_label"), "time_published",
         F.to_date("time_published").alias("date"),
     )
 
 
-def process_batch(messages: DataFrame, batch_id: int, base: str) -> None:
+def one_per_id(messages: DataFrame) -> DataFrame:
+    """One message per id, the same for its article and its mentions: the earliest publication, then url and the rest."""
+    published = parse_published(F.col("data.time_published"))
+    order = [F.asc(published), F.asc("data.url"), F.asc("timestamp"), F.xxhash64("data")]
+    timed = messages.filter(published.isNotNull() & F.col("message_id").isNotNull())
+    return merge.last_per_key(timed, ["message_id"], order)
+
+
+def days_of(df: DataFrame, days: list) -> DataFrame:
+    """Rows of some days; literals, so that the scan lists and reads these partitions only."""
+    return df.filter(F.col("date").isin(days)) if days else df.limit(0)
+
+
+def process_batch(messages: DataFrame, batch_id: int, base: str, run: str = "stream") -> None:
     """Insert articles that are new, then their mentions, then recompute the days touched.
 
-    Every step leaves out what is already there, so a batch may be repeated after a failure
-    at any point. All three tables are partitioned by day: only the batch's days are read.
+    An id is new if no other batch has stored it, on whatever day. Ids are written first,
+    under the batch's name, and articles and mentions by day and batch, so repeating a
+    batch after a failure at any point replaces its own files and nothing else. ``run``
+    tells the batches of several streams into the same tables apart.
+
+    The driver sees the batch's distinct days: one date per calendar day at most. With them
+    as literals only their partitions of mentions and daily rows are read.
     """
-    spark = messages.sparkSession
-    messages = messages.persist()
-    news = news_rows(messages)
-    days = news.select("date").distinct()
-
-    def stored(name: str, ddl: str) -> DataFrame:
-        # One row per calendar day at most, whatever the batch holds; it prunes the partitions.
-        return table(spark, base, name, ddl).join(F.broadcast(days), "date", "left_semi")
-
-    order = [F.asc("time_published"), F.asc("url")]
-    fresh = merge.new_rows(news, stored(NEWS, NEWS_DDL), ["message_id"], order)
-    write_lake(fresh, f"{base}/{NEWS}", ("date",))
-
-    ids = stored(NEWS, NEWS_DDL).select(F.col("id").alias("news_id"), "message_id")
-    mentions = mapping_rows(merge.last_per_key(messages, ["message_id"], [F.asc("timestamp")])).join(ids, "message_id")
-    known = stored(MAPPING, MAPPING_DDL).select("news_id").distinct()
-    write_lake(mentions.drop("message_id").join(known, "news_id", "left_anti"), f"{base}/{MAPPING}", ("date",))
-
-    daily = art.daily_ticker_sentiment(stored(MAPPING, MAPPING_DDL).drop("date"))
-    stamped = daily.withColumns({"created_batch": F.lit(batch_id).cast("long"), "updated_batch": F.lit(batch_id).cast("long")})
-    target = stored(DAILY, DAILY_DDL).select(*stamped.columns)
-    merged = merge.upsert(target, stamped, ["ticker", "date"], keep=["created_batch"])
-    write_lake(merged, f"{base}/{DAILY}", ("date",), mode="overwrite")
-    messages.unpersist()
-
-
-def into_tables(base: str):
-    return lambda df, batch_id: process_batch(df, batch_id, base)
+    spark, batch = messages.sparkSession, f"{run}-{batch_id}"
+    ids = one_per_id(messages).withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(ID_BUCKETS)).cast("int")).persist()
+    try:
+        days = [x["date"] for x in news_rows(ids).select("date").distinct().collect()]
+        known = table(spark, base, IDS, IDS_DDL).filter(F.col("batch") != batch).select("message_id", "bucket")
+        fresh = ids.join(known, ["message_id", "bucket"], "left_anti").withColumn("batch", F.lit(batch))
+        for name, rows, partitions in (
+            (IDS, fresh.select("message_id", "bucket", "batch"), ("bucket", "batch")),
+            (NEWS, news_rows(fresh).withColumn("batch", F.lit(batch)), ("date", "batch")),
+            (MAPPING, mapping_rows(fresh).withColumn("batch", F.lit(batch)), ("date", "batch")),
+        ):
+            write_lake(rows, f"{base}/{name}", partitions, mode="overwrite")
+        daily = art.daily_ticker_sentiment(days_of(table(spark, base, MAPPING, MAPPING_DDL), days).drop("date", "batch"))
+        stamp = F.lit(batch_id).cast("long")
+        stamped = daily.withColumns({"created_batch": stamp, "updated_batch": stamp})
+        target = days_of(table(spark, base, DAILY, DAILY_DDL), days).select(*stamped.columns)
+        merged = merge.upsert(target, stamped, ["ticker", "date"], keep=["created_batch"])
+        write_lake(merged, f"{base}/{DAILY}", ("date",), mode="overwrite")
+    finally:
+        ids.unpersist()
+
+
+def into_tables(base: str, run: str = "stream"):
+    return lambda df, batch_id: process_batch(df, batch_id, base, run)
 
 
 def lake_rows(messages: DataFrame) -> DataFrame:

@@ -397,7 +397,20 @@ def top3(v: Views):
     f"WITH {BARS} SELECT CAST(3 AS BIGINT) AS page_id, CAST(ceil((SELECT count(*) FROM bars) / 500.0) AS BIGINT) AS page_count, ticker, t, c FROM bars ORDER BY t, ticker LIMIT 500 OFFSET 1000",
 )
 def top4(v: Views):
-    return ranking.page(v.bars.select("ticker", "t", "c"), ["t", "ticker"], 3, 500, candles.day_of(F.col("t")))
+    return ranking.page(v.bars.select("ticker", "t", "c"), ["t", "ticker"], 3, candles.day_of(F.col("t")), 500)
+
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+@query(
+    "top4_deep_page",
+    f"WITH place AS (SELECT CAST(count(*) * 3 // 4000 AS BIGINT) AS page_id, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS page_count FROM lineitem), ranked AS (SELECT {_LINE}, row_number() OVER (ORDER BY {_LINE}) AS pos FROM lineitem) SELECT page_id, page_count, {_LINE} FROM ranked, place WHERE pos > (page_id - 1) * 1000 AND pos <= page_id * 1000",
+)
+def top4_deep(v: Views):
+    """A page three quarters of the way through the largest table."""
+    lines = v.table("lineitem").select(*_LINE.split(", "))
+    return ranking.page(lines, lines.columns, lines.count() * 3 // 4000, F.floor(F.col("l_orderkey") / 64))
 
 
 @query("agg12_page_count", f"WITH {BARS} SELECT count(*) AS documents, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS page_count FROM bars")

@@ -192,14 +192,16 @@ def snk11(v: Views):
     return v.spark.read.parquet(path).groupBy("output").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("snk12_json_bundles", f"WITH {NEWS} SELECT count(*) AS rows, CAST(sum(length(summary)) AS BIGINT) AS chars, TRUE AS split FROM news")
+@query("snk12_json_bundles", f"WITH {NEWS} SELECT count(*) AS rows, CAST(sum(length(summary)) AS BIGINT) AS chars, TRUE AS split, TRUE AS capped FROM news")
 def snk12(v: Views):
     path = work_dir(v.spark, "bundles")
     rows = v.articles.select("doc_id", "title", "summary")
     tables.write_json_bundles(rows, path, 64 * 1024)
-    df = v.spark.read.schema(rows.schema).json(path).withColumn("_file", F.input_file_name())
+    largest = rows.agg(F.max(F.octet_length(F.to_json(F.struct("*"))) + 1)).scalar()
+    df = v.spark.read.schema(rows.schema).json(path).select("summary", "_metadata.file_path", "_metadata.file_size")
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.length("summary")).alias("chars"), (F.count_distinct("_file") > 1).alias("split")
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length("summary")).alias("chars"),
+        (F.count_distinct("file_path") > 1).alias("split"), (F.max("file_size") <= 64 * 1024 + F.any_value(largest)).alias("capped"),
     )
 
 

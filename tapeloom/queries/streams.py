@@ -37,6 +37,11 @@ def _drained(df, mode="append", batch=sinks.batch_folder):
     return f"{out}/data"
 
 
+def _latest(df, *keys):
+    """An update stream drained into the table of its newest versions."""
+    return sinks.latest_of(df.sparkSession, _drained(df, "update", lambda path: sinks.latest_table(path, keys)))
+
+
 def _timed(ticks):
     """Ticks with a zoned event time, as watermarks need."""
     return ticks.withColumn("at", F.col("ts").cast("timestamp"))
@@ -49,8 +54,7 @@ def _timed(ticks):
 )
 def str1(v: Views):
     e = art.enrich_news(_live(v).articles).withColumn("ticker", nf.primary_ticker(F.col("ticker_sentiment")))
-    path = _drained(windows.sentiment_windows(e), "update")
-    w = sinks.latest_of(v.spark, path, ["window_start", "ticker"])
+    w = _latest(windows.sentiment_windows(e), "window_start", "ticker")
     return w.select("window_start", "ticker", "news_count", "avg_sentiment", "total_relevance", "positive_ratio")
 
 
@@ -69,14 +73,14 @@ def str2(v: Views):
     path = work_dir(v.spark, "bars")
     v.bars.write.parquet(path)
     live = sources.parquet_folder(v.spark, path, v.bars.schema).withColumn("ts", F.timestamp_millis("t"))
-    w = sinks.latest_of(v.spark, _drained(windows.bar_windows(live), "update"), ["window_start", "ticker"])
+    w = _latest(windows.bar_windows(live), "window_start", "ticker")
     return w.select("window_start", "ticker", "open", "high", "low", "close", "volume", "bar_count", "avg_price")
 
 
 @query("str3_stateful_indicators", ORACLE["indicators_all"])
 def str3(v: Views):
     path = work_dir(v.spark, "bars")
-    v.bars.select("ticker", "t", "c").repartition("ticker").sortWithinPartitions("ticker", "t").write.parquet(path)
+    v.bars.select("ticker", "t", "c").write.parquet(path)
     live = sources.parquet_folder(v.spark, path, v.bars.select("ticker", "t", "c").schema)
     out = sinks.rows_of(v.spark, _drained(state.indicators_of(state.close_history(live))))
     return out.drop("batch_id")
@@ -126,8 +130,7 @@ def str7(v: Views):
 
 @query("str8_latest_price_stream", f"WITH {TICKS} SELECT ticker, max_by(price, ts) AS price, max(t) AS t FROM ticks GROUP BY ticker")
 def str8(v: Views):
-    latest = windows.latest_values(_live(v).ticks, "price", "t")
-    return sinks.latest_of(v.spark, _drained(latest, "update"), ["ticker"])
+    return _latest(windows.latest_values(_live(v).ticks, "price", "t"), "ticker")
 
 
 @query(
@@ -137,7 +140,7 @@ def str8(v: Views):
 )
 def str9(v: Views):
     w = windows.sliding_price_windows(_timed(_live(v).ticks), "at")
-    out = sinks.latest_of(v.spark, _drained(w, "update"), ["window_start", "ticker"])
+    out = _latest(w, "window_start", "ticker")
     return out.drop("window_end").withColumn("avg_price", half_up(F.col("avg_price"), 4))
 
 
@@ -197,13 +200,6 @@ def str15(v: Views):
     return parts[0].unionByName(parts[1])
 
 
-@query("str16_keyed_partitions", f"WITH {TICKS} SELECT ticker, CAST(1 AS BIGINT) AS partitions, count(*) AS rows FROM ticks GROUP BY ticker")
-def str16(v: Views):
-    """Messages of one key stay in one partition, as on a keyed topic."""
-    parted = v.ticks.repartition(sources.TOPICS["stock-ohlc-data"], "ticker").withColumn("p", F.spark_partition_id())
-    return parted.groupBy("ticker").agg(F.count_distinct("p").alias("partitions"), F.count(F.lit(1)).alias("rows"))
-
-
 @query(
     "str17_watermark",
     f"WITH {TICKS} SELECT t - t % 300000 AS window_start, ticker, count(*) AS data_points FROM ticks WHERE (t - t % 300000 + 300000) * 1000 <= (SELECT epoch_us(max(ts)) FROM ticks) - 600000000 GROUP BY ALL",
@@ -214,6 +210,29 @@ def str17(v: Views):
     return sinks.rows_of(v.spark, _drained(w)).select("window_start", "ticker", "data_points")
 
 
+@query(
+    "snk6_stream_upsert",
+    f"WITH {TICKS} SELECT 'keyed' AS kind, ticker AS name, count(*) AS rows, max(t) AS newest FROM ticks GROUP BY ticker UNION ALL SELECT 'keyless', ticker, count(*), max(t) FROM ticks WHERE t % 3 = 0 GROUP BY ticker",
+)
+def snk6_stream(v: Views):
+    """Documents with keys, which repeat, and without; the last batch is applied twice, as after a failure."""
+    docs = v.ticks.select(F.col("event_id").cast("string").alias("_id"), "ticker", "t")
+    loose = docs.filter(F.col("t") % 3 == 0).withColumn("_id", F.lit(None).cast("string"))
+    path, out = work_dir(v.spark, "documents"), work_dir(v.spark, "stream")
+    docs.unionByName(docs).unionByName(loose).write.parquet(path)
+    live = sources.parquet_folder(v.spark, path, docs.schema)
+    upsert = sinks.upsert_table(f"{out}/table", "_id", ["t"])
+
+    def twice(df, batch_id: int) -> None:
+        upsert(df, batch_id)
+        upsert(df, batch_id)
+
+    sinks.drain(live, twice, f"{out}/checkpoint")
+    kind = F.when(F.col("_id").startswith("auto-"), "keyless").otherwise("keyed")
+    return sinks.rows_of(v.spark, f"{out}/table").groupBy(kind.alias("kind"), F.col("ticker").alias("name")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("t").alias("newest"))
+
+
 @query("src4_json_topic", ORACLE["src10_json_files"] if "src10_json_files" in ORACLE else None)
 def src4(v: Views):
     docs = candles.bar_documents(v.bars, F.lit(1706572800))
@@ -249,11 +268,14 @@ def _envelopes(v: Views, path: str):
     f"WITH {MENTIONS} {DAILY_SENTIMENT_SELECT} FROM mentions GROUP BY ALL",
 )
 def str18(v: Views):
-    """Two overlapping deliveries of the articles: each is stored once, its days recomputed."""
+    """Two overlapping deliveries; the second repeats the first's articles under the next day. Each is stored once."""
     out = work_dir(v.spark, "stream")
-    for day in ("2024-01-20", "2024-02-01"):
-        rows = v.articles.filter(F.col("published_at") < F.lit(day).cast("timestamp"))
-        sinks.drain(_envelopes(v, _envelope_topic(v, rows)), news_stream_job.into_tables(f"{out}/db"), f"{out}/checkpoint-{day}")
+    early = F.col("published_at") < F.lit("2024-01-20").cast("timestamp")
+    later = F.date_format(F.col("published_at") + F.expr("INTERVAL 1 DAY"), "yyyyMMdd'T'HHmmss")
+    again = v.articles.withColumn("time_published", F.when(early, later).otherwise(F.col("time_published")))
+    for run, rows in (("first", v.articles.filter(early)), ("second", again)):
+        live = _envelopes(v, _envelope_topic(v, rows))
+        sinks.drain(live, news_stream_job.into_tables(f"{out}/db", run), f"{out}/checkpoint-{run}")
     daily = news_stream_job.table(v.spark, f"{out}/db", news_stream_job.DAILY, news_stream_job.DAILY_DDL)
     return daily.drop("created_batch", "updated_batch")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Sink = Callable[[DataFrame], None]
@@ -64,12 +65,23 @@ def write_routed(df: DataFrame, path: str, mode: str = "append") -> None:
     df.filter(F.col("collection").isNotNull()).write.mode(mode).partitionBy("collection").parquet(path)
 
 
-def write_json_bundles(df: DataFrame, path: str, max_bytes: int = 2 * 1024 * 1024) -> int:
-    """JSON lines in files of about ``max_bytes``; returns the rows per file."""
-    size = df.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0]
-    rows = max(1, int(max_bytes // size)) if size else 1
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
-    return rows
+def bundled(df: DataFrame, max_bytes: int) -> DataFrame:
+    """`df` with ``slice`` and ``bundle``: rows of a slice in turn, a new bundle per ``max_bytes`` of JSON lines.
+
+    A slice is a partition of the input, so no more rows meet than a task has read. A bundle
+    holds the rows that begin within its bytes: at most ``max_bytes`` and the rest of one row.
+    """
+    sized = df.withColumns({
+        "_at": F.monotonically_increasing_id(), "_bytes": F.octet_length(F.to_json(F.struct(*df.columns))) + 1,
+    }).withColumn("slice", F.shiftright("_at", 33).cast("int"))
+    before = W.partitionBy("slice").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum("_bytes").over(before), F.lit(0))
+    return sized.withColumn("bundle", F.floor(begins / max_bytes).cast("int")).drop("_at", "_bytes")
+
+
+def write_json_bundles(df: DataFrame, path: str, max_bytes: int = 2 * 1024 * 1024) -> None:
+    """JSON lines, one file per bundle below ``slice=…/bundle=…``."""
+    bundled(df, max_bytes).repartition("slice", "bundle").write.mode("overwrite").partitionBy("slice", "bundle").json(path)
 
 
 def alert_channel(alerts: DataFrame, payload: list[str]) -> DataFrame:

@@ -15,9 +15,6 @@ from tapeloom.sources import paths
 
 BatchFn = Callable[[DataFrame, int], None]
 
-# Rows and seconds after which a sink writes what it has.
-LAKE_FLUSH = (1000, 60)
-SQL_FLUSH = (100, 30)
 CHECKPOINT_SECONDS = 60
 
 
@@ -59,11 +56,47 @@ def rows_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def latest_of(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest version of every key in a folder of update batches."""
-    w = W.partitionBy(*keys).orderBy(F.desc("batch_id"))
-    versions = rows_of(spark, path).withColumn("_rn", F.row_number().over(w))
-    return versions.filter(F.col("_rn") <= 1).drop("_rn", "batch_id")
+#: Folders a keyed table is spread over by the hash of its key; a batch rewrites those it touches.
+BUCKETS = 64
+
+
+def bucketed_merge(
+    path: str, keys: Sequence[str], combine: Callable[[DataFrame, DataFrame, int], DataFrame],
+    prepare: Callable[[DataFrame, int], DataFrame] = lambda df, _: df,
+) -> BatchFn:
+    """A table merged batch by batch: ``combine(stored, new, batch_id)`` of the touched buckets replaces them."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        new = prepare(df, batch_id).withColumn("bucket", bucket).persist()
+        try:
+            touched = [x["bucket"] for x in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            stored = new.limit(0)
+            if paths.exists(spark, path):
+                stored = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+            merged = combine(stored.drop("bucket"), new.drop("bucket"), batch_id).withColumn("bucket", bucket)
+            lake_sink.write_lake(merged, path, ("bucket",), mode="overwrite")
+        finally:
+            new.unpersist()
+
+    return write
+
+
+def latest_table(path: str, keys: Sequence[str]) -> BatchFn:
+    """Update mode: the newest version of every key and no other, so the table grows with the keys alone."""
+
+    def combine(stored: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:
+        versions = stored.unionByName(new)
+        w = W.partitionBy(*keys).orderBy(F.desc("batch_id"))
+        return versions.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
+
+    return bucketed_merge(path, keys, combine, lambda df, batch_id: df.withColumn("batch_id", F.lit(batch_id).cast("long")))
+
+
+def latest_of(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a ``latest_table``."""
+    return rows_of(spark, path).drop("batch_id", "bucket")
 
 
 def snapshot(path: str) -> BatchFn:
@@ -83,42 +116,44 @@ def lake(path: str, partitions: Sequence[str] = ("ingest_date",), dead_path: str
 
     def write(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
-        dated, dead = lake_sink.dead_letters(df, partitions[0])
-        lake_sink.write_lake(
-            dated.withColumn("batch_id", F.lit(batch_id)), path, (*partitions, "batch_id"), mode="overwrite"
-        )
-        if dead_path:
-            dead.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
-        df.unpersist()
+        try:
+            dated, dead = lake_sink.dead_letters(df, partitions[0])
+            lake_sink.write_lake(
+                dated.withColumn("batch_id", F.lit(batch_id)), path, (*partitions, "batch_id"), mode="overwrite"
+            )
+            if dead_path:
+                dead.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        finally:
+            df.unpersist()
 
     return write
 
 
-def dispatch(routes: Mapping[str, Callable[[DataFrame], DataFrame]], column: str, path: str) -> BatchFn:
-    """Per topic its own processing, ``DataFrame → DataFrame``, into its own folder; others are left out."""
+def dispatch(
+    routes: Mapping[str, Callable[[DataFrame], DataFrame]], column: str, path: str, dead_path: str | None = None
+) -> BatchFn:
+    """Per topic its own processing, ``DataFrame → DataFrame``, into its own folder; others go to ``dead_path``."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
-        for topic, process in routes.items():
-            part = df.filter(F.col(column) == topic).transform(process)
-            part.write.mode("overwrite").parquet(f"{path}/{topic}/batch_id={batch_id}")
-        df.unpersist()
+        try:
+            for topic, process in routes.items():
+                part = df.filter(F.col(column) == topic).transform(process)
+                part.write.mode("overwrite").parquet(f"{path}/{topic}/batch_id={batch_id}")
+            if dead_path:
+                other = df.filter(F.col(column).isNull() | ~F.col(column).isin(list(routes)))
+                other.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        finally:
+            df.unpersist()
 
     return write
 
 
 def upsert_table(path: str, key: str, order: Sequence[str]) -> BatchFn:
-    """Field-wise upsert of partial documents into one table."""
+    """Field-wise upsert of partial documents into one table; those without a key are inserted once."""
     from tapeloom.operators import merge
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        lake_sink.recover_table(spark, path)
-        if paths.exists(spark, path):
-            target = spark.read.parquet(path)
-        else:
-            target = spark.createDataFrame([], df.schema)
-        ranks = [F.col(c) for c in order]
-        lake_sink.replace_table(merge.apply_documents(target, df, key, ranks), path)
+    def combine(stored: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:
+        return merge.set_fields(stored, new, key, [F.col(c) for c in order])
 
-    return write
+    return bucketed_merge(path, [key], combine, lambda df, batch_id: merge.with_keys(df, key, str(batch_id)))

@@ -154,8 +154,8 @@ def test_stream_windows_equal_batch_over_many_batches(spark):
         add_file(spark, path, rows[i:i + 20], TICKS)
     batch = spark.createDataFrame(rows, TICKS)
     live = sources.parquet_folder(spark, path, batch.schema, max_files=1)
-    sinks.drain(windows.sliding_price_windows(live), sinks.batch_folder(f"{out}/d"), f"{out}/c", "update")
-    got = sinks.latest_of(spark, f"{out}/d", ["window_start", "ticker"])
+    sinks.drain(windows.sliding_price_windows(live), sinks.latest_table(f"{out}/d", ["window_start", "ticker"]), f"{out}/c", "update")
+    got = sinks.latest_of(spark, f"{out}/d")
     want = windows.sliding_price_windows(batch)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
@@ -181,6 +181,32 @@ def test_upsert_stream_is_idempotent(spark):
     assert len(rows) == 13 and rows["3"] == (3, "x") and rows["12"] == (12, None)
 
 
+def test_upsert_stream_inserts_keyless_documents_once(spark):
+    path = work_dir(spark, "t")
+    write = sinks.upsert_table(path, "_id", ["seq"])
+    rows = [(None, 1, 0), (None, 1, 0), (None, 2, 0), ("a", 3, 0)]
+    docs = spark.createDataFrame(rows, "_id string, n int, seq int")
+    for batch_id in (0, 0, 1):
+        write(docs, batch_id)
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 1, 1, 1, 2, 2, 3]
+
+
+def test_latest_table_holds_one_row_per_key(spark):
+    path = work_dir(spark, "t")
+    write = sinks.latest_table(path, ["k"])
+    for i, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("a", 2)], [("c", 3)]]):
+        write(spark.createDataFrame(rows, "k string, x int"), i)
+    assert sorted(map(tuple, sinks.latest_of(spark, path).select("k", "x").collect())) == [("a", 2), ("b", 1), ("c", 3)]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_unknown_topics_are_set_aside(spark):
+    out = work_dir(spark, "t")
+    write = sinks.dispatch({"x": lambda df: df}, "topic", f"{out}/data", f"{out}/dead")
+    write(spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], "topic string, n int"), 0)
+    assert sorted(r.n for r in sinks.rows_of(spark, f"{out}/dead").collect()) == [2, 3]
+
+
 def test_console_and_trigger(spark):
     path, out = work_dir(spark, "t"), work_dir(spark, "t")
     add_file(spark, path, [("A", at(1), 1.0, 1)], TICKS)
@@ -213,15 +239,52 @@ def test_sql_batches_survive_repetition_and_duplicates(spark):
     assert (daily["2024-01-01"].created_batch, daily["2024-01-01"].updated_batch) == (0, 3)
 
 
-def test_lost_mappings_are_made_up_for(spark):
-    """A batch that failed after its news went in is completed by its repetition."""
-    base = work_dir(spark, "t")
-    n = news_stream_job
-    batch = envelopes(spark, [("m1", "20240101T000000")])
-    lake.write_lake(n.news_rows(batch), f"{base}/{n.NEWS}", ("date",))
+@pytest.mark.parametrize("done", [1, 2, 3])
+def test_a_batch_that_failed_between_its_writes_is_made_up_for(spark, done, monkeypatch):
+    base, n, writes = work_dir(spark, "t"), news_stream_job, []
+    batch = envelopes(spark, [("m1", "20240101T000000"), ("m2", "20240102T000000")])
+
+    def failing(*args, **kwargs):
+        if len(writes) == done:
+            raise RuntimeError("lost")
+        writes.append(lake.write_lake(*args, **kwargs))
+
+    monkeypatch.setattr(n, "write_lake", failing)
+    with pytest.raises(RuntimeError):
+        n.process_batch(batch, 0, base)
+    monkeypatch.undo()
+    other = envelopes(spark, [("m1", "20240103T000000"), ("m3", "20240101T000000")])
+    n.process_batch(other, 0, base, "other")  # another stream meets what the first had begun
     n.process_batch(batch, 0, base)
-    assert n.table(spark, base, n.NEWS, n.NEWS_DDL).count() == 1
-    assert n.table(spark, base, n.MAPPING, n.MAPPING_DDL).count() == 1
+    for name, ddl in ((n.NEWS, n.NEWS_DDL), (n.MAPPING, n.MAPPING_DDL)):
+        assert n.table(spark, base, name, ddl).count() == 3
+    daily = {str(r.date): r.news_count for r in n.table(spark, base, n.DAILY, n.DAILY_DDL).collect()}
+    assert daily == {"2024-01-01": 2, "2024-01-02": 1}
+
+
+def test_an_id_is_stored_once_whatever_its_day(spark):
+    base, n = work_dir(spark, "t"), news_stream_job
+    n.process_batch(envelopes(spark, [("m1", "20240101T000000")]), 0, base)
+    n.process_batch(envelopes(spark, [("m1", "20240102T000000"), ("m2", "20240102T000000")]), 1, base)
+    both = envelopes(spark, [("m3", "20240105T000000"), ("m3", "20240104T000000")])
+    n.process_batch(both, 2, base)
+    news = {r.message_id: str(r.date) for r in n.table(spark, base, n.NEWS, n.NEWS_DDL).collect()}
+    assert news == {"m1": "2024-01-01", "m2": "2024-01-02", "m3": "2024-01-04"}
+    mapped = n.table(spark, base, n.MAPPING, n.MAPPING_DDL)
+    assert sorted(str(r.date) for r in mapped.collect()) == sorted(news.values())
+
+
+def test_only_the_days_of_a_batch_are_read(spark):
+    base, n = work_dir(spark, "t"), news_stream_job
+    n.process_batch(envelopes(spark, [(f"m{i}", f"202401{i + 1:02d}T000000") for i in range(9)]), 0, base)
+    days = [dt.date(2024, 1, 2), dt.date(2024, 1, 5)]
+    some = n.days_of(n.table(spark, base, n.MAPPING, n.MAPPING_DDL), days)
+    assert some.count() == 2
+    rows = some.select("ticker", "date")
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().get("numPartitions").get().value() == 2
 
 
 def test_lake_stream_keeps_undated_rows_apart(spark):
