@@ -29,33 +29,62 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step: as many windows of a tier as make up eight of the longest.
 STEP_TOKENS = 8 * 4096
 #: Distinct words a task remembers; beyond it the table starts anew, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+
+
+#: Signs that may stand between words sent to the tokenizer together; the first that is one token is used.
+SEPARATORS = ("⚽", "✨", "♥", "🎉")
+#: Words in a line, and lines in a call: the library's answers are many times the ids.
+LINE, CALL = 500, 20
 
 
 def encoder(tokenizer_path: str, end: int):
     """A function from UTF-8 texts to arrays of token ids, each closed by `end`.
 
-    The vocabulary drops white space and none of its steps looks across it, so the ids
-    of a text are those of its words: each distinct word is encoded once and kept.
+    The vocabulary lowers letters, drops white space, and none of its steps looks across
+    it, so the ids of a text are those of its words. Each distinct word is encoded once
+    and kept, without the stop or comma after its last letter, which is a pre-token of its
+    own. Distinct words go to the tokenizer in lines, with a sign between them that is one
+    token. Texts with that sign or the beginning of a special token are encoded whole.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[bytes, bytes] = {}
+
+    def plain(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    sign = next(s for s in SEPARATORS if len(plain([s])[0]) == 1)
+    between, sign_id, sign_bytes = f" {sign} ", plain([sign])[0][0], sign.encode()
+    tails = {mark: ids.tobytes() for mark, ids in zip((b".", b","), plain([".", ","]), strict=True)}
     last = np.array([end], np.uint32).tobytes()
+    known: dict[bytes, bytes] = {}
+
+    def learn(words: set[bytes]) -> None:
+        bare = {w: w[:-1] for w in words if w[-1:] in tails and w[-2:-1].isalpha()}
+        new = list((words.difference(bare) | set(bare.values())).difference(known))
+        lines = [new[i : i + LINE] for i in range(0, len(new), LINE)]
+        for at in range(0, len(lines), CALL):
+            some = lines[at : at + CALL]
+            for line, ids in zip(some, plain([between.join(w.decode() for w in line) for line in some]), strict=True):
+                cuts = np.flatnonzero(ids == sign_id).tolist()
+                starts, ends = [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), 4 * len(ids)]
+                flat = ids.tobytes()
+                known.update((w, flat[a:b]) for w, a, b in zip(line, starts, ends, strict=True))
+        known.update((w, known[core] + tails[w[-1:]]) for w, core in bare.items())
 
     def encode(texts: list[bytes]) -> list[np.ndarray]:
-        nonlocal known
-        words = [t.split() for t in texts]  # at ASCII blanks
-        new = list(set().union(*words).difference(known))
+        whole = {i for i, t in enumerate(texts) if b"<|" in t or sign_bytes in t}
+        words = [[] if i in whole else t.lower().split() for i, t in enumerate(texts)]  # ASCII letters and blanks
+        new = set().union(*words).difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known = {}
-            new = list(set().union(*words))
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            found = tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(some, found, strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + last, np.uint32) for ws in words]
+            known.clear()
+            new = set().union(*words)
+        learn(new)
+        found = [np.frombuffer(b"".join(map(known.__getitem__, ws)) + last, np.uint32) for ws in words]
+        for i, ids in zip(sorted(whole), plain([texts[i].decode() for i in sorted(whole)]), strict=True):
+            found[i] = np.append(ids, np.uint32(end))
+        return found
 
     return encode
 
