@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,8 +79,8 @@ def daily_bars(bars: DataFrame) -> DataFrame:
     )
 
 
-def fill_calendar(daily: DataFrame) -> DataFrame:
-    """A row for every calendar day between a ticker's first and last.
+def fill_calendar(daily: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """A row for every calendar day between a ticker's first and last; ``carry`` columns hold on the days of bars only.
 
     Each row reproduces itself up to the day before the next one: prices carry over, volume
     on the added days is 0. A daily series holds at most one row per day, so its length is
@@ -94,6 +96,7 @@ def fill_calendar(daily: DataFrame) -> DataFrame:
             F.col("_day").alias("d"),
             "o", "h", "l", "c",
             F.when(F.col("_day") == F.col("d"), F.col("v")).otherwise(F.lit(0.0)).alias("v"),
+            *[F.when(F.col("_day") == F.col("d"), F.col(x)).alias(x) for x in carry],
         )
     )
 
@@ -122,8 +125,8 @@ def percent_returns(filled: DataFrame, fields=PRICE_FIELDS) -> DataFrame:
 
 def drop_junk_tickers(daily: DataFrame, floor: float = 0.01) -> DataFrame:
     """Drop every ticker that ever closed at or below ``floor``."""
-    lowest = F.min("c").over(W.partitionBy("ticker"))
-    return daily.withColumn("_low", lowest).filter(F.col("_low") > floor).drop("_low")
+    low = daily.groupBy("ticker").agg(F.min("c").alias("_low")).filter(F.col("_low") > floor)
+    return daily.join(low.select("ticker"), "ticker", "left_semi")
 
 
 def shape_columns(df: DataFrame, o="o", h="h", l="l", c="c", v="v", n="n", prefix="candle_") -> DataFrame:
@@ -170,9 +173,11 @@ def enrich_bars(bars: DataFrame, processor: str = "tapeloom", now: Column | None
     o, h, l, c = (F.coalesce(F.col(x), F.lit(0.0)) for x in ("o", "h", "l", "c"))
     volume = F.coalesce(F.col("v").cast("double"), F.lit(0.0))
     indicators = prices.range_indicators(o, h, l, c)
+    at = F.current_timestamp() if now is None else now
     return bars.select(
         "*",
-        (F.current_timestamp() if now is None else now).alias("processed_at"),
+        at.alias("processed_at"),
+        F.struct(F.col("ticker"), F.col("t").alias("timestamp"), at.alias("processing_time")).alias("metadata"),
         F.lit(processor).alias("processor"),
         F.struct(
             *[e.alias(k) for k, e in indicators.items()],

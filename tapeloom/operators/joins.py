@@ -78,17 +78,48 @@ def last_bar(
     return found.select("_point.*", *[F.when(within, F.col("_found")[f]).alias(f"{prefix}{f}") for f in fields])
 
 
-def look_back(targets: DataFrame, bars: DataFrame, span_ms: int = 30 * DAY_MS) -> DataFrame:
-    """Bars of the target's ticker in ``[target_t - span, target_t]``, one row per pair.
-
-    The slice is as long as the span, so each target meets two slices of bars and the join
-    is an equi-join on (ticker, slice).
+def look_back(targets: DataFrame, bars: DataFrame, span_ms: int, value: str) -> DataFrame:
+    """Per target the bars in ``[target_t - span, target_t]``: number, first and last time, mean of ``value``.
+
+    No pairs are formed. Time is cut into slices of the span, so a look-back is the part of
+    its own slice up to the target, a running aggregate, and the end of the slice before: a
+    copy of each bar one span later lies in the target's slice, and what has not passed the
+    target, a running aggregate from the back, is still inside. Targets without a bar are
+    left out.
     """
-    sl = F.floor(F.col("target_t") / F.lit(span_ms))
-    left = targets.withColumn("_slice", F.explode(F.array(sl, sl - 1)))
-    right = bars.withColumn("_slice", F.floor(F.col("t") / F.lit(span_ms)))
-    inside = F.col("t").between(F.col("target_t") - span_ms, F.col("target_t"))
-    return left.join(right, ["ticker", "_slice"]).filter(inside).drop("_slice")
+    span = F.lit(span_ms)
+    home = F.floor(F.col("t") / span)
+    events = bars.select(
+        "ticker", "t", F.col(value).cast("double").alias("_x"),
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("kind"), F.col("t").alias("at"), home.alias("slice")),
+            F.struct(F.lit(1).alias("kind"), (F.col("t") + span).alias("at"), (home + 1).alias("slice")),
+        )).alias("_p"),
+    ).select("ticker", "t", "_x", "_p.*")
+    points = targets.select(
+        "ticker", F.lit(2).alias("kind"), F.col("target_t").alias("at"), F.floor(F.col("target_t") / span).alias("slice"),
+        F.struct(*targets.columns).alias("_target"),
+    )
+    w = W.partitionBy("ticker", "slice")
+    frames = {
+        0: w.orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0),
+        1: w.orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, 0),
+    }
+    parts = {"n": F.count, "lo": F.min, "hi": F.max}
+    both = events.unionByName(points, allowMissingColumns=True)
+    seen = both.select("*", *[
+        f(F.when(F.col("kind") == k, F.col(c))).over(frame).alias(f"_{name}{k}")
+        for k, frame in frames.items()
+        for name, f, c in [*((p, f, "t") for p, f in parts.items()), ("s", F.sum, "_x"), ("nx", F.count, "_x")]
+    ]).filter((F.col("kind") == 2) & (F.col("_n0") + F.col("_n1") > 0))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.col(f"_{name}0"), F.lit(0)) + F.coalesce(F.col(f"_{name}1"), F.lit(0))
+
+    return seen.select(
+        "_target.*", total("n").alias("bars"), F.least("_lo0", "_lo1").alias("first_t"), F.greatest("_hi0", "_hi1").alias("last_t"),
+        (total("s") / F.nullif(total("nx"), F.lit(0))).alias(f"mean_{value}"),
+    )
 
 
 def last_close_at_or_before(targets: DataFrame, bars: DataFrame, span_ms: int = 30 * DAY_MS) -> DataFrame:
@@ -99,33 +130,41 @@ def last_close_at_or_before(targets: DataFrame, bars: DataFrame, span_ms: int =
     )
 
 
-def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Key values of ``child`` without a parent, and how many rows carry each.
+Check = tuple[str, DataFrame, str, DataFrame, str]
 
-    The child is counted per key first: a hot key crosses the network as one row per task.
-    An outer join with a filter keeps that order; an anti join would be moved below the count.
-    """
-    keys = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    known = parent.select(F.col(pk).alias("key"), F.lit(True).alias("_known"))
-    return keys.join(known, "key", "left").filter(F.col("_known").isNull()).drop("_known")
-
-
-def orphan_report(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """One row per foreign key: name, orphaned key values, orphaned rows."""
-    parts = [
-        orphans(child, fk, parent, pk).agg(
-            F.lit(name).alias("foreign_key"),
-            F.count(F.lit(1)).alias("orphan_keys"),
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("orphan_rows"),
-        )
-        for name, child, fk, parent, pk in checks
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+def _unpivoted(checks: list[Check], side: int) -> DataFrame:
+    """(foreign_key, key) of all checks, each table read once: its key columns become rows of their own."""
+    out, done = None, []
+    for check in checks:
+        table = check[side]
+        if any(table is t for t in done):
+            continue
+        done.append(table)
+        entries = [
+            F.struct(F.lit(c[0]).alias("foreign_key"), F.col(c[side + 1]).cast("string").alias("key"))
+            for c in checks if c[side] is table
+        ]
+        keys = table.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").filter(F.col("key").isNotNull())
+        out = keys if out is None else out.unionByName(keys)
     return out
 
 
+def orphan_report(checks: list[Check]) -> DataFrame:
+    """One row per foreign key (name, child, its column, parent, its column): orphaned key values, orphaned rows.
+
+    Children are counted per key first: a hot key crosses the network as one row per task.
+    An outer join with a filter keeps that order; an anti join would be moved below the
+    count. Checks on the same DataFrame share its scan.
+    """
+    counted = _unpivoted(checks, 1).groupBy("foreign_key", "key").agg(F.count(F.lit(1)).alias("rows"))
+    known = _unpivoted(checks, 3).withColumn("_known", F.lit(True))
+    orphaned = counted.join(known, ["foreign_key", "key"], "left").filter(F.col("_known").isNull())
+    found = orphaned.groupBy("foreign_key").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("rows").alias("orphan_rows"))
+    names = found.sparkSession.createDataFrame([(c[0],) for c in checks], "foreign_key string")
+    return names.join(found, "foreign_key", "left").na.fill(0, ["orphan_keys", "orphan_rows"])
+
+
 def in_latest_snapshot(df: DataFrame, snapshots: DataFrame, key: str = "ticker", at: str = "time_update") -> DataFrame:
     """Rows whose key is in the newest snapshot."""
     return df.join(latest_snapshot(snapshots, at).select(key), key, "left_semi")

@@ -136,6 +136,23 @@ def against_next_bar(predictions: DataFrame, bars: DataFrame, prediction: str =
     })
 
 
+def with_next_day(daily: DataFrame) -> DataFrame:
+    """A daily series with the day and close of the next bar, and ``traded`` to tell its days once filled."""
+    w = W.partitionBy("ticker").orderBy("d")
+    return daily.withColumns({"next_d": F.lead("d").over(w), "next_c": F.lead("c").over(w), "traded": F.lit(True)})
+
+
+def against_next_day(days: DataFrame, prediction: str = "prediction", horizon: int = 7) -> DataFrame:
+    """As ``against_next_bar`` for rows of ``with_next_day``."""
+    within = F.col("next_d") <= F.date_add("d", horizon)
+    actual = F.when(within & (F.col("c") != 0), (F.col("next_c") - F.col("c")) / F.nullif(F.col("c"), F.lit(0.0)))
+    p = F.col(prediction)
+    return days.withColumn("actual_return", actual).withColumns({
+        "abs_error": F.abs(p - F.col("actual_return")),
+        "direction_hit": (p > 0) == (F.col("actual_return") > 0),
+    })
+
+
 def month_targets(bars: DataFrame, first_day: str) -> DataFrame:
     """Per ticker the last millisecond before each day of the month."""
     d = F.lit(first_day).cast("date")

@@ -1,10 +1,9 @@
-"""Throughput and progress figures."""
+"""Throughput figures."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 from tapeloom.functions.rounding import half_up
 
@@ -16,14 +15,3 @@ def batch_rate(df: DataFrame, batch: str, at_seconds: str) -> DataFrame:
         n.alias("messages"), elapsed.alias("elapsed_s"),
         half_up(n / F.nullif(elapsed.cast("double"), F.lit(0.0)), 6).alias("messages_per_s"),
     )
-
-
-def query_rates(query: StreamingQuery) -> list[dict]:
-    """Rows and rows per second of each recent micro-batch of a stream."""
-    return [
-        {
-            "batch": p["batchId"], "rows": p["numInputRows"],
-            "rows_per_s": p["processedRowsPerSecond"], "ms": p["durationMs"].get("triggerExecution"),
-        }
-        for p in query.recentProgress
-    ]

@@ -16,14 +16,32 @@ def leaderboard(values: DataFrame, name: str, value: str, ts: str, n: int = 10,
     return latest.orderBy(*order).limit(n)
 
 
+def leaderboards(values: DataFrame, boards: Sequence[tuple[str, str, bool]], ts: str, n: int = 10) -> DataFrame:
+    """Several boards (name, column, ascending) from one aggregate: (board, ticker, value), each as ``leaderboard``."""
+    latest = values.groupBy("ticker").agg(F.max_by(F.struct(*sorted({c for _, c, _ in boards})), ts).alias("_latest"))
+    entries = F.array(*[
+        F.struct(F.lit(name).alias("board"), F.lit(up).alias("up"), F.col("_latest")[c].cast("double").alias("value"))
+        for name, c, up in boards
+    ])
+    rows = latest.select("ticker", F.explode(entries).alias("_e")).select("ticker", "_e.*")
+    rising, falling = (lambda c: F.when(F.col("up"), F.col(c))), (lambda c: F.when(~F.col("up"), F.col(c)))
+    order = [rising("value").asc(), falling("value").desc(), rising("ticker").asc(), falling("ticker").desc()]
+    return first_rows(rows, ["board"], order, n).select("board", "ticker", "value")
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows per key by ``order``."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key by ``order``.
 
     The rank filter is pushed below the shuffle, so of a key with many copies every task
     sends one row.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
+    return first_rows(df, keys, order, 1)
 
 
 def live_latest(df: DataFrame, value: str, ts: str, as_of: Column, ttl_seconds: int) -> DataFrame:

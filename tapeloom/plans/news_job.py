@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import surrogate_key
 from tapeloom.functions.timing import date_parts
 from tapeloom.operators import articles as art
-from tapeloom.operators import merge
 from tapeloom.operators.ranking import last_per_key
 
 
@@ -66,13 +65,6 @@ def news_topic_bridge(lake: DataFrame, by: str = "message_id") -> DataFrame:
     )
 
 
-def merged_dimensions(lake: DataFrame, dim_topics: DataFrame, dim_time: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The topic and time dimensions after inserting what the range adds."""
-    topics = merge.insert_if_absent(dim_topics, topic_dimension(lake), ["topic_id"])
-    time = merge.insert_if_absent(dim_time, time_dimension(lake), ["time_id"])
-    return topics, time
-
-
 def run(spark, lake_path: str, warehouse: str, start: str, end: str) -> None:
     """Load ``[start, end)`` of the news lake; running a range again changes nothing."""
     from tapeloom.plans.candles_job import merge_dimension

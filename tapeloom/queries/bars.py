@@ -98,6 +98,13 @@ def _filled_cols(src: str) -> str:
     return f"SELECT ticker, d, {', '.join(f'{r(x, 4)} AS {x}' for x in 'ohlcv')} FROM {src}"
 
 
+@query("prj16_bar_metadata", f"WITH {BARS} SELECT ticker, t, ticker AS named, t AS at, TRUE AS stamped FROM bars")
+def prj16_bars(v: Views):
+    m = F.col("metadata")
+    return candles.enrich_bars(v.bars).select(
+        "ticker", "t", m["ticker"].alias("named"), m["timestamp"].alias("at"), m["processing_time"].isNotNull().alias("stamped"))
+
+
 @query("win7_gap_fill", f"WITH {FILLED} {_filled_cols('filled')}")
 def win7(v: Views):
     filled = candles.fill_calendar(v.daily)
@@ -106,7 +113,7 @@ def win7(v: Views):
 
 @query(
     "win8_percent_returns",
-    f"WITH {RETURNS} SELECT ticker, d, {', '.join(f'{r(x + chr(95) + chr(114) + chr(101) + chr(116), 6)} AS {x}_ret' for x in 'ohlcv')} FROM returns",
+    f"WITH {RETURNS} SELECT ticker, d, {', '.join(f'{r(x + "_ret", 6)} AS {x}_ret' for x in 'ohlcv')} FROM returns",
 )
 def win8(v: Views):
     returns = candles.percent_returns(candles.fill_calendar(v.daily))
@@ -385,11 +392,7 @@ _BOARD = f"WITH {BARS}, e AS (SELECT ticker, t, {_PCT} AS pct, v FROM bars), lat
 def top3(v: Views):
     e = v.bars.select("ticker", "t", "v", prices.pct_of_positive(F.col("c") - F.col("o"), F.col("o")).alias("pct"))
     boards = [("gainers", "pct", False), ("losers", "pct", True), ("volume", "v", False)]
-    parts = [
-        ranking.leaderboard(e, "value", col, "t", 5, asc).select(F.lit(name).alias("board"), "ticker", "value")
-        for name, col, asc in boards
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ranking.leaderboards(e, boards, "t", 5)
 
 
 @query(
@@ -464,11 +467,8 @@ _TARGETS = "targets AS (SELECT ticker, max(t) - 1 AS target_t FROM bars GROUP BY
 )
 def joi9(v: Views):
     targets = v.lake_bars.groupBy("ticker", "ingest_date").agg((F.max("t") - 1).alias("target_t")).drop("ingest_date")
-    pairs = joins.look_back(targets, v.bars.select("ticker", "t", "c"), 604_800_000)
-    return pairs.groupBy("ticker", "target_t").agg(
-        F.count(F.lit(1)).alias("bars"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
-        half_up(F.avg("c"), 4).alias("mean_close"),
-    )
+    found = joins.look_back(targets, v.bars.select("ticker", "t", "c"), 604_800_000, "c")
+    return found.withColumn("mean_close", half_up(F.col("mean_c"), 4)).drop("mean_c")
 
 
 @query(

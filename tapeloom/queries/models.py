@@ -88,6 +88,26 @@ def mlx4(v: Views):
     return learning.metrics(learning.score(learning.fit(rows), rows), "split")
 
 
+@query(
+    "mlx4_normal_equations",
+    f"WITH {_SPLIT} SELECT split, count(*) AS rows, TRUE AS unbiased, TRUE AS orthogonal, TRUE AS no_worse_than_mean FROM split GROUP BY split",
+)
+def mlx4_equations(v: Views):
+    """What holds of least squares without a penalty: train residuals are 0 on average and along every feature."""
+    rows = materialize(learning.with_split(_training(v)), "training")
+    scored = learning.score(learning.fit(rows, regParam=0.0), rows)
+    residual = F.col("prediction") - F.col(learning.TARGET)
+    on_train = scored.filter("split = 'train'").agg(
+        F.avg(residual).alias("mean"), F.greatest(*[F.abs(F.avg(residual * F.col(f))) for f in learning.FEATURES]).alias("along"),
+        F.avg(residual * residual).alias("mse"), F.var_pop(learning.TARGET).alias("variance"))
+    flags = on_train.select(
+        (F.abs("mean") < 1e-6).alias("unbiased"), (F.col("along") < 1e-6).alias("orthogonal"),
+        (F.col("mse") <= F.col("variance")).alias("no_worse_than_mean"))
+    holds = flags.select(F.struct("*")).scalar()
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).select(
+        "split", "rows", *[holds[c].alias(c) for c in ("unbiased", "orthogonal", "no_worse_than_mean")])
+
+
 @query(
     "mlx5_metrics",
     f"WITH {_SPLIT}, s AS (SELECT split, day6_o_ret AS p, target_open_return AS y FROM split) SELECT split, count(*) AS rows, {r('avg((p - y) * (p - y))', 4)} AS mse, {r('avg(abs(p - y))', 4)} AS mae, {r('1 - avg((p - y) * (p - y)) / var_pop(y)', 4)} AS r2 FROM s GROUP BY split",
@@ -133,10 +153,11 @@ _BACKTEST = (
     f"WITH {_BACKTEST} SELECT ticker, d, {r('p', 6)} AS prediction, {r('a', 6)} AS actual_return, {r('abs(p - a)', 6)} AS abs_error, (p > 0) = (a > 0) AS direction_hit FROM scored",
 )
 def mlx7(v: Views):
-    """Only days with a bar are scored."""
-    returns = _returns(v).join(v.daily.select("ticker", "d"), ["ticker", "d"], "left_semi")
-    points = returns.select("ticker", "d", (F.unix_date("d").cast("long") * candles.DAY_MS).alias("t"), "c", F.col("o_ret").alias("prediction"))
-    b = learning.against_next_bar(points, v.daily_t)
+    """Only days with a bar are scored. The calendar's flag tells them, so the bars are built once."""
+    daily = learning.with_next_day(v.daily.select("ticker", "d", *"ohlcv"))
+    filled = candles.fill_calendar(daily, ("next_d", "next_c", "traded"))
+    days = candles.percent_returns(filled).filter("traded").withColumn("prediction", F.col("o_ret"))
+    b = learning.against_next_day(days)
     return b.select("ticker", "d", *_round(b, "prediction", "actual_return", "abs_error"), "direction_hit")
 
 

@@ -220,10 +220,14 @@ def scl26(v: Views):
     return v.markets.select("region", F.explode(text.split_trim(F.col("primary_exchanges"))).alias("exchange"))
 
 
-@query("scl27_sizes_and_defaults", f"WITH {NEWS} SELECT doc_id, 3 AS ticker_count, 'Unknown' AS label FROM news")
+@query("scl27_sizes_and_defaults", f"WITH {NEWS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS ticker_count, CASE WHEN doc_id % 7 = 0 THEN 'Unknown' ELSE source END AS label FROM news")
 def scl27(v: Views):
-    absent = F.lit(None).cast("string")
-    return v.articles.select("doc_id", F.size("ticker_sentiment").alias("ticker_count"), F.coalesce(absent, F.lit("Unknown")).alias("label"))
+    """Some articles lack the array, some the source."""
+    rows = v.articles.select(
+        "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("ticker_sentiment")).alias("tickers"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
+    size = F.when(F.col("tickers").isNull(), 0).otherwise(F.size("tickers"))
+    return rows.select("doc_id", size.alias("ticker_count"), F.coalesce("source", F.lit("Unknown")).alias("label"))
 
 
 @query("scl30_message_id", f"WITH {NEWS} SELECT doc_id, sha256(concat(message_id, '|', published_s)) AS message_key, CAST(36 AS INTEGER) AS uuid_length FROM news")
@@ -295,7 +299,9 @@ def prj16(v: Views):
 
 @query("flt1_header_skip", f"WITH {NEWS} SELECT doc_id, title FROM news WHERE title <> 'title'")
 def flt1(v: Views):
-    return art.skip_header(v.articles).select("doc_id", "title")
+    """A header row, as an export repeated into the table leaves one, and the articles."""
+    header = v.articles.orderBy("doc_id").limit(1).withColumn("title", F.lit("title"))
+    return art.skip_header(v.articles.unionByName(header)).select("doc_id", "title")
 
 
 @query("flt2_compact_date_range", f"WITH {NEWS} SELECT doc_id, time_published FROM news WHERE time_published >= '20240108T000000' AND time_published < '20240116T000000'")
@@ -367,10 +373,9 @@ def _share(cond: str) -> str:
     f"(SELECT min(time_published) FROM news) AS window_start, (SELECT max(time_published) FROM news) AS window_end FROM unique_mentions GROUP BY ticker",
 )
 def agg5(v: Views):
-    whole = lambda agg: v.articles.agg(agg).scalar()
-    return art.ticker_sentiment_report(
-        v.unique_mentions, whole(F.count(F.lit(1))), whole(F.min("time_published")), whole(F.max("time_published"))
-    )
+    whole = v.articles.agg(F.struct(
+        F.count(F.lit(1)).alias("items"), F.min("time_published").alias("start"), F.max("time_published").alias("end"))).scalar()
+    return art.ticker_sentiment_report(v.unique_mentions, whole["items"], whole["start"], whole["end"])
 
 
 @query(

@@ -133,15 +133,29 @@ def str8(v: Views):
     return _latest(windows.latest_values(_live(v).ticks, "price", "t"), "ticker")
 
 
+@query("str8_latest_sentiment_stream", f"WITH {MENTIONS} SELECT ticker, max_by(score, doc_id * 10 + i) AS score, max(doc_id * 10 + i) AS at FROM mentions GROUP BY ticker")
+def str8_sentiment(v: Views):
+    """The newest sentiment of every ticker; a mention's place stands for its time."""
+    m = _live(v).mentions.select("ticker", F.col("sentiment_score").alias("score"), (F.col("doc_id") * 10 + F.col("i")).alias("at"))
+    return _latest(windows.latest_values(m, "score", "at"), "ticker")
+
+
+WIDTHS = (5, 15, 60)
+
+
 @query(
     "str9_sliding_windows",
-    f"WITH {TICKS}, w AS (SELECT *, t - t % 60000 - k * 60000 AS window_start FROM ticks CROSS JOIN (SELECT unnest(range(5)) AS k) s) "
-    f"SELECT window_start, ticker, {r('avg(price)', 4)} AS avg_price, max(price) AS max_price, min(price) AS min_price, min_by(price, ts) AS first_price, max_by(price, ts) AS last_price, CAST(sum(volume) AS DOUBLE) AS total_volume, count(*) AS data_points FROM w GROUP BY window_start, ticker",
+    f"WITH {TICKS}, w AS (SELECT *, m AS minutes, t - t % 60000 - k * 60000 AS window_start FROM ticks CROSS JOIN (SELECT m, unnest(range(m)) AS k FROM (VALUES (5), (15), (60)) s(m)) s) "
+    f"SELECT minutes, window_start, ticker, {r('avg(price)', 4)} AS avg_price, max(price) AS max_price, min(price) AS min_price, min_by(price, ts) AS first_price, max_by(price, ts) AS last_price, CAST(sum(volume) AS DOUBLE) AS total_volume, count(*) AS data_points FROM w GROUP BY minutes, window_start, ticker",
 )
 def str9(v: Views):
-    w = windows.sliding_price_windows(_timed(_live(v).ticks), "at")
-    out = _latest(w, "window_start", "ticker")
-    return out.drop("window_end").withColumn("avg_price", half_up(F.col("avg_price"), 4))
+    """One stream per width, each into a table of its own."""
+    out = None
+    for minutes in WIDTHS:
+        w = windows.sliding_price_windows(_timed(_live(v).ticks), "at", f"{minutes} minutes")
+        part = _latest(w, "window_start", "ticker").drop("window_end").withColumn("minutes", F.lit(minutes))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("avg_price", half_up(F.col("avg_price"), 4))
 
 
 @query(

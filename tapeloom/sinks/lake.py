@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions import prices
 from tapeloom.functions.timing import iso_week_parts
 from tapeloom.sources import paths
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 ROWS_PER_FILE = 2_000_000
+#: Folder of a table in which a compaction stages its partitions; readers pass over it.
+STAGED = "_compacting"
 
 
 def spread_by(df: DataFrame, *partitions: str) -> DataFrame:
@@ -67,6 +70,7 @@ def export_bars(
         ts.alias("timestamp"), "ticker",
         F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"),
         F.col("v").alias("volume"), F.col("vw").alias("vwap"),
+        prices.notional(F.col("h"), F.col("l"), F.col("c"), F.col("v")).alias("volume_weighted_price"),
         ti["price_range"].alias("price_range"), ti["price_range_pct"].alias("price_range_pct"),
         F.col(processed).alias("processed_at"),
     )
@@ -110,10 +114,11 @@ def compact(
 ) -> int:
     """Rewrite partitions of many small files into files of about ``target_bytes``.
 
-    The rows are staged beside the table first and then replace the partitions, so a failure
-    on the way leaves the old files or a complete staged copy. Returns the number of
-    partitions rewritten. The driver sees one row per such partition.
+    The rows are staged beside the table first and then take the place of the partitions, so
+    a failure on the way leaves the old files or a complete staged copy. Returns the number
+    of partitions rewritten. The driver sees one row per such partition.
     """
+    finish_compaction(spark, path)
     crowded = small_file_partitions(spark, path, min_files)
     value = F.regexp_extract("folder", f"{partition}=([^/]+)", 1)
     sizes = {x["value"]: (x["files"], x["bytes"]) for x in crowded.select(value.alias("value"), "files", "bytes").collect()}
@@ -131,17 +136,30 @@ def compact(
         counts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
         at = F.xxhash64("_metadata.file_path", "_metadata.row_index")
         salt = F.pmod(at, F.coalesce(F.try_element_at(counts, text), F.lit(1)).cast("long"))
-    staged = f"{path.rstrip('/')}/_compacting"
+    staged = f"{path.rstrip('/')}/{STAGED}"
     rows.withColumn("_salt", salt).repartition(sum(todo.values()), text, "_salt").drop("_salt").write.mode(
         "overwrite"
     ).partitionBy(partition).parquet(staged)
-    spark.read.schema(table.schema).parquet(staged).repartition(sum(todo.values()), text, F.input_file_name()).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    paths.delete(spark, staged)
+    finish_compaction(spark, path)
     return len(todo)
 
 
+def finish_compaction(spark: SparkSession, path: str) -> None:
+    """Put the partitions of a complete staged copy into their places; what is incomplete is thrown away.
+
+    Rows are written once, by the staging. A partition is missing only between the removal
+    of its old files and one rename, and a compaction that stopped there is finished by the
+    next one, or by calling this.
+    """
+    staged = f"{path.rstrip('/')}/{STAGED}"
+    if paths.exists(spark, f"{staged}/_SUCCESS"):
+        for name in paths.children(spark, staged):
+            if "=" in name:
+                paths.delete(spark, f"{path}/{name}")
+                paths.rename(spark, f"{staged}/{name}", f"{path}/{name}")
+    paths.delete(spark, staged)
+
+
 def publish_days(spark: SparkSession, landing: str, path: str, start: str, end: str) -> None:
     """Days ``[start, end)`` of a stream's landing folder, one folder per batch, as compact lake days.
 

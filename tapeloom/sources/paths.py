@@ -16,6 +16,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or any path a glob stands for, is there."""
+    fs, p = _fs(spark, pattern)
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

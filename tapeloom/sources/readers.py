@@ -43,7 +43,7 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def json_files(spark: SparkSession, locations: str | list[str], schema: T.StructType) -> DataFrame:
     """JSON lines from many files or globs; locations and files that are gone are skipped."""
     wanted = [locations] if isinstance(locations, str) else locations
-    present = [p for p in wanted if any(ch in p for ch in "*?[{") or paths.exists(spark, p)]
+    present = [p for p in wanted if paths.matches(spark, p)]
     if not present:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("ignoreMissingFiles", True).json(present)
@@ -65,17 +65,15 @@ def exported(
 
 def jdbc_table(
     spark: SparkSession, url: str, table: str, columns: Sequence[str], properties: Mapping[str, str],
-    split: tuple[str, int, int, int] | None = None,
+    split: tuple[str, int, int, int],
 ) -> DataFrame:
-    """Columns of a database table. ``split`` = (column, low, high, parts) reads in parallel."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
-    if split:
-        column, low, high, parts = split
-        reader = (
-            reader.option("partitionColumn", column).option("lowerBound", low)
-            .option("upperBound", high).option("numPartitions", parts)
-        )
-    return reader.load().select(*columns)
+    """Columns of a database table, read in parallel by ``split`` = (column, low, high, parts)."""
+    column, low, high, parts = split
+    return (
+        spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
+        .option("partitionColumn", column).option("lowerBound", low)
+        .option("upperBound", high).option("numPartitions", parts).load().select(*columns)
+    )
 
 
 def company_extract(companies: DataFrame) -> DataFrame:

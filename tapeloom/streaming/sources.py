@@ -18,16 +18,27 @@ TOPICS = {
 }
 
 
+# Rows and seconds after which a batch is due, for the lake and for the tables.
+LAKE_FLUSH = (1000, 60)
+SQL_FLUSH = (100, 30)
+
+
 def kafka_messages(
-    spark: SparkSession, brokers: str, topic: str, max_offsets: int | None = None, options: Mapping[str, str] | None = None
+    spark: SparkSession, brokers: str, topic: str, max_offsets: int | None = None, flush: tuple[int, int] | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """A topic from its earliest offset, as (key, value) text. Needs the Kafka connector on the classpath."""
+    """A topic from its earliest offset, as (key, value) text. Needs the Kafka connector on the classpath.
+
+    ``flush`` = (rows, seconds): a batch waits for so many rows, but no longer than that.
+    """
     reader = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
         .option("startingOffsets", "earliest").options(**(options or {}))
     )
     if max_offsets:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+    if flush:
+        reader = reader.option("minOffsetsPerTrigger", flush[0]).option("maxTriggerDelay", f"{flush[1]}s")
     return reader.load().select(F.col("key").cast("string"), F.col("value").cast("string"), "timestamp")
 
 

@@ -108,12 +108,21 @@ def test_last_bar_against_loops(spark):
 
 
 def test_look_back_against_loops(spark):
-    bars = [("A", i * DAY, float(i)) for i in range(100)]
-    targets = [("A", 45 * DAY), ("A", 99 * DAY + 5)]
+    rng = random.Random(8)
+    bars = [("A", i * DAY, float(i)) for i in range(100)] + [("HOT", rng.randrange(90 * DAY), rng.random()) for _ in range(300)]
+    targets = [("A", 45 * DAY), ("A", 99 * DAY + 5), ("A", -DAY), ("B", 0)] + [("HOT", rng.randrange(100 * DAY)) for _ in range(40)]
+    span = 30 * DAY
     got = joins.look_back(
-        spark.createDataFrame(targets, "ticker string, target_t long"), spark.createDataFrame(bars, "ticker string, t long, c double"))
-    counts = {r.target_t: r["count"] for r in got.groupBy("target_t").count().collect()}
-    assert counts == {45 * DAY: 31, 99 * DAY + 5: 30}
+        spark.createDataFrame(targets, "ticker string, target_t long"),
+        spark.createDataFrame(bars, "ticker string, t long, c double"), span, "c").collect()
+    want = {}
+    for k, at in targets:
+        inside = [(t, c) for j, t, c in bars if j == k and at - span <= t <= at]
+        if inside:
+            want[k, at] = (len(inside), min(inside)[0], max(inside)[0], sum(c for _, c in inside) / len(inside))
+    assert {(r.ticker, r.target_t) for r in got} == set(want)
+    for r in got:
+        assert (r.bars, r.first_t, r.last_t, r.mean_c) == (*want[r.ticker, r.target_t][:3], pytest.approx(want[r.ticker, r.target_t][3]))
 
 
 def test_orphans_count_rows_of_a_hot_key(spark):
@@ -123,6 +132,16 @@ def test_orphans_count_rows_of_a_hot_key(spark):
     assert (r.orphan_keys, r.orphan_rows) == (2, 51)
 
 
+def test_orphan_checks_share_a_scan(spark, tmp_path):
+    rows = [(1, 5), (1, None), (2, 6)]
+    spark.createDataFrame(rows, "a int, b int").write.parquet(f"{tmp_path}/child")
+    child, parent = spark.read.parquet(f"{tmp_path}/child"), spark.createDataFrame([(1,), (5,)], "pk int")
+    report = joins.orphan_report([("a", child, "a", parent, "pk"), ("b", child, "b", parent, "pk"), ("c", child, "a", child, "a")])
+    assert {r.foreign_key: (r.orphan_keys, r.orphan_rows) for r in report.collect()} == {"a": (1, 1), "b": (1, 1), "c": (0, 0)}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # once as a child, once as a parent
+
+
 @pytest.fixture(scope="module")
 def long_series(spark):
     rng = random.Random(8)

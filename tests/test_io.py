@@ -160,6 +160,74 @@ def test_stream_windows_equal_batch_over_many_batches(spark):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_compaction_that_stopped_is_finished(spark):
+    path = work_dir(spark, "t")
+    rows = spark.range(40).selectExpr("id", "id % 2 as ingest_date")
+    rows.repartition(4).write.partitionBy("ingest_date").parquet(path)
+    rows.repartition(1).write.partitionBy("ingest_date").parquet(f"{path}/{lake.STAGED}")
+    paths.delete(spark, f"{path}/ingest_date=0")
+    lake.finish_compaction(spark, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(40))
+    assert not paths.exists(spark, f"{path}/{lake.STAGED}")
+
+
+def test_missing_inputs_are_skipped(spark):
+    path = work_dir(spark, "t")
+    spark.range(3).write.json(f"{path}/a")
+    schema = spark.range(0).schema
+    wanted = [f"{path}/a/*.json", f"{path}/b/*.json", f"{path}/c"]
+    assert readers.json_files(spark, wanted, schema).count() == 3
+    assert readers.json_files(spark, f"{path}/none*", schema).count() == 0
+
+
+class Options:
+    """Stands for a reader or writer and keeps what it is told."""
+
+    def __init__(self):
+        self.told, self.read, self.readStream = {}, self, self
+
+    def option(self, key, value):
+        self.told[key] = value
+        return self
+
+    def options(self, **more):
+        self.told.update(more)
+        return self
+
+    def format(self, name):
+        return self.option("format", name)
+
+    def mode(self, name):
+        return self.option("mode", name)
+
+    def load(self):
+        return self
+
+    def select(self, *_):
+        return self
+
+    def save(self):
+        self.option("saved", True)
+
+    @property
+    def write(self):
+        return self
+
+
+def test_options_of_connectors_that_are_absent_here():
+    told = Options()
+    sources.kafka_messages(told, "b:1", "t", max_offsets=5, flush=sources.LAKE_FLUSH)
+    assert told.told["minOffsetsPerTrigger"] == 1000 and told.told["maxTriggerDelay"] == "60s"
+    assert told.told["subscribe"] == "t" and told.told["maxOffsetsPerTrigger"] == 5
+    told = Options()
+    readers.jdbc_table(told, "u", "t", ["a"], {"user": "x"}, ("id", 0, 9, 3))
+    assert told.told["numPartitions"] == 3 and told.told["partitionColumn"] == "id" and told.told["user"] == "x"
+    for sink, fmt in ((tables.jdbc_sink("u", "t", {}), "jdbc"), (tables.kafka_sink("b", "t"), "kafka")):
+        told = Options()
+        sink(told)
+        assert told.told["format"] == fmt and told.told["saved"]
+
+
 def test_sent_once_across_batches_and_restarts(spark):
     path, out = work_dir(spark, "t"), work_dir(spark, "t")
     schema = "message_id string, at timestamp"
