@@ -181,8 +181,8 @@ def sentiment_anomalies(
     """
     h = prior_totals(scores, key, order, value, slice_of)
     n, x = F.col("hist_n"), F.col(value)
-    mean = F.col("hist_s") / F.when(n > 0, n)
-    var = F.greatest(F.col("hist_ss") / F.when(n > 0, n) - mean * mean, F.lit(0.0))
+    mean = F.col("hist_mean")
+    var = F.col("hist_m2") / F.when(n > 0, n)
     short, flat = n < min_points, F.col("hist_lo") == F.col("hist_hi")
     usable = ~(short | flat)
     sd = F.when(usable, F.sqrt(var))

@@ -47,35 +47,53 @@ def without_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(SLICE, HALO)
 
 
+def _merged_moments(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """Count, mean and sum of squared deviations of two sets together."""
+    n = a[0] + b[0]
+    whole = F.when(n > 0, n)
+    gap = b[1] - a[1]
+    return n, a[1] + F.coalesce(gap * b[0] / whole, F.lit(0.0)), a[2] + b[2] + F.coalesce(gap * gap * a[0] * b[0] / whole, F.lit(0.0))
+
+
 def prior_totals(
     df: DataFrame, key: str, order: Sequence[str], value: str, slice_of: Column, prefix: str = "hist"
 ) -> DataFrame:
-    """Count, sum, sum of squares, min and max of all earlier rows of the key.
+    """Count, mean, sum of squared deviations (m2), min and max of all earlier rows of the key.
 
-    Totals per slice are partially aggregated; the running sum over slices sees one row per
-    slice; only the running sum inside a slice sees rows.
+    Totals per slice are partially aggregated; the running merge over slices sees one row
+    per slice; only the running aggregate inside a slice sees rows. Deviations are taken
+    from means, never as squares less squares, so a large mean does not swallow them.
     """
     v = F.col(value)
-    parts = {"n": F.count, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
-    of = {"ss": v * v}
-    combine = {"n": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
-
+    zero = F.lit(0.0)
     sliced = df.withColumn(SLICE, slice_of)
-    per_slice = sliced.groupBy(key, SLICE).agg(*[f(of.get(p, v)).alias(p) for p, f in parts.items()])
-    earlier = W.partitionBy(key).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carried = per_slice.select(key, SLICE, *[combine[p](p).over(earlier).alias(f"_c_{p}") for p in parts])
-
+    per_slice = sliced.groupBy(key, SLICE).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    whole, earlier = W.partitionBy(key), W.partitionBy(key).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    # Distances of the slices' means from the mean of the whole key.
+    centre = F.sum(F.col("mean") * F.col("n")).over(whole) / F.sum("n").over(whole)
+    centred = per_slice.withColumn("centre", centre).withColumn("d", F.col("mean") - F.col("centre"))
+    n, nd = F.sum("n").over(earlier), F.sum(F.col("n") * F.col("d")).over(earlier)
+    squares = F.sum(F.col("m2") + F.col("n") * F.col("d") * F.col("d")).over(earlier)
+    carried = centred.select(
+        key, SLICE, F.coalesce(n, F.lit(0)).alias("_c_n"),
+        F.coalesce(F.col("centre") + nd / n, zero).alias("_c_mean"),
+        F.coalesce(F.greatest(squares - nd * nd / n, zero), zero).alias("_c_m2"),
+        F.min("lo").over(earlier).alias("_c_lo"), F.max("hi").over(earlier).alias("_c_hi"),
+    )
     inside = sliced_window(key, order).rowsBetween(W.unboundedPreceding, -1)
-    rows = sliced.select("*", *[f(of.get(p, v)).over(inside).alias(f"_i_{p}") for p, f in parts.items()])
+    rows = sliced.select(
+        "*", F.count(v).over(inside).alias("_i_n"), F.coalesce(F.avg(v).over(inside), zero).alias("_i_mean"),
+        F.coalesce(F.var_pop(v).over(inside) * F.count(v).over(inside), zero).alias("_i_m2"),
+        F.min(v).over(inside).alias("_i_lo"), F.max(v).over(inside).alias("_i_hi"),
+    )
     joined = rows.join(carried, [key, SLICE])
-
-    def merged(p: str) -> Column:
-        a, b = F.col(f"_i_{p}"), F.col(f"_c_{p}")
-        if p in ("lo", "hi"):
-            return (F.least if p == "lo" else F.greatest)(a, b)
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-
-    return joined.select(*df.columns, *[merged(p).alias(f"{prefix}_{p}") for p in parts])
+    before, own = (tuple(F.col(f"_{side}_{p}") for p in ("n", "mean", "m2")) for side in "ci")
+    n, mean, m2 = _merged_moments(before, own)
+    return joined.select(
+        *df.columns, n.alias(f"{prefix}_n"), F.when(n > 0, mean).alias(f"{prefix}_mean"), m2.alias(f"{prefix}_m2"),
+        F.least("_i_lo", "_c_lo").alias(f"{prefix}_lo"), F.greatest("_i_hi", "_c_hi").alias(f"{prefix}_hi"),
+    )
 
 
 def _covers(seconds: int, bucket: int) -> int:

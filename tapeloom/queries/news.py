@@ -429,15 +429,18 @@ _H = "(PARTITION BY ticker ORDER BY published_s, doc_id, i ROWS BETWEEN UNBOUNDE
 
 @query(
     "win12_sentiment_anomaly",
-    f"WITH {MENTIONS}, h AS (SELECT ticker, doc_id, CAST(i AS INTEGER) AS i, score, count(*) OVER {_H} AS n, avg(score) OVER {_H} AS mean, stddev_pop(score) OVER {_H} AS sd, min(score) OVER {_H} AS lo, max(score) OVER {_H} AS hi FROM mentions), "
+    f"WITH {MENTIONS}, h AS (SELECT ticker, doc_id, CAST(i AS INTEGER) AS i, score, count(*) OVER {_H} AS n, avg(score) OVER {_H} AS mean, stddev_pop(score) OVER {_H} AS sd, min(score) OVER {_H} AS lo, max(score) OVER {_H} AS hi FROM (SELECT ticker, doc_id, i, published_s, score FROM mentions UNION ALL SELECT 'FLAT', doc_id, i, published_s, 0.25 FROM mentions WHERE i = 0) m), "
     f"k AS (SELECT *, n < 10 AS short, n >= 10 AND lo = hi AS flat, CASE WHEN n >= 10 AND lo <> hi THEN abs(score - mean) / sd END AS z FROM h) "
     f"SELECT ticker, doc_id, i, score, coalesce(z > 2, FALSE) AS is_anomaly, CASE WHEN short THEN 'insufficient_history' WHEN flat THEN 'no_variance' END AS reason, {r('z', 2)} AS z_score, "
     f"CASE WHEN z IS NOT NULL THEN {r('mean', 4)} END AS avg_sentiment, CASE WHEN z IS NOT NULL THEN {r('sd', 4)} END AS std_dev, CASE WHEN z IS NOT NULL THEN CASE WHEN score > mean THEN 'spike' ELSE 'drop' END END AS direction FROM k",
 )
 def win12(v: Views):
+    """The mentions, and a series that never moves."""
     m = v.mentions.select("ticker", "doc_id", "i", "published_s", F.col("sentiment_score").alias("score"))
-    day = F.floor(F.col("published_s") / F.lit(86_400))
-    return indicators.sentiment_anomalies(m, "ticker", ["published_s", "doc_id", "i"], "score", day).drop("published_s")
+    flat = m.filter("i = 0").withColumns({"ticker": F.lit("FLAT"), "score": F.lit(0.25)})
+    hour = F.floor(F.col("published_s") / F.lit(3_600))
+    rows = m.unionByName(flat)
+    return indicators.sentiment_anomalies(rows, "ticker", ["published_s", "doc_id", "i"], "score", hour).drop("published_s")
 
 
 # Ranking ----------------------------------------------------------------------------------

@@ -147,15 +147,19 @@ def test_window_must_be_whole_buckets(spark):
         slices.trailing_stats(ticks, (90,))
 
 
-def test_prior_totals_against_loops(spark):
+@pytest.mark.parametrize("base", [0.0, 1e9])
+def test_prior_totals_against_loops(spark, base):
+    """A large mean does not swallow the deviations."""
     rng = random.Random(2)
-    rows = [("HOT" if rng.random() < 0.7 else "B", i, rng.uniform(-1, 1)) for i in range(200)]
+    rows = [("HOT" if rng.random() < 0.7 else "B", i, base + rng.uniform(-1, 1)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i int, x double")
     for r in slices.prior_totals(df, "k", ["i"], "x", F.floor(F.col("i") / 16)).collect():
         earlier = [x for k, i, x in rows if k == r.k and i < r.i]
         assert r.hist_n == len(earlier)
-        assert r.hist_s == pytest.approx(sum(earlier), abs=1e-9)
-        assert r.hist_ss == pytest.approx(sum(x * x for x in earlier), abs=1e-9)
+        assert (r.hist_mean is None) == (not earlier)
+        if earlier:
+            assert r.hist_mean == pytest.approx(statistics.fmean(earlier), abs=1e-6)
+            assert r.hist_m2 == pytest.approx(statistics.pvariance(earlier) * len(earlier), abs=1e-4)
         assert (r.hist_lo, r.hist_hi) == ((min(earlier), max(earlier)) if earlier else (None, None))
 
 
