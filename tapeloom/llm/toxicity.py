@@ -104,10 +104,34 @@ def distinct_texts(texts: list[str]) -> list[str]:
     return kept
 
 
+def phrases_of(words: list[str], wanted: set[str]) -> set[tuple[str, str]]:
+    """(word, phrase) for the wanted words of a text: each with the word before it and the word after it."""
+    hits = [i for i, w in enumerate(words) if w in wanted]
+    return {(words[i], f" {words[j]} {words[j + 1]} ") for i in hits for j in (i - 1, i) if 0 <= j < len(words) - 1}
+
+
+def excused(words: set[str], toxic: list[str], clean: list[str]) -> dict[str, tuple[str, int]]:
+    """For words that clean texts use too: the phrase that is most of that use, and how many clean texts use them otherwise.
+
+    The phrase must be three times as frequent in clean texts as in toxic ones.
+    """
+    counts = (Counter(), Counter())
+    for count, texts in zip(counts, (clean, toxic), strict=True):
+        for text in texts:
+            count.update(phrases_of(text.split(), words))
+    best: dict[str, tuple[int, str]] = {}
+    for (word, phrase), n in counts[0].items():
+        if n >= 3 and n > 3 * counts[1][word, phrase]:
+            best[word] = max(best.get(word, (0, "")), (n, phrase))
+    return {word: (phrase, sum(f" {word} " in text.replace(phrase, "  ") for text in clean)) for word, (_, phrase) in best.items()}
+
+
 def chosen_entries(toxic: list[str], clean: list[str]) -> dict[str, float]:
     """Entries by weight: greedily those that reach most toxic texts that are in need of one, less the clean ones.
 
-    Of entries that reach the same texts the longest is taken, and none that begins as one already taken does.
+    Of entries that reach the same texts the longest is taken, and none that begins as one
+    already taken does. A word whose clean use is one phrase may be an entry, with that
+    phrase as an exception of opposite weight.
     """
     reached = defaultdict(set)
     for i, text in enumerate(toxic):
@@ -123,8 +147,20 @@ def chosen_entries(toxic: list[str], clean: list[str]) -> dict[str, float]:
         return (math.log((len(reached[entry]) + 0.5) / (len(toxic) + 1))
                 - math.log((harmless[entry] + 0.5) / (len(clean) + 1)))
 
+    def telling(entry: str) -> bool:
+        sure = log_odds(entry) - 2 / math.sqrt(len(reached[entry]) + 0.5)  # few texts may be chance
+        return sure >= 2.5 and harmless[entry] * 10 <= len(reached[entry])
+
+    doubtful = {e.strip() for e in reached if e.endswith(" ") and log_odds(e) > 0 and not telling(e)}
+    exceptions = {}
+    for word, (phrase, otherwise) in excused(doubtful, toxic, clean).items():
+        before, harmless[f" {word} "] = harmless[f" {word} "], otherwise
+        if telling(f" {word} "):
+            exceptions[f" {word} "] = phrase
+        else:
+            harmless[f" {word} "] = before
     need = [DEMAND] * len(toxic)
-    heap = [(-len(texts), -len(e), e) for e, texts in reached.items() if log_odds(e) >= 2.5 and harmless[e] * 10 <= len(texts)]
+    heap = [(-len(texts), -len(e), e) for e, texts in reached.items() if telling(e)]
     heapq.heapify(heap)
     weights: dict[str, float] = {}
     while heap:
@@ -140,23 +176,7 @@ def chosen_entries(toxic: list[str], clean: list[str]) -> dict[str, float]:
         weights[entry] = min(LARGEST_WEIGHT, log_odds(entry))
         for i in reached[entry]:
             need[i] -= 1
-    return weights
-
-
-def exception_phrases(weights: dict[str, float], toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Two-word phrases around an entry that clean texts use and toxic ones do not, with the weight they take back."""
-    counts = (Counter(), Counter())
-    for y, texts in enumerate((clean, toxic)):
-        for text in texts:
-            words = text.split()
-            hit = [i for i, w in enumerate(words) if f" {w} " in weights or any(f" {w[:n]}" in weights for n in BEGINNINGS)]
-            counts[y].update({f" {words[j]} {words[j + 1]} " for i in hit for j in (i - 1, i) if 0 <= j < len(words) - 1})
-    found = {}
-    for phrase, n in counts[0].items():
-        if n >= 3 and n > 3 * counts[1][phrase]:
-            inside = [e for e in weights if e in phrase]
-            found[phrase] = -sum(weights[e] for e in inside)
-    return found
+    return weights | {phrase: -weights[entry] for entry, phrase in exceptions.items() if entry in weights}
 
 
 def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
@@ -166,7 +186,6 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
     lexicon = Lexicon()
     if toxic:
         lexicon.weights = chosen_entries(toxic, clean)
-        lexicon.weights |= exception_phrases(lexicon.weights, toxic, clean)
     machine = lexicon.automaton()
     x = np.array([[1.0, *lexicon.features(machine, t)] for t in clean + toxic]).reshape(-1, 3)
     y = np.array([0.0] * len(clean) + [1.0] * len(toxic))
@@ -181,7 +200,7 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Lexicon:
     """A lexicon from the labelled documents for which `usable` holds, a bounded sample of them (SAMPLE)."""
-    rows = labelled_sample(docs, labels, "toxic", usable, SAMPLE).select("text", "y").distinct().toArrow()
+    rows = labelled_sample(docs, labels, "toxic", usable, SAMPLE).select("text", "y").toArrow()
     pairs = sorted(zip(rows["text"].to_pylist(), rows["y"].to_pylist(), strict=True))
     return learn(pairs)
 
