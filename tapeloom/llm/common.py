@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Bytes of the longest text a model is fitted on.
+LONGEST_SAMPLED = 1 << 16
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
 SLICE_BYTES = 8 << 20
 
@@ -18,12 +20,12 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch cut so that the binary column holds about SLICE_BYTES a piece."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that the binary column holds about `most` bytes a piece."""
     sizes = batch.column(column)
     start = held = 0
     for i, size in enumerate(pa.compute.binary_length(sizes).to_pylist()):
-        if held and held + size > SLICE_BYTES:
+        if held and held + size > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
@@ -78,10 +80,10 @@ def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limits: dict[int, int]) -> DataFrame:
     """(text, y) of the labelled documents, at most `limits[y]` of each class, those with the smallest hash of the id.
 
-    Ids labelled in both ways are left out, as are null ids and labels. The limit
-    bounds what a model is fitted on; it never bounds what is scored. Only ids
-    travel to the sort, and the chosen ones are broadcast: at most the sum of the
-    limits.
+    Ids labelled in both ways are left out, as are null ids and labels, and texts over
+    LONGEST_SAMPLED bytes; of several texts of an id the smallest is taken. So rows and
+    bytes of what a model is fitted on are bounded; what is scored never is. Only ids
+    travel to the sort, and the chosen ones are broadcast: at most the sum of the limits.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
@@ -94,5 +96,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", utf8("text").alias("text"), F.col("y").cast("int").alias("y"))
+    texts = docs.select("doc_id", utf8("text").alias("text")).where(F.octet_length("text") <= LONGEST_SAMPLED)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("y").cast("int").alias("y")).agg(
+        F.min("text").alias("text"))
