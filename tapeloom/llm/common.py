@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -24,7 +25,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     """The batch cut so that the binary column holds about `most` bytes a piece."""
     sizes = batch.column(column)
     start = held = 0
-    for i, size in enumerate(pa.compute.binary_length(sizes).to_pylist()):
+    for i, size in enumerate(pc.binary_length(sizes).to_pylist()):
         if held and held + size > most:
             yield batch.slice(start, i - start)
             start, held = i, 0

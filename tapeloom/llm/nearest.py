@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """Lists of longs as rows of doubles; a shorter list is filled up with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values, lengths = column.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    values, lengths = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False)
     if (lengths == width).all():
         return values.reshape(len(lengths), width).astype(np.float64)
     out = np.zeros((len(lengths), width))
@@ -156,7 +157,7 @@ class Index:
                     for column, values in zip(out, ([q] * len(use), [query_id] * len(use), ids[use], scores[row][use]), strict=True):
                         column.extend(values)
             q, query_id, vec_id, score = (pa.array(c, pa.int64()) for c in out)
-            vec_id = pa.compute.if_else(pa.compute.equal(vec_id, NO_ID), None, vec_id)
+            vec_id = pc.if_else(pc.equal(vec_id, NO_ID), None, vec_id)
             return pa.table({"q": q, "query_id": query_id, "vec_id": vec_id, "score": score})
 
         part = F.pmod(F.xxhash64("q"), F.lit(batches)).alias("part")

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from tapeloom.llm.common import labelled_sample, map_texts

@@ -127,7 +127,8 @@ def test_the_sample_is_bounded_and_skips_what_contradicts(spark):
 
     ones = {i for i in range(1, 50, 2) if zlib.crc32(str(i).encode()) % 3 != 1} - {7}
     assert {r.doc_id for r in got if r.y == 1} == ones and sum(r.y == 0 for r in got) == 5
-    again = docs.unionByName(docs).unionByName(spark.createDataFrame([(3, "x" * 70_000), (5, "a")], docs.schema))
+    some = min(ones)
+    again = docs.unionByName(docs).unionByName(spark.createDataFrame([(3, "x" * 70_000), (some, "a")], docs.schema))
     more = {r.doc_id: r.text.decode() for r in labelled_sample(again, labels, "toxic", ~test, {0: 5, 1: 1000}).collect()}
-    assert len(more) == len(got) and more[5] == "a" and all(len(t) < 10 for t in more.values())
+    assert len(more) == len(got) and more[some] == "a" and all(len(t) < 10 for t in more.values())
     assert not {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
