@@ -11,6 +11,7 @@ from tapeloom.functions.rounding import half_up, ratio
 from tapeloom.functions.text import content_key, lenient_array, lenient_strings, safe_double
 from tapeloom.functions.timing import parse_published
 
+# Fields of a message that are empty text when absent.
 FLAT_DEFAULTS = ("title", "url", "time_published", "summary", "source", "source_domain")
 
 

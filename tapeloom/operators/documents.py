@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import composite_key, split_trim, surrogate_key
 from tapeloom.operators.joins import exchange_mic
 
+# Fields of the company and market documents.
 COMPANY_FIELDS = (
     "ticker", "name", "market", "locale", "primary_exchange", "type", "active", "currency_name", "cik",
     "composite_figi", "share_class_figi",

@@ -8,7 +8,7 @@ from tapeloom.functions.rounding import half_up
 from tapeloom.operators import candles, learning, ranking
 from tapeloom.queries.registry import query
 from tapeloom.session import materialize
-from tapeloom.views import RETURNS, Views, r
+from tapeloom.views import BARS, RETURNS, Views, r
 
 _X = [(i, f) for i in range(learning.WINDOW) for f in "ohlcv"]
 _W = "(PARTITION BY ticker ORDER BY d)"
@@ -161,6 +161,20 @@ def mlx7(v: Views):
     return b.select("ticker", "d", *_round(b, "prediction", "actual_return", "abs_error"), "direction_hit")
 
 
+@query(
+    "mlx7_hourly_backtest",
+    f"WITH {BARS}, nb AS (SELECT *, (c - o) / nullif(o, 0) AS p, lead(t) OVER w AS nt, lead(c) OVER w AS nc FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY t)), "
+    "scored AS (SELECT *, CASE WHEN nt <= t + 604800000 THEN (nc - c) / nullif(c, 0) END AS a FROM nb) "
+    f"SELECT ticker, t, {r('p', 6)} AS prediction, {r('a', 6)} AS actual_return, {r('abs(p - a)', 6)} AS abs_error, (p > 0) = (a > 0) AS direction_hit FROM scored",
+)
+def mlx7_hourly(v: Views):
+    """The same on bars of any width: the next bar is found in slices of time, so a hot ticker is split."""
+    bars = v.bars.select("ticker", "t", *"ohlcv")
+    points = bars.select("ticker", "t", "c", ((F.col("c") - F.col("o")) / F.nullif(F.col("o"), F.lit(0.0))).alias("prediction"))
+    b = learning.against_next_bar(points, bars)
+    return b.select("ticker", "t", *_round(b, "prediction", "actual_return", "abs_error"), "direction_hit")
+
+
 _MONTH = "1998-06-01"
 _MONTH_SQL = (
     RETURNS + f", targets AS (SELECT ticker, CAST(day AS DATE) AS td FROM (SELECT DISTINCT ticker FROM daily) x CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{_MONTH}', TIMESTAMP '1998-06-30', INTERVAL 1 DAY)) AS day) y), "
@@ -177,9 +191,11 @@ _MONTH_SQL = (
     f"WITH {_MONTH_SQL} SELECT ticker, epoch_ms(CAST(td AS TIMESTAMP)) - 1 AS target_t, epoch_ms(CAST(nd AS TIMESTAMP)) AS t, {r('nc', 4)} AS c, nv AS v, {r('pred', 4)} AS pred_price FROM targets LEFT JOIN ahead USING (ticker, td) LEFT JOIN priced USING (ticker, td)",
 )
 def mlx8(v: Views):
-    bars = v.daily_t.select("ticker", "t", *"ohlcv")
+    daily = materialize(v.daily.select("ticker", "d", *"ohlcv"), "daily")  # built once, read by every look-up
+    bars = daily.select("ticker", (F.unix_date("d").cast("long") * candles.DAY_MS).alias("t"), *"ohlcv")
     targets = learning.month_targets(bars, _MONTH)
-    scored = _persistence(learning.vectors_as_of(targets, bars, _returns(v)))
+    returns = candles.percent_returns(candles.fill_calendar(daily))
+    scored = _persistence(learning.vectors_as_of(targets, bars, returns))
     table = learning.month_backtest(targets, scored, bars)
     return table.select("ticker", "target_t", "t", *_round(table, "c", digits=4), "v", *_round(table, "pred_price", digits=4))
 
