@@ -104,10 +104,25 @@ def distinct_texts(texts: list[str]) -> list[str]:
     return kept
 
 
-def phrases_of(words: list[str], wanted: set[str]) -> set[tuple[str, str]]:
-    """(word, phrase) for the wanted words of a text: each with the word before it and the word after it."""
-    hits = [i for i, w in enumerate(words) if w in wanted]
-    return {(words[i], f" {words[j]} {words[j + 1]} ") for i in hits for j in (i - 1, i) if 0 <= j < len(words) - 1}
+def usual_neighbours(wanted: set[str], texts: list[str]) -> dict[str, list[str]]:
+    """For each wanted word the phrases with the word before and the word after it that a majority of its uses could be.
+
+    A vote per word and side: a neighbour that makes up more than half of the uses wins it.
+    """
+    votes: tuple[dict, dict] = ({}, {})
+    for text in texts:
+        words = ["", *text.split(), ""]
+        for i in range(1, len(words) - 1):
+            if (word := words[i]) in wanted:
+                for vote, other in zip(votes, (words[i - 1], words[i + 1]), strict=True):
+                    held, n = vote.get(word, ("", 0))
+                    vote[word] = (held, n + 1) if held == other else (held, n - 1) if n else (other, 1)
+    phrases = defaultdict(list)
+    for vote, form in zip(votes, (lambda w, o: f" {o} {w} ", lambda w, o: f" {w} {o} "), strict=True):
+        for word, (other, n) in vote.items():
+            if other and n:
+                phrases[word].append(form(word, other))
+    return phrases
 
 
 def excused(words: set[str], toxic: list[str], clean: list[str]) -> dict[str, tuple[str, int]]:
@@ -115,15 +130,26 @@ def excused(words: set[str], toxic: list[str], clean: list[str]) -> dict[str, tu
 
     The phrase must be three times as frequent in clean texts as in toxic ones.
     """
-    counts = (Counter(), Counter())
-    for count, texts in zip(counts, (clean, toxic), strict=True):
+    phrases = usual_neighbours(words, clean)
+    within, otherwise = (Counter(), Counter()), Counter()
+    for y, texts in enumerate((clean, toxic)):
         for text in texts:
-            count.update(phrases_of(text.split(), words))
+            found, outside = set(), set()
+            around = ["", *text.split(), ""]
+            for i in range(1, len(around) - 1):
+                for phrase in phrases.get(around[i], ()):
+                    if phrase in (f" {around[i - 1]} {around[i]} ", f" {around[i]} {around[i + 1]} "):
+                        found.add((around[i], phrase))
+                    else:
+                        outside.add((around[i], phrase))
+            within[y].update(found)
+            if y == 0:
+                otherwise.update(outside)
     best: dict[str, tuple[int, str]] = {}
-    for (word, phrase), n in counts[0].items():
-        if n >= 3 and n > 3 * counts[1][word, phrase]:
-            best[word] = max(best.get(word, (0, "")), (n, phrase))
-    return {word: (phrase, sum(f" {word} " in text.replace(phrase, "  ") for text in clean)) for word, (_, phrase) in best.items()}
+    for (word, phrase), n in within[0].items():
+        if n >= 3 and n > 3 * within[1][word, phrase]:
+            best[word] = min(best.get(word, (len(clean) + 1, "")), (otherwise[word, phrase], phrase))
+    return {word: (phrase, n) for word, (n, phrase) in best.items()}
 
 
 def chosen_entries(toxic: list[str], clean: list[str]) -> dict[str, float]:
