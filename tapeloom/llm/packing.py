@@ -12,6 +12,7 @@ tier are dealt to steps of equal tokens by their attention cost, in turns.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -28,14 +29,14 @@ from tapeloom.llm.common import slices, utf8
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step: as many windows of a tier as make up eight of the longest.
 STEP_TOKENS = 8 * 4096
-#: Distinct words a task remembers; beyond it the table starts anew, which costs time only.
-REMEMBERED = 500_000
-
-
+#: Bytes of text packed at once, and split into words at once: these are objects of their own, many times the text.
+BLOCK_BYTES, ENCODED_BYTES = 4 << 20, 1 << 20
+#: Distinct words after which a task begins a new table of words and takes from the last one what it meets again.
+REMEMBERED = 100_000
 #: Signs that may stand between words sent to the tokenizer together; the first that is one token is used.
 SEPARATORS = ("⚽", "✨", "♥", "🎉")
 #: Words in a line, and lines in a call: the library's answers are many times the ids.
-LINE, CALL = 500, 20
+LINE, CALL = 500, 8
 
 
 def encoder(tokenizer_path: str, end: int):
@@ -49,6 +50,8 @@ def encoder(tokenizer_path: str, end: int):
     """
     from tokenizers import Tokenizer
 
+    # Spark's tasks are the parallelism; the library's own threads cost memory and time on top.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(tokenizer_path)
 
     def plain(texts: list[str]) -> list[np.ndarray]:
@@ -59,33 +62,45 @@ def encoder(tokenizer_path: str, end: int):
     tails = {mark: ids.tobytes() for mark, ids in zip((b".", b","), plain([".", ","]), strict=True)}
     last = np.array([end], np.uint32).tobytes()
     known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
 
     def learn(words: set[bytes]) -> None:
         bare = {w: w[:-1] for w in words if w[-1:] in tails and w[-2:-1].isalpha()}
-        new = list((words.difference(bare) | set(bare.values())).difference(known))
-        lines = [new[i : i + LINE] for i in range(0, len(new), LINE)]
-        for at in range(0, len(lines), CALL):
-            some = lines[at : at + CALL]
-            for line, ids in zip(some, plain([between.join(w.decode() for w in line) for line in some]), strict=True):
+        new = (words.difference(bare) | set(bare.values())).difference(known)
+        again = {w: older[w] for w in new if w in older}
+        known.update(again)
+        new = list(new.difference(again))
+        for at in range(0, len(new), LINE * CALL):
+            some = new[at : at + LINE * CALL]
+            lines = [some[i : i + LINE] for i in range(0, len(some), LINE)]
+            for line, ids in zip(lines, plain([between.join(w.decode() for w in line) for line in lines]), strict=True):
                 cuts = np.flatnonzero(ids == sign_id).tolist()
                 starts, ends = [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), 4 * len(ids)]
                 flat = ids.tobytes()
                 known.update((w, flat[a:b]) for w, a, b in zip(line, starts, ends, strict=True))
         known.update((w, known[core] + tails[w[-1:]]) for w, core in bare.items())
 
-    def encode(texts: list[bytes]) -> list[np.ndarray]:
+    def encode_some(texts: list[bytes]) -> list[np.ndarray]:
+        nonlocal known, older
         whole = {i for i, t in enumerate(texts) if b"<|" in t or sign_bytes in t}
         words = [[] if i in whole else t.lower().split() for i, t in enumerate(texts)]  # ASCII letters and blanks
-        new = set().union(*words).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*words)
-        learn(new)
+        if len(known) > REMEMBERED:
+            known, older = {}, known
+        learn(set().union(*words).difference(known))
         found = [np.frombuffer(b"".join(map(known.__getitem__, ws)) + last, np.uint32) for ws in words]
         for i, ids in zip(sorted(whole), plain([texts[i].decode() for i in sorted(whole)]), strict=True):
             found[i] = np.append(ids, np.uint32(end))
         return found
 
+    def encode(texts: list[bytes]) -> list[np.ndarray]:
+        found, start, held = [], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= ENCODED_BYTES or i == len(texts) - 1:
+                found += encode_some(texts[start : i + 1])
+                start, held = i + 1, 0
+        return found
+
     return encode
 
 
@@ -186,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, text: str = "text", ids
         base = TaskContext.get().partitionId() << 40  # tasks number their windows apart
         sequences = steps = base
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, BLOCK_BYTES):
                 found = encode(part.column(at).to_pylist())
                 windows = pack_block(list(map(len, found)))
                 rows = []
@@ -199,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, text: str = "text", ids
                 sequences += len(windows)
                 steps += max((r[8] for r in rows), default=steps) - steps + 1
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                kept = part.take(columns[0]).columns[:at]
+                kept = part.select(list(range(at))).take(columns[0]).columns
                 arrays = [*kept, *columns[1:7], columns[7].cast(pa.int32()), columns[8]]
                 if ids:
                     arrays.append(pa.array([found[d][s : s + n].astype(np.int32) for d, s, n, *_ in rows], pa.list_(pa.int32())))
