@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tapeloom.session import materialize
+
 #: Bytes of the longest text a model is fitted on.
 LONGEST_SAMPLED = 1 << 16
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
@@ -55,6 +57,11 @@ def map_texts(rows: DataFrame, text: str, fields: list[StructField], make: Calla
     return carried.mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with "\u0001row", a number of each row, written once: a second scan may cut the table elsewhere and number it anew."""
+    return materialize(docs.withColumn("\u0001row", F.monotonically_increasing_id()), "numbered")
+
+
 def repeat_rows(rows: DataFrame, count: str, index: str) -> DataFrame:
     """Each row `count` times, numbered from 0 in `index`; two short sequences, so no array grows with a hot group."""
     step = 4096

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import repeat_rows
+from tapeloom.llm.common import numbered, repeat_rows
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Cells that one size class of one source is spread over.
@@ -125,12 +125,12 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int =
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **shares) -> DataFrame:
     """The mixed documents: every row of `docs`, as often as its copies say, with the columns of `docs`.
 
-    Copies are computed on narrow rows numbered by their place in the scan, so
-    `docs` must be a table that reads the same twice. The text moves once, in the
-    join by that number, which no hot source or copied text can skew.
+    Copies are computed on narrow rows of a table written once with a number of each
+    row. The text moves once more, in the join by that number, which no hot source or
+    copied text can skew.
     """
-    numbered = docs.withColumn("\u0001row", F.monotonically_increasing_id())
-    drawn = copies(numbered.select("source", key, text, "\u0001row"), text=text, key=key, **shares)
+    whole = numbered(docs)
+    drawn = copies(whole.select("source", key, text, "\u0001row"), text=text, key=key, **shares)
     drawn = drawn.where("copies > 0").select("\u0001row", F.col("copies").alias("\u0001copies"))
-    mixed = repeat_rows(numbered.join(drawn, "\u0001row"), "\u0001copies", "\u0001i")
+    mixed = repeat_rows(whole.join(drawn, "\u0001row"), "\u0001copies", "\u0001i")
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])

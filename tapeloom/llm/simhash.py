@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from tapeloom.llm.common import map_texts
+from tapeloom.llm.common import map_texts, numbered
 from tapeloom.session import materialize
 
 MOST = 4
@@ -300,12 +300,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WORD_COUNT) -> DataFrame:
     """The rows of `docs`, in its columns, of which each group keeps one: that with the smallest key, null last.
 
-    Rows are numbered by their place in the scan, so `docs` must be a table that reads
-    the same twice; of equal keys in a group the first place stays.
+    Rows are numbered once and written with their number; of equal keys in a group the first number stays.
     """
-    numbered = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    whole = numbered(docs)
+    rows = whole.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("\u0001row").alias("row"))
     place = F.struct(F.col("key").isNull(), "key", "row")
-    marked = materialize(fingerprints(numbered, "text", width), "fingerprints")
+    marked = materialize(fingerprints(rows, "text", width), "fingerprints")
     named = classes(marked, place)
     out = marked.join(named, "fp").where(F.col("first.row") != F.col("row")).select(F.col("row").alias("\u0001row"))
-    return docs.withColumn("\u0001row", F.monotonically_increasing_id()).join(out, "\u0001row", "left_anti").drop("\u0001row")
+    return whole.join(out, "\u0001row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
