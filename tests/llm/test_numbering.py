@@ -4,11 +4,11 @@ import random
 
 import pytest
 
-from tapeloom.llm import mixing, simhash
+from tapeloom.llm import mixing, resemblance, simhash
 from tests.llm.conftest import SCHEMA, prose
 
 
-@pytest.mark.parametrize("kept", [simhash.one_of_each])
+@pytest.mark.parametrize("kept", [simhash.one_of_each, resemblance.one_of_each])
 def test_rows_keep_their_number_when_the_table_is_cut_elsewhere(spark, tmp_path, kept):
     rng = random.Random(8)
     rows = [(i, prose(rng, 40), "en", "a", 1) for i in range(60)]
