@@ -2,7 +2,7 @@
 
 A SentencePiece BPE vocabulary without a piece that crosses from a character
 into a space can be counted by pre-token: a run of spaces and what follows it up
-to the next space. Each task keeps the piece count of every distinct pre-token it
+to the next space. The character U+2581 is a space to the model, and so it is here. Each task keeps the piece count of every distinct pre-token it
 has met, joins it to a document's pre-token frequencies, and sums; ids are never
 made. There is no shuffle: the frequencies of all documents would be many times
 the text, the distinct pre-tokens of a task are few.
@@ -47,7 +47,7 @@ def piece_counter(model_path: str):
 
     def count(texts: list[bytes]) -> list[int]:
         nonlocal known
-        frequencies = [Counter(PRE_TOKEN.findall(" " + t.decode())) if t else Counter() for t in texts]
+        frequencies = [Counter(PRE_TOKEN.findall(" " + t.decode().replace("▁", " "))) if t else Counter() for t in texts]
         new = list({p for f in frequencies for p in f if p not in known})
         if len(known) + len(new) > REMEMBERED:
             known = {" ": 1}

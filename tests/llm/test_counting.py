@@ -33,6 +33,19 @@ def test_pre_tokens_sum_to_the_text(text):
     assert token_counts.piece_counter(PIECES)([text.encode()]) == [len(model.encode(text))]
 
 
+def test_lower_one_eighth_blocks_count_as_spaces():
+    """U+2581 in texts: sparklines, progress bars, next to spaces and alone; each as the library counts it."""
+    import random
+
+    import sentencepiece
+
+    model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(2)
+    texts = ["▁ ▂ ▃", "load: ▁▁▁ ▁▁▂ ▁", "▁", "▁▁", " ▁", "▁ ", "a▁", "▁a"]
+    texts += ["".join(rng.choices("▁▁  ▂ab\n", k=rng.randint(1, 40))) for _ in range(20_000)]
+    got = token_counts.piece_counter(PIECES)([t.encode() for t in texts])
+    assert [t for t, n, ids in zip(texts, got, model.encode(texts), strict=True) if n != len(ids)] == []
+
+
 def test_forgetting_pre_tokens_changes_nothing(monkeypatch):
     texts = [b"a b c d e f", b"a b", b"g h i a", b" "]
     want = token_counts.piece_counter(PIECES)(texts)
