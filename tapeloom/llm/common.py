@@ -36,22 +36,26 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def map_texts(rows: DataFrame, text: str, fields: list[StructField], make: Callable) -> DataFrame:
+def map_texts(
+    rows: DataFrame, text: str, fields: list[StructField], make: Callable, beside: str | None = None
+) -> DataFrame:
     """`rows` without `text`, and with the columns `fields` computed from whole texts in Arrow batches.
 
     `make()` is called once per task and returns a function from a list of bytes
-    to one Arrow array per field. Columns keep their place, so names may clash.
+    to one Arrow array per field; with `beside`, from that list and the values of that
+    column. Columns keep their place, so names may clash.
     """
     keep = [f for f in rows.schema.fields if f.name != text]
     schema = StructType([*keep, *fields])
     carried = rows.select(*[F.col(f"`{f.name}`") for f in keep], utf8(F.col(f"`{text}`")).alias("\u0001text"))
     at, names = len(keep), [f.name for f in schema.fields]
+    told = [i for i, f in enumerate(keep) if f.name == beside][:1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in slices(batch, at):
-                arrays = work(part.column(at).to_pylist())
+                arrays = work(part.column(at).to_pylist(), *[part.column(i).to_pylist() for i in told])
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *arrays], names=names)
 
     return carried.mapInArrow(run, schema)

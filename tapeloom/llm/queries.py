@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import credential_scan, exact_dedup, mixing, nearest, packing, quality, sharding, simhash, token_counts, toxicity
+from tapeloom.llm import (
+    credential_scan, decontamination, exact_dedup, mixing, nearest, packing, periodic_runs, quality, sharding, simhash, spelling,
+    token_counts, toxicity,
+)
 from tapeloom.llm.common import held_out, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +185,143 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: A column `crc` of one row: the 256 steps of CRC-32 by its polynomial.
+CRC_STEPS = """
+steps AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc)
+"""
+
+
+def crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of byte values, for rows joined to `steps`."""
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), "
+            "lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)))")
+
+
+def planted(doc_id: int | None, words: np.ndarray) -> np.ndarray:
+    """The words of a text, of every tenth one with a repetition from some word on; a null id is the text ''."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    return words[np.r_[0:a, a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))]]
+
+
+OP11_SQL = f"""
+WITH {CRC_STEPS},
+split AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w,
+         {crc32_sql("list_transform(string_split(coalesce(cast(doc_id AS VARCHAR), ''), ''), lambda s: ascii(s)::BIGINT)")} AS h
+  FROM documents, steps),
+dealt AS MATERIALIZED (
+  SELECT row, doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AS moved,
+         CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+word AS MATERIALIZED (
+  SELECT row, n, i, CASE WHEN moved AND i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE w[i + 1] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM dealt)),
+equal AS (
+  SELECT x.row, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.row = y.row AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT row, i, q, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY row, q, island),
+runs AS MATERIALIZED (
+  SELECT row, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY row, start, length),
+told AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+         first(start ORDER BY length::DOUBLE / period DESC, start, period) AS start,
+         first(length ORDER BY length::DOUBLE / period DESC, start, period) AS length,
+         first(period ORDER BY length::DOUBLE / period DESC, start, period) AS period FROM runs GROUP BY row),
+kept AS (
+  SELECT row, string_agg(w, ' ' ORDER BY i) AS collapsed FROM word
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.row = word.row AND word.i >= r.start + r.period AND word.i < r.start + r.length)
+  GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM dealt LEFT JOIN told USING (row) LEFT JOIN kept USING (row)
+"""
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs, beside="doc_id", arrange=planted)
+    listed = F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("greatest.start").alias("start"),
+        F.col("greatest.length").alias("length"), F.col("greatest.period").alias("period"),
+        F.expr("1000 * greatest.length div greatest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def utf8_codes_sql(text: str) -> str:
+    """The UTF-8 bytes of a text of characters up to U+00FF."""
+    return (f"flatten(list_transform(string_split({text}, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] "
+            "ELSE [195::BIGINT, unicode(s)::BIGINT - 64] END))")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_STEPS},
+found AS (
+  SELECT coalesce(cast(doc_id AS VARCHAR), '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS w FROM documents),
+own AS (SELECT id, w, count(*) AS n FROM found WHERE length(w) >= 5 GROUP BY id, w),
+checked AS (SELECT w, n, {crc32_sql(utf8_codes_sql("id || ':' || w"))} AS h FROM own, steps),
+vocabulary AS MATERIALIZED (
+  SELECT w, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM checked)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+rests AS MATERIALIZED (
+  SELECT w, n, i, w[:i] || w[i + 2:] AS rest FROM (SELECT *, unnest(range(length(w))) AS i FROM vocabulary)),
+pairs AS (
+  SELECT x.w, y.w AS other, y.n AS m FROM rests x JOIN rests y ON x.rest = y.rest AND x.i = y.i AND x.w <> y.w
+  UNION SELECT x.w, y.w, y.n FROM rests x JOIN vocabulary y ON x.rest = y.w
+  UNION SELECT y.w, x.w, x.n FROM rests x JOIN vocabulary y ON x.rest = y.w),
+best AS (SELECT w, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM pairs GROUP BY w),
+formed AS MATERIALIZED (
+  SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (w)),
+chain AS (
+  SELECT w, w AS last, form FROM formed
+  UNION ALL SELECT c.w, f.w, f.form FROM chain c JOIN formed f ON c.form = f.w)
+SELECT f.w AS word, f.form, c.last AS root, n, n_near, form_n FROM formed f JOIN chain c ON f.w = c.w AND c.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+OP13_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {OP13_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(cast(item_id AS VARCHAR), '') AS id, {OP13_WORDS} AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT id, least(10, len(w)) AS k, array_to_string(w[j:j + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS j FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT row, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+hits AS MATERIALIZED (
+  SELECT row, p, k, id FROM (SELECT row, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM places) JOIN windows USING (k, g)),
+covered AS (
+  SELECT row, count(DISTINCT x) AS n_hit FROM (SELECT row, unnest(generate_series(p, p + k - 1)) AS x FROM hits) GROUP BY row),
+held AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY encode(id)) AS ids FROM (SELECT DISTINCT row, id FROM hits) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN held USING (row)
+"""
+
+
+@query("op13_decontamination", OP13_SQL)
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark"), whole=False)
+    hit = F.aggregate("matches.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", F.col("matches.n_words").alias("n_words"), hit.alias("n_hit"),
+        F.size("matches.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("matches.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
