@@ -314,7 +314,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
     passes = max(1, -(-total // most))
     docs = docs.drop(name) if name != text else docs
     columns = docs.columns
-    docs = docs.withColumnRenamed(text, "\u0001text")
+    docs = docs.withColumn("\u0001null", F.col(f"`{text}`").isNull()).withColumnRenamed(text, "\u0001text")
     for turn in range(passes):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == turn) if passes > 1 else rows
         told = part.toArrow()  # at most about `most` bytes
@@ -327,7 +327,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
 
         fields = [*([StructField("\u0001text", BinaryType())] if again else []), StructField(f"\u0001{turn}", FOUND)]
         docs = map_texts(docs, "\u0001text", fields, lambda work=work: work, f"\u0001{turn - 1}").drop(f"\u0001{turn - 1}")
-    kept = [F.col("\u0001text").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in columns if whole or c != text]
+    same = F.when(~F.col("\u0001null"), F.col("\u0001text").cast("string")).alias(text) if whole else None
+    kept = [same if c == text else F.col(f"`{c}`") for c in columns if whole or c != text]
     return docs.select(*kept, F.col(f"\u0001{passes - 1}").alias(name))
 
 

@@ -75,7 +75,7 @@ def test_run_of_an_empty_table(spark, tmp_path):
 
 def test_queries_are_registered():
     numbers = Counter(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == Counter(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert numbers == Counter(range(1, 14)) and set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
