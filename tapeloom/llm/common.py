@@ -37,13 +37,13 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
 
 
 def map_texts(
-    rows: DataFrame, text: str, fields: list[StructField], make: Callable, beside: str | None = None
+    rows: DataFrame, text: str, fields: list[StructField], make: Callable, beside: str | None = None, most: int = SLICE_BYTES
 ) -> DataFrame:
     """`rows` without `text`, and with the columns `fields` computed from whole texts in Arrow batches.
 
     `make()` is called once per task and returns a function from a list of bytes
     to one Arrow array per field; with `beside`, from that list and the values of that
-    column. Columns keep their place, so names may clash.
+    column. `most` bounds the bytes of text it gets at once. Columns keep their place, so names may clash.
     """
     keep = [f for f in rows.schema.fields if f.name != text]
     schema = StructType([*keep, *fields])
@@ -54,7 +54,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, most):
                 arrays = work(part.column(at).to_pylist(), *[part.column(i).to_pylist() for i in told])
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *arrays], names=names)
 

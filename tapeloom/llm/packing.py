@@ -12,6 +12,7 @@ tier are dealt to steps of equal tokens by their attention cost, in turns.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right, insort
@@ -31,14 +32,45 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
 #: Bytes of text packed at once, and split into words at once: these are objects of their own, many times the text.
 BLOCK_BYTES, ENCODED_BYTES = 4 << 20, 1 << 20
-#: Distinct words after which a task begins a new table of words and takes from the last one what it meets again.
-REMEMBERED = 100_000
+#: Distinct words, and bytes of words and ids, after which a worker begins a new table of words; what it meets again it
+#: takes from the last one.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 24 << 20
 #: Signs that may stand between words sent to the tokenizer together; the first that is one token is used.
 SEPARATORS = ("⚽", "✨", "♥", "🎉")
 #: Words in a line, and lines in a call: the library's answers are many times the ids.
 LINE, CALL = 500, 8
 
 
+# The steps of a tokenizer whose ids of a text are those of its words.
+NORMALIZERS = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(tokenizer_path: str) -> bool:
+    """Whether the tokenizer's normaliser and pre-tokenizer are those that `encoder` counts on."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        told = json.load(file)
+    normal = (told.get("normalizer") or {}).get("normalizers", [])
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [(n["type"], n.get("pattern", {}).get("Regex")) for n in normal] == NORMALIZERS
+        and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"].get("Regex") == SPLIT and not steps[1]["add_prefix_space"]
+        and told.get("post_processor") is None and not told["model"].get("dropout")
+    )
+
+
+def kept_encoder(tokenizer_path: str, end: int):
+    """The encoder of this worker process, which its tasks share. It hangs on the library's module: functions
+    that travel with a plan have no module of their own on the worker."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("encoders_of_this_process", {})
+    if (tokenizer_path, end) not in kept:
+        kept[tokenizer_path, end] = encoder(tokenizer_path, end)
+    return kept[tokenizer_path, end]
+
+
 def encoder(tokenizer_path: str, end: int):
     """A function from UTF-8 texts to arrays of token ids, each closed by `end`.
 
@@ -50,6 +82,8 @@ def encoder(tokenizer_path: str, end: int):
     """
     from tokenizers import Tokenizer
 
+    if not by_words(tokenizer_path):
+        raise ValueError(f"{tokenizer_path}: another normaliser or pre-tokenizer than the words are cut for")
     # Spark's tasks are the parallelism; the library's own threads cost memory and time on top.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -63,8 +97,10 @@ def encoder(tokenizer_path: str, end: int):
     last = np.array([end], np.uint32).tobytes()
     known: dict[bytes, bytes] = {}
     older: dict[bytes, bytes] = {}
+    held = 0
 
     def learn(words: set[bytes]) -> None:
+        nonlocal held
         bare = {w: w[:-1] for w in words if w[-1:] in tails and w[-2:-1].isalpha()}
         new = (words.difference(bare) | set(bare.values())).difference(known)
         again = {w: older[w] for w in new if w in older}
@@ -79,13 +115,14 @@ def encoder(tokenizer_path: str, end: int):
                 flat = ids.tobytes()
                 known.update((w, flat[a:b]) for w, a, b in zip(line, starts, ends, strict=True))
         known.update((w, known[core] + tails[w[-1:]]) for w, core in bare.items())
+        held += sum(len(w) + len(known[w]) for w in words)
 
     def encode_some(texts: list[bytes]) -> list[np.ndarray]:
-        nonlocal known, older
+        nonlocal known, older, held
         whole = {i for i, t in enumerate(texts) if b"<|" in t or sign_bytes in t}
         words = [[] if i in whole else t.lower().split() for i, t in enumerate(texts)]  # ASCII letters and blanks
-        if len(known) > REMEMBERED:
-            known, older = {}, known
+        if len(known) > REMEMBERED or held > REMEMBERED_BYTES:
+            known, older, held = {}, known, 0
         learn(set().union(*words).difference(known))
         found = [np.frombuffer(b"".join(map(known.__getitem__, ws)) + last, np.uint32) for ws in words]
         for i, ids in zip(sorted(whole), plain([texts[i].decode() for i in sorted(whole)]), strict=True):
@@ -197,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, text: str = "text", ids
     at, names = len(keep), [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, end)
+        encode = kept_encoder(tokenizer_path, end)
         base = TaskContext.get().partitionId() << 40  # tasks number their windows apart
         sequences = steps = base
         for batch in batches:
@@ -219,5 +256,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, text: str = "text", ids
                 if ids:
                     arrays.append(pa.array([found[d][s : s + n].astype(np.int32) for d, s, n, *_ in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+                pa.default_memory_pool().release_unused()
 
     return carried.mapInArrow(run, schema)

@@ -1,8 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, accents of compatibility forms, letters of
-other scripts that look like Latin ones, digits and signs that stand for letters
-inside a word. The lexicon holds words and beginnings of words with weights; an
+other scripts that look like Latin ones, digits and signs that stand for letters. The lexicon holds words and beginnings of words with weights; an
 exception phrase is a word with a neighbour in whose company it is harmless, and
 takes the weight back. The sum is normalised by the length of the text and turned
 into a probability.
@@ -19,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -247,6 +247,27 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "sc
 
 
 def accepted(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, in its columns, that score below the threshold."""
-    scored = score(docs.withColumn("\u0001whole", F.col(text)), lexicon, "\u0001whole", "\u0001score")
-    return scored.where(F.col("\u0001score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs`, in its columns, that score below the threshold.
+
+    Rows are filtered where they are: a text goes to the worker once, and rejected rows never
+    come back. Null and empty texts match nothing and stay as they are if a text without a
+    match does; a very long text is scored whole and alone; repeated rows are told each, and
+    alike; other columns pass through whatever their names or nulls; an empty table gives an
+    empty table.
+    """
+    schema = docs.schema
+    at = schema.names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.automaton()
+
+        def harmless(value) -> bool:
+            raw = value.as_buffer()
+            return lexicon.probability(lexicon.features(machine, folded(raw.to_pybytes() if raw else b""))) < threshold
+
+        for batch in batches:
+            raw = batch.column(at).cast(pa.binary())
+            yield batch.filter(pa.array([harmless(v) for v in raw], pa.bool_()))
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, schema)

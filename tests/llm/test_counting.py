@@ -108,6 +108,27 @@ def test_words_encode_as_the_text(text):
     assert packing.encoder(WORDS, 2)([text.encode()])[0].tolist() == [*want, 2]
 
 
+def test_another_tokenizer_is_refused(tmp_path):
+    import json
+
+    told = json.loads(open(WORDS, encoding="utf-8").read())
+    assert packing.by_words(WORDS)
+    told["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    with pytest.raises(ValueError, match="normaliser"):
+        packing.encoder(str(tmp_path / "other.json"), 2)
+
+
+@pytest.mark.parametrize("words, size", [(3, 1 << 30), (1 << 30, 40)])
+def test_forgetting_words_changes_nothing(monkeypatch, words, size):
+    texts = [b"some words here, and more.", b"words here", b"other things", b"some words. and, here"] * 3
+    want = packing.encoder(WORDS, 2)(texts)
+    monkeypatch.setattr(packing, "REMEMBERED", words)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", size)
+    encode = packing.encoder(WORDS, 2)
+    assert all((encode([t])[0] == w).all() for t, w in zip(texts, want, strict=True))
+
+
 def water_level(sizes, weights, share, most):
     """Targets by reshaping the excess again and again."""
     want, capped = share * sum(sizes), set()

@@ -85,25 +85,64 @@ def test_quality_sees_whole_texts_and_batches_do_not_matter(network, monkeypatch
     assert np.allclose(network.score(texts), alone, rtol=1e-4, atol=1e-5)
 
 
+def plain_score(network, text):
+    """The network on one text, chunk by chunk and filter by filter, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in network.parameters().items()}
+    count = max(1, -(-len(text) // quality.STEP))
+    padded = text.ljust((count + quality.PARTS - 1) * quality.STEP, b"\0")
+    pooled = []
+    for f in range(quality.FILTERS):
+        best = -np.inf
+        for i in range(count):
+            chunk = padded[i * quality.STEP : i * quality.STEP + quality.CHUNK]
+            best = max(best, sum(
+                p["embedding"][byte] @ p["filters"][k * quality.EMBEDDING : (k + 1) * quality.EMBEDDING, f] for k, byte in enumerate(chunk)))
+        pooled.append(max(0.0, best + p["bias"][f]))
+    hidden = [max(0.0, sum(x * p["inner"][f, h] for f, x in enumerate(pooled)) + p["inner_bias"][h]) for h in range(quality.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(x * p["outer"][h] for h, x in enumerate(hidden)) + p["outer_bias"][0])))
+
+
+def test_quality_equals_plain_loops(network):
+    texts = [b"", b"a", b"some words here", "été AA!! 日本 ".encode() * 5, prose(random.Random(3), 40).encode()]
+    assert network.score(texts) == pytest.approx([plain_score(network, t) for t in texts], rel=1e-4, abs=1e-6)
+
+
+def test_toxicity_equals_a_sum_over_substrings():
+    rows = toxic_corpus()
+    lexicon = toxicity.learn([(t.encode(), y) for _, t, y in rows])
+    machine = lexicon.automaton()
+    assert any(w < 0 for w in lexicon.weights.values()) and len(lexicon.weights) > 2
+    for _, text, _ in rows[:150]:
+        text = toxicity.folded((text + " Z0NKER gentle plonk zonkerzonker").encode())
+        total = sum(w for e, w in lexicon.weights.items() for i in range(len(text)) if text.startswith(e, i))
+        a, b, c = lexicon.coefficients
+        x, y = np.log1p(max(total, 0)), np.log1p(100 * max(total, 0) / (text.count(" ") + 20))
+        assert lexicon.probability(lexicon.features(machine, text)) == pytest.approx(1 / (1 + np.exp(-np.clip(a + b * x + c * y, -30, 30))))
+
+
 def test_gradients_are_those_of_the_loss():
+    """In double precision with a small step, so that no maximum and no kink lies between the two points."""
     network = quality.Network(1)
-    texts, y, weight = [b"some words here", b"OTHER!! words!!", b"x"], np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
+    for name, value in network.parameters().items():
+        setattr(network, name, value.astype(np.float64))
+    texts, y, weight = [b"some words here", b"OTHER!! words!!", b"x"], np.array([1, 0, 1], np.float64), np.ones(3)
     found = network.gradients(quality.Layout.of(texts), y, weight)
 
     def loss():
-        p = network.score(texts)
+        p = np.array([plain_score(network, t) for t in texts])
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     for name in ("filters", "inner", "outer", "embedding"):
-        parameter = network.parameters()[name]
-        at = np.unravel_index(np.abs(found[name]).argmax(), parameter.shape)
-        before, step = parameter[at], np.float32(2e-3)
-        parameter[at] = before + step
-        high = loss()
-        parameter[at] = before - step
-        low = loss()
-        parameter[at] = before
-        assert (high - low) / (2 * step) == pytest.approx(found[name][at], rel=0.1), name
+        parameter, gradient = network.parameters()[name], np.asarray(found[name])
+        for at in np.argsort(-np.abs(gradient), axis=None)[:4]:
+            at = np.unravel_index(at, parameter.shape)
+            before, step = parameter[at], 1e-4
+            parameter[at] = before + step
+            high = loss()
+            parameter[at] = before - step
+            low = loss()
+            parameter[at] = before
+            assert (high - low) / (2 * step) == pytest.approx(gradient[at], rel=1e-3), (name, at)
 
 
 def test_scores_of_odd_rows(odd, odd_rows, empty, network):

@@ -10,8 +10,8 @@ from tapeloom.llm import mixing, toxicity
 from tapeloom.llm.queries import ORACLE, QUERIES
 from tests.llm.conftest import SCHEMA
 from tests.llm.test_counting import check_pieces
-from tests.llm.test_duplicates import classes, plain_fingerprint
 from tests.llm.test_models import toxic_corpus
+from tests.llm.test_resemblance import linked
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -51,7 +51,7 @@ def test_stages(spark, folder, tmp_path):
     for r in kept["toxicity"]:
         largest[r[1] or ""] = max(largest[r[1] or ""], r[0] if r[0] is not None else -(10**9))
     assert all((r[0] if r[0] is not None else -(10**9)) == largest[r[1] or ""] for r in kept["exact_dedup"])
-    group = classes([plain_fingerprint(r[1]) for r in kept["exact_dedup"]])
+    group = linked([r[1] for r in kept["exact_dedup"]])
     least = defaultdict(lambda: 10**9)
     for r, g in zip(kept["exact_dedup"], group, strict=True):
         least[g] = min(least[g], r[0] if r[0] is not None else 10**9)
