@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,13 +159,12 @@ def recent_history(bars: DataFrame, n: int = HISTORY) -> DataFrame:
 WINDOW_NAMES = {300: "5min", 900: "15min", 3600: "1h"}
 
 
-def window_statistics(ticks: DataFrame, windows=tuple(WINDOW_NAMES)) -> DataFrame:
-    """Trailing-window report per tick: mean, extremes, first-to-last change, volume."""
-    s = trailing_stats(ticks, windows)
+def window_report(stats: DataFrame, *keys: str) -> DataFrame:
+    """The report per tick and window from its ``trailing_stats``, of a table or a stream."""
     change = F.when(F.col("data_points") > 1, F.col("last_price") - F.col("first_price")).otherwise(F.lit(0.0))
     name = F.create_map(*[F.lit(x) for pair in WINDOW_NAMES.items() for x in pair])
-    return s.select(
-        *ticks.columns,
+    return stats.select(
+        *keys,
         F.coalesce(F.try_element_at(name, F.col("window_s")), F.col("window_s").cast("string")).alias("window"),
         "avg_price", "max_price", "min_price",
         change.alias("price_change"),
@@ -172,6 +173,11 @@ def window_statistics(ticks: DataFrame, windows=tuple(WINDOW_NAMES)) -> DataFram
     )
 
 
+def window_statistics(ticks: DataFrame, windows=tuple(WINDOW_NAMES)) -> DataFrame:
+    """Trailing-window report per tick: mean, extremes, first-to-last change, volume."""
+    return window_report(trailing_stats(ticks, windows), *ticks.columns)
+
+
 def sentiment_anomalies(
     scores: DataFrame, key: str, order, value: str, slice_of: Column, threshold: float = 2.0, min_points: int = 10
 ) -> DataFrame:
@@ -179,7 +185,11 @@ def sentiment_anomalies(
 
     A history without any spread is recognised by equal extremes, which no rounding blurs.
     """
-    h = prior_totals(scores, key, order, value, slice_of)
+    return anomaly_report(prior_totals(scores, key, order, value, slice_of), value, scores.columns, threshold, min_points)
+
+
+def anomaly_report(history: DataFrame, value: str, keys: Sequence[str], threshold: float = 2.0, min_points: int = 10) -> DataFrame:
+    """The report per value from the moments of all earlier ones (hist_n … hist_hi), of a table or a stream."""
     n, x = F.col("hist_n"), F.col(value)
     mean = F.col("hist_mean")
     var = F.col("hist_m2") / F.when(n > 0, n)
@@ -187,8 +197,8 @@ def sentiment_anomalies(
     usable = ~(short | flat)
     sd = F.when(usable, F.sqrt(var))
     z = F.abs(ratio(x - mean, sd))
-    return h.select(
-        *scores.columns,
+    return history.select(
+        *keys,
         F.coalesce(usable & (z > threshold), F.lit(False)).alias("is_anomaly"),
         F.when(short, "insufficient_history").when(flat, "no_variance").alias("reason"),
         half_up(z, 2).alias("z_score"),

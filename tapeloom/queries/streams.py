@@ -8,13 +8,13 @@ from tapeloom import schemas
 from tapeloom.functions import news as nf
 from tapeloom.functions.rounding import half_up
 from tapeloom.operators import articles as art
-from tapeloom.operators import candles, documents, ranking
+from tapeloom.operators import candles, documents, indicators, ranking
 from tapeloom.plans import news_stream_job
 from tapeloom.queries import bars as bar_queries
 from tapeloom.queries.registry import ORACLE, query
-from tapeloom.session import work_dir
+from tapeloom.session import materialize, work_dir
 from tapeloom.sinks import lake as lake_sink
-from tapeloom.streaming import sinks, sources, state, windows
+from tapeloom.streaming import sinks, sources, state, timed, windows
 from tapeloom.views import BARS, DAILY_SENTIMENT_SELECT, MENTIONS, NEWS, TICKS, Views, r
 
 
@@ -77,13 +77,37 @@ def str2(v: Views):
     return w.select("window_start", "ticker", "open", "high", "low", "close", "volume", "bar_count", "avg_price")
 
 
+def _delivered(v: Views, rows, ts: str, order: str, files: int = 5, minutes: int = 9, silence: int = 7_200) -> str:
+    """The rows in a folder of files that come one after another, each row up to ``minutes`` late and out of order.
+
+    A last file holds one row without values, ``silence`` seconds after the others: it carries time forward.
+    """
+    path = work_dir(v.spark, "deliveries")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    arrival = us + F.pmod(F.xxhash64(order), F.lit(minutes * 60)) * 1_000_000
+    staged = materialize(rows.withColumn("_arrival", arrival), "staged")
+    low, high, last = staged.agg(F.min("_arrival"), F.max("_arrival"), F.max(ts)).first()
+    part = F.floor((F.col("_arrival") - low) * files / F.lit(high - low + 1))
+    for i in range(files):
+        staged.filter(part == i).drop("_arrival").coalesce(1).sortWithinPartitions(F.xxhash64(order)).write.mode("append").parquet(path)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    at = (F.lit(last) + F.make_dt_interval(secs=F.lit(silence))).cast(types[ts])
+    v.spark.range(1).select(*[at.alias(c) if c == ts else F.lit(None).cast(types[c]).alias(c) for c in rows.columns]).coalesce(
+        1).write.mode("append").parquet(path)
+    return path
+
+
+def _one_by_one(v: Views, path: str):
+    return sources.parquet_folder(v.spark, path, v.spark.read.parquet(path).schema, max_files=1)
+
+
 @query("str3_stateful_indicators", ORACLE["indicators_all"])
 def str3(v: Views):
-    path = work_dir(v.spark, "bars")
-    v.bars.select("ticker", "t", "c").write.parquet(path)
-    live = sources.parquet_folder(v.spark, path, v.bars.select("ticker", "t", "c").schema)
-    out = sinks.rows_of(v.spark, _drained(state.indicators_of(state.close_history(live))))
-    return out.drop("batch_id")
+    """Bars out of order over several micro-batches, in order again by event time."""
+    bars = v.bars.select("ticker", "t", "c", F.timestamp_millis("t").alias("ts"))
+    path = _delivered(v, bars.withColumn("at", F.concat_ws(":", "ticker", "t")), "ts", "at")
+    out = sinks.rows_of(v.spark, _drained(timed.close_history(_one_by_one(v, path))))
+    return state.indicators_of(out.filter("NOT late").drop("late", "batch_id"))
 
 
 @query(
@@ -140,6 +164,68 @@ def str8_sentiment(v: Views):
     return _latest(windows.latest_values(m, "score", "at"), "ticker")
 
 
+@query(
+    "str8_expiry",
+    f"WITH {TICKS}, latest AS (SELECT ticker, max_by(price, ts) AS price, max(t) AS t FROM ticks GROUP BY ticker) "
+    "SELECT CAST(ttl AS INTEGER) AS ttl_s, ticker, price, t FROM latest, (VALUES (300), (3600)) s(ttl) WHERE t + ttl * 1000 > (SELECT max(t) FROM ticks)",
+)
+def str8_expiry(v: Views):
+    """Latest prices that expire in the stream, which is stopped and started again on its checkpoint half way."""
+    ticks = _timed(v.ticks).select("ticker", "at", "event_id", "price")
+    middle = ticks.agg(F.timestamp_micros(F.avg(F.unix_micros("at")).cast("long"))).scalar()
+    path, out = work_dir(v.spark, "ticks"), {ttl: work_dir(v.spark, "stream") for ttl in (300, 3600)}
+    for half in (F.col("at") <= middle, F.col("at") > middle):
+        ticks.filter(half).coalesce(1).write.mode("append").parquet(path)
+        for ttl, folder in out.items():
+            latest = timed.expiring_latest(_one_by_one(v, path), "price", "at", "event_id", ttl)
+            sinks.drain(latest, sinks.latest_table(f"{folder}/data", ["ticker"]), f"{folder}/checkpoint", "update")
+    found = None
+    for ttl, folder in out.items():
+        live = sinks.latest_of(v.spark, f"{folder}/data").filter("live").select(
+            F.lit(ttl).alias("ttl_s"), "ticker", F.col("value").alias("price"), F.expr("us div 1000").alias("t"))
+        found = live if found is None else found.unionByName(live)
+    return found
+
+
+@query("str9_per_tick", ORACLE["agg9_window_statistics"])
+def str9_per_tick(v: Views):
+    """The exact trailing windows of every single tick of a stream, delivered out of order."""
+    ticks = _timed(v.ticks).select("ticker", "at", "event_id", "price", "volume")
+    live = timed.trailing_windows(_one_by_one(v, _delivered(v, ticks, "at", "event_id")), tuple(indicators.WINDOW_NAMES), ts="at")
+    s = indicators.window_report(
+        sinks.rows_of(v.spark, _drained(live)).filter("NOT late"), "ticker", F.expr("us div 1000").alias("t"), "event_id")
+    rounded = {c: half_up(F.col(c), 4) for c in ("avg_price", "price_change", "price_change_pct")}
+    return s.withColumns(rounded)
+
+
+@query(
+    "str10_refresh",
+    f"WITH {TICKS}, latest AS (SELECT ticker, max_by(price, ts) AS price, max(t) AS t FROM ticks GROUP BY ticker), "
+    "board AS (SELECT max(t) + 200000 - (max(t) + 200000) % 60000 AS refreshed FROM ticks) "
+    "SELECT ticker, price, refreshed FROM latest, board WHERE t + 3600000 > refreshed ORDER BY price DESC, ticker DESC LIMIT 5",
+)
+def str10_refresh(v: Views):
+    """The board 200 s after the last tick: it has been refreshed in the silence, without what has expired."""
+    ticks = _timed(v.ticks).select("ticker", "at", "event_id", "price")
+    path = _delivered(v, ticks, "at", "event_id", silence=740)  # the watermark is nine minutes behind
+    boards = timed.refreshed_board(_one_by_one(v, path), "price", "at", "event_id", 5, 3_600, lateness="9 minutes")
+    parts = _latest(boards, "part")
+    return timed.merged_board(parts, "price", 5).withColumn("refreshed", F.lit(parts.agg(F.max("at")).scalar()))
+
+
+@query("win12_stream", ORACLE["win12_sentiment_anomaly"])
+def win12_stream(v: Views):
+    """The anomalies of a stream, from five numbers per ticker; mentions come out of order."""
+    m = v.mentions.select(
+        "ticker", F.timestamp_seconds("published_s").alias("at"), (F.col("doc_id") * 10 + F.col("i")).alias("tie"), F.col("sentiment_score").alias("score"))
+    flat = m.filter("tie % 10 = 0").withColumns({"ticker": F.lit("FLAT"), "score": F.lit(0.25)})
+    path = _delivered(v, m.unionByName(flat), "at", "tie")
+    history = sinks.rows_of(v.spark, _drained(timed.running_moments(_one_by_one(v, path), "ticker", "score", "at", "tie")))
+    told = history.filter("NOT late").select(
+        "*", F.expr("tie div 10").alias("doc_id"), F.expr("CAST(tie % 10 AS INT)").alias("i"), F.col("value").alias("score"))
+    return indicators.anomaly_report(told, "score", ["ticker", "doc_id", "i", "score"])
+
+
 WIDTHS = (5, 15, 60)
 
 

@@ -1,83 +1,13 @@
-"""Stateful operator: the bounded history of closes per ticker."""
+"""The batch indicators from the history of closes that a stream hands each bar (`timed.close_history`)."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.functions.rounding import half_up, ratio
 from tapeloom.operators import indicators as ind
 
-# The processor travels to the executors by value: they need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-CLOSE = T.StructType([T.StructField("c", T.DoubleType())])
-HISTORY_OUT = "ticker string, t long, c double, closes array<double>"
-
-
-#: Rows of one answer to Spark; a bar carries up to ``emit`` closes.
-ANSWER_ROWS = 10_000
-
-
-class CloseHistory(StatefulProcessor):
-    """Keeps a ticker's last closes and hands each bar the closes up to it.
-
-    The bars of a key within a micro-batch are taken in the order of (time, close), however
-    Arrow cuts them. They are held as two numbers each; the source's limits per trigger
-    bound how many there are.
-    """
-
-    def __init__(self, keep: int, emit: int):
-        self.keep, self.emit = keep, emit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closes = handle.getListState("closes", CLOSE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        history = [x[0] for x in self.closes.get()] if self.closes.exists() else []
-        chunks = [(chunk["t"].to_numpy(), chunk["c"].to_numpy()) for chunk in rows]
-        if not chunks:
-            return
-        times, closes = (np.concatenate(x) for x in zip(*chunks, strict=True))
-        order = np.lexsort((closes, times))
-        for at in range(0, len(order), ANSWER_ROWS):
-            t, c = times[order[at:at + ANSWER_ROWS]], closes[order[at:at + ANSWER_ROWS]]
-            known = len(history)
-            history.extend(c.tolist())
-            ends = range(known + 1, len(history) + 1)
-            yield pd.DataFrame({
-                "ticker": key[0], "t": t, "c": c, "closes": [history[max(0, e - self.emit):e] for e in ends],
-            })
-            history = history[-self.keep:]
-        if history:
-            self.closes.put([(c,) for c in history])
-
-    def close(self) -> None:
-        pass
-
-
-def close_history(bars: DataFrame, keep: int = ind.HISTORY, emit: int = 50) -> DataFrame:
-    """Every bar with the closes up to it: micro-batches as they arrive, by time within one.
-
-    At most ``keep`` closes stay in the state. A bar that arrives in a later micro-batch than
-    its followers comes after them.
-
-    Needs the RocksDB state store. Only this bookkeeping runs in Python.
-    """
-    return (
-        bars.select("ticker", "t", "c").groupBy("ticker")
-        .transformWithStateInPandas(CloseHistory(keep, emit), HISTORY_OUT, "append", "none")
-    )
-
-
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 

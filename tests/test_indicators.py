@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import indicators, slices
-from tapeloom.streaming import state
+from tapeloom.streaming import state, timed
 
 START = 1_700_000_000_000
 HOUR = 3_600_000
@@ -94,26 +94,6 @@ def test_array_form_equals_window_form(spark):
     assert by_time(state.indicators_of(arrays).select(expected.columns)) == by_time(expected)
 
 
-@pytest.mark.parametrize("arrow_rows", [100, 10_000])
-def test_close_history_does_not_depend_on_arrow_batches(spark, arrow_rows):
-    from tapeloom.session import work_dir
-    from tapeloom.streaming import sinks, sources, state
-
-    rows = [("HOT", i, float(i % 97)) for i in range(30_000)]
-    random.Random(1).shuffle(rows)
-    path, out = work_dir(spark, "t"), work_dir(spark, "t")
-    bars = spark.createDataFrame(rows, "ticker string, t long, c double")
-    bars.coalesce(3).write.parquet(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
-    try:
-        live = sources.parquet_folder(spark, path, bars.schema)
-        sinks.drain(state.close_history(live, 10, 3), sinks.batch_folder(f"{out}/d"), f"{out}/c")
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = {r.t: list(r.closes) for r in sinks.rows_of(spark, f"{out}/d").collect()}
-    assert got == {i: [float(j % 97) for j in range(max(0, i - 2), i + 1)] for i in range(30_000)}
-
-
 def test_trailing_windows_against_brute_force(spark):
     """Ticks with equal times, window edges hit exactly, and one hot ticker."""
     rng = random.Random(11)
@@ -190,7 +170,7 @@ def test_state_processor_needs_no_package_on_the_executors(tmp_path):
     from pyspark import cloudpickle
 
     blob = tmp_path / "processor"
-    blob.write_bytes(cloudpickle.dumps(state.CloseHistory(5, 3)))
+    blob.write_bytes(cloudpickle.dumps(timed.CloseHistory(5, 3)))
     code = f"import pickle; p = pickle.load(open({str(blob)!r}, 'rb')); print(p.keep, p.emit)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip().endswith("5 3"), done.stderr
