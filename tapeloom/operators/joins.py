@@ -133,36 +133,22 @@ def last_close_at_or_before(targets: DataFrame, bars: DataFrame, span_ms: int =
 Check = tuple[str, DataFrame, str, DataFrame, str]
 
 
-def _unpivoted(checks: list[Check], side: int) -> DataFrame:
-    """(foreign_key, key) of all checks, each table read once: its key columns become rows of their own."""
-    out, done = None, []
-    for check in checks:
-        table = check[side]
-        if any(table is t for t in done):
-            continue
-        done.append(table)
-        entries = [
-            F.struct(F.lit(c[0]).alias("foreign_key"), F.col(c[side + 1]).cast("string").alias("key"))
-            for c in checks if c[side] is table
-        ]
-        keys = table.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").filter(F.col("key").isNotNull())
-        out = keys if out is None else out.unionByName(keys)
-    return out
-
-
 def orphan_report(checks: list[Check]) -> DataFrame:
     """One row per foreign key (name, child, its column, parent, its column): orphaned key values, orphaned rows.
 
-    Children are counted per key first: a hot key crosses the network as one row per task.
-    An outer join with a filter keeps that order; an anti join would be moved below the
-    count. Checks on the same DataFrame share its scan.
+    Children are counted per key first, in the key's own type: a hot key crosses the network as
+    one row per task, and each check reads one column of its child. An outer join with a filter
+    keeps that order; an anti join would be moved below the count.
     """
-    counted = _unpivoted(checks, 1).groupBy("foreign_key", "key").agg(F.count(F.lit(1)).alias("rows"))
-    known = _unpivoted(checks, 3).withColumn("_known", F.lit(True))
-    orphaned = counted.join(known, ["foreign_key", "key"], "left").filter(F.col("_known").isNull())
-    found = orphaned.groupBy("foreign_key").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("rows").alias("orphan_rows"))
-    names = found.sparkSession.createDataFrame([(c[0],) for c in checks], "foreign_key string")
-    return names.join(found, "foreign_key", "left").na.fill(0, ["orphan_keys", "orphan_rows"])
+    out = None
+    for name, child, column, parent, known in checks:
+        counted = child.select(F.col(column).alias("key")).filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+        keys = parent.select(F.col(known).alias("key"), F.lit(True).alias("_known"))
+        orphaned = counted.join(keys, "key", "left").filter("_known IS NULL")
+        found = orphaned.agg(F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("orphan_rows"))
+        found = found.select(F.lit(name).alias("foreign_key"), "orphan_keys", "orphan_rows")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def in_latest_snapshot(df: DataFrame, snapshots: DataFrame, key: str = "ticker", at: str = "time_update") -> DataFrame:

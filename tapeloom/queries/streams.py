@@ -39,7 +39,7 @@ def _drained(df, mode="append", batch=sinks.batch_folder):
 
 def _latest(df, *keys):
     """An update stream drained into the table of its newest versions."""
-    return sinks.latest_of(df.sparkSession, _drained(df, "update", lambda path: sinks.latest_table(path, keys)))
+    return sinks.latest_of(df.sparkSession, _drained(df, "update", lambda path: sinks.latest_table(path, keys)), keys)
 
 
 def _timed(ticks):
@@ -181,7 +181,7 @@ def str8_expiry(v: Views):
             sinks.drain(latest, sinks.latest_table(f"{folder}/data", ["ticker"]), f"{folder}/checkpoint", "update")
     found = None
     for ttl, folder in out.items():
-        live = sinks.latest_of(v.spark, f"{folder}/data").filter("live").select(
+        live = sinks.latest_of(v.spark, f"{folder}/data", ["ticker"]).filter("live").select(
             F.lit(ttl).alias("ttl_s"), "ticker", F.col("value").alias("price"), F.expr("us div 1000").alias("t"))
         found = live if found is None else found.unionByName(live)
     return found
@@ -329,7 +329,7 @@ def snk6_stream(v: Views):
 
     sinks.drain(live, twice, f"{out}/checkpoint")
     kind = F.when(F.col("_id").startswith("auto-"), "keyless").otherwise("keyed")
-    return sinks.rows_of(v.spark, f"{out}/table").groupBy(kind.alias("kind"), F.col("ticker").alias("name")).agg(
+    return sinks.upserted_rows(v.spark, f"{out}/table", "_id", ["t"]).groupBy(kind.alias("kind"), F.col("ticker").alias("name")).agg(
         F.count(F.lit(1)).alias("rows"), F.max("t").alias("newest"))
 
 

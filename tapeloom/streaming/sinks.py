@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tapeloom.operators import merge
 from tapeloom.session import ROCKSDB
 from tapeloom.sinks import lake as lake_sink
 from tapeloom.sources import paths
@@ -56,47 +57,91 @@ def rows_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-#: Folders a keyed table is spread over by the hash of its key; a batch rewrites those it touches.
-BUCKETS = 64
+#: Deltas of a keyed table are folded into its base when they are so many, or so large beside it.
+FOLD_DELTAS, FOLD_SHARE = 32, 0.5
+Combine = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def bucketed_merge(
-    path: str, keys: Sequence[str], combine: Callable[[DataFrame, DataFrame, int], DataFrame],
-    prepare: Callable[[DataFrame, int], DataFrame] = lambda df, _: df,
-) -> BatchFn:
-    """A table merged batch by batch: ``combine(stored, new, batch_id)`` of the touched buckets replaces them."""
+def _parts(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """The batches up to which there is a complete base, and the complete deltas, both rising."""
+    names = paths.children(spark, path) if paths.exists(spark, path) else []
+    found = {
+        kind: sorted(int(n.split("-")[1]) for n in names if n.startswith(f"{kind}-") and paths.exists(spark, f"{path}/{n}/_SUCCESS"))
+        for kind in ("base", "delta")
+    }
+    return found["base"], found["delta"]
+
+
+def _part(path: str, kind: str, batch_id: int) -> str:
+    return f"{path}/{kind}-{batch_id}"
+
+
+def merged_on_read(spark: SparkSession, path: str, combine: Combine) -> DataFrame:
+    """A keyed table as it is now: ``combine(base, deltas)``, each with the column batch_id."""
+    bases, deltas = _parts(spark, path)
+    upto = bases[-1] if bases else -1
+    new = [_part(path, "delta", b) for b in deltas if b > upto]
+    if not bases and not new:
+        raise FileNotFoundError(f"{path} holds no complete batch")
+    base = spark.read.parquet(_part(path, "base", upto)) if bases else None
+    fresh = spark.read.parquet(*new) if new else base.limit(0)
+    return combine(fresh.limit(0) if base is None else base, fresh)
+
+
+def fold(spark: SparkSession, path: str, combine: Combine) -> None:
+    """Write a new base of all deltas so far; readers turn to it once it is complete.
+
+    A fold that stops anywhere leaves the table as it was or a complete new base. What the fold
+    before this one took in is deleted, not what this one does, so a reader that opened the table
+    before finds its files.
+    """
+    bases, deltas = _parts(spark, path)
+    merged_on_read(spark, path, combine).write.mode("overwrite").parquet(_part(path, "base", deltas[-1]))
+    upto = bases[-1] if bases else -1
+    for b in bases[:-1]:
+        paths.delete(spark, _part(path, "base", b))
+    for b in deltas:
+        if b <= upto:
+            paths.delete(spark, _part(path, "delta", b))
+
+
+def keyed_table(path: str, combine: Combine, prepare: Callable[[DataFrame, int], DataFrame] = lambda df, _: df) -> BatchFn:
+    """A keyed table merged on read: a batch writes its own rows and nothing else.
+
+    Each batch is a delta of its own, which its repetition replaces; a repeated batch that the
+    base holds already is passed over by readers. When the deltas are many, or more than a share of
+    the base in bytes, they are folded into a new base. Only names and sizes of files reach the driver.
+    """
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-        new = prepare(df, batch_id).withColumn("bucket", bucket).persist()
-        try:
-            touched = [x["bucket"] for x in new.select("bucket").distinct().collect()]  # at most BUCKETS
-            stored = new.limit(0)
-            if paths.exists(spark, path):
-                stored = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
-            merged = combine(stored.drop("bucket"), new.drop("bucket"), batch_id).withColumn("bucket", bucket)
-            lake_sink.write_lake(merged, path, ("bucket",), mode="overwrite")
-        finally:
-            new.unpersist()
+        prepared = prepare(df, batch_id).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        prepared.write.mode("overwrite").parquet(_part(path, "delta", batch_id))
+        bases, deltas = _parts(spark, path)
+        new = [b for b in deltas if not bases or b > bases[-1]]
+        held = paths.size(spark, _part(path, "base", bases[-1])) if bases else 0
+        if len(new) >= FOLD_DELTAS or (bases and sum(paths.size(spark, _part(path, "delta", b)) for b in new) > FOLD_SHARE * held):
+            fold(spark, path, combine)
 
     return write
 
 
-def latest_table(path: str, keys: Sequence[str]) -> BatchFn:
-    """Update mode: the newest version of every key and no other, so the table grows with the keys alone."""
-
-    def combine(stored: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:
-        versions = stored.unionByName(new)
+def _newest(keys: Sequence[str]) -> Combine:
+    def combine(base: DataFrame, deltas: DataFrame) -> DataFrame:
         w = W.partitionBy(*keys).orderBy(F.desc("batch_id"))
-        return versions.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
+        return base.unionByName(deltas).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
+
+    return combine
 
-    return bucketed_merge(path, keys, combine, lambda df, batch_id: df.withColumn("batch_id", F.lit(batch_id).cast("long")))
+
+def latest_table(path: str, keys: Sequence[str]) -> BatchFn:
+    """Update mode: of every key the version of the newest batch; see `keyed_table`."""
+    return keyed_table(path, _newest(keys))
 
 
-def latest_of(spark: SparkSession, path: str) -> DataFrame:
+def latest_of(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The rows of a ``latest_table``."""
-    return rows_of(spark, path).drop("batch_id", "bucket")
+    return merged_on_read(spark, path, _newest(keys)).drop("batch_id")
 
 
 def snapshot(path: str) -> BatchFn:
@@ -149,11 +194,20 @@ def dispatch(
     return write
 
 
+def _upserted(key: str, order: Sequence[str]) -> Combine:
+    def combine(base: DataFrame, deltas: DataFrame) -> DataFrame:
+        rank = [F.col("batch_id"), *[F.col(c) for c in order]]
+        merged = merge.set_fields(base.drop("batch_id"), deltas, key, rank)
+        return merged.withColumn("batch_id", F.lit(-1).cast("long"))  # deltas are always newer
+
+    return combine
+
+
 def upsert_table(path: str, key: str, order: Sequence[str]) -> BatchFn:
     """Field-wise upsert of partial documents into one table; those without a key are inserted once."""
-    from tapeloom.operators import merge
+    return keyed_table(path, _upserted(key, order), lambda df, batch_id: merge.with_keys(df, key, str(batch_id)))
 
-    def combine(stored: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:
-        return merge.set_fields(stored, new, key, [F.col(c) for c in order])
 
-    return bucketed_merge(path, [key], combine, lambda df, batch_id: merge.with_keys(df, key, str(batch_id)))
+def upserted_rows(spark: SparkSession, path: str, key: str, order: Sequence[str]) -> DataFrame:
+    """The documents of an ``upsert_table``."""
+    return merged_on_read(spark, path, _upserted(key, order)).drop("batch_id")

@@ -155,7 +155,7 @@ def test_stream_windows_equal_batch_over_many_batches(spark):
     batch = spark.createDataFrame(rows, TICKS)
     live = sources.parquet_folder(spark, path, batch.schema, max_files=1)
     sinks.drain(windows.sliding_price_windows(live), sinks.latest_table(f"{out}/d", ["window_start", "ticker"]), f"{out}/c", "update")
-    got = sinks.latest_of(spark, f"{out}/d")
+    got = sinks.latest_of(spark, f"{out}/d", ["window_start", "ticker"])
     want = windows.sliding_price_windows(batch)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
@@ -245,7 +245,7 @@ def test_upsert_stream_is_idempotent(spark):
     partial = spark.createDataFrame([("3", None, "x", 1), ("12", 12, None, 1)], "_id string, n int, s string, seq int")
     for i, df in enumerate([first, partial, partial]):
         write(df, i)
-    rows = {r._id: (r.n, r.s) for r in spark.read.parquet(path).collect()}
+    rows = {r._id: (r.n, r.s) for r in sinks.upserted_rows(spark, path, "_id", ["seq"]).collect()}
     assert len(rows) == 13 and rows["3"] == (3, "x") and rows["12"] == (12, None)
 
 
@@ -256,7 +256,7 @@ def test_upsert_stream_inserts_keyless_documents_once(spark):
     docs = spark.createDataFrame(rows, "_id string, n int, seq int")
     for batch_id in (0, 0, 1):
         write(docs, batch_id)
-    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 1, 1, 1, 2, 2, 3]
+    assert sorted(r.n for r in sinks.upserted_rows(spark, path, "_id", ["seq"]).collect()) == [1, 1, 1, 1, 2, 2, 3]
 
 
 def test_latest_table_holds_one_row_per_key(spark):
@@ -264,8 +264,62 @@ def test_latest_table_holds_one_row_per_key(spark):
     write = sinks.latest_table(path, ["k"])
     for i, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("a", 2)], [("c", 3)]]):
         write(spark.createDataFrame(rows, "k string, x int"), i)
-    assert sorted(map(tuple, sinks.latest_of(spark, path).select("k", "x").collect())) == [("a", 2), ("b", 1), ("c", 3)]
-    assert spark.read.parquet(path).count() == 3
+    assert sorted(map(tuple, sinks.latest_of(spark, path, ["k"]).select("k", "x").collect())) == [("a", 2), ("b", 1), ("c", 3)]
+
+
+def parts_of(spark, path):
+    return {n: paths.size(spark, f"{path}/{n}") for n in paths.children(spark, path) if "-" in n}
+
+
+def test_a_batch_writes_its_own_rows_and_not_the_table(spark, monkeypatch):
+    path = work_dir(spark, "t")
+    write = sinks.latest_table(path, ["k"])
+    monkeypatch.setattr(sinks, "FOLD_DELTAS", 1)
+    write(spark.range(50_000).select(F.col("id").alias("k"), F.lit(0).alias("x")), 0)
+    monkeypatch.undo()
+    before = parts_of(spark, path)
+    write(spark.range(1_000).select((F.col("id") * 50).alias("k"), F.lit(1).alias("x")), 1)
+    after = parts_of(spark, path)
+    assert {n: after[n] for n in before} == before and set(after) - set(before) == {"delta-1"}
+    assert spark.read.parquet(f"{path}/delta-1").count() == 1_000
+    table = sinks.latest_of(spark, path, ["k"])
+    assert (table.count(), table.agg(F.sum("x")).first()[0]) == (50_000, 1_000)
+
+
+@pytest.mark.parametrize("crash", [None, "before", "after"])
+def test_deltas_fold_into_a_base(spark, monkeypatch, crash):
+    """With a fold that stops before its base is complete, or before old files are deleted, and with batches repeated."""
+    path, keys = work_dir(spark, "t"), ["k"]
+    write = sinks.latest_table(path, keys)
+    monkeypatch.setattr(sinks, "FOLD_DELTAS", 3)
+    want, opened = {}, None
+    for batch in range(11):
+        rows = [(f"k{(batch * 3 + i) % 10}", batch * 10 + i) for i in range(4)]
+        want |= dict(rows)
+        df = spark.createDataFrame(rows, "k string, x int")
+        if crash and batch in (2, 5):
+            name, at = ("merged_on_read", sinks) if crash == "before" else ("delete", paths)
+
+            def fail(*args):
+                raise RuntimeError("lost")
+
+            with monkeypatch.context() as m:
+                m.setattr(at, name, fail)
+                try:
+                    write(df, batch)
+                except RuntimeError:
+                    pass
+        write(df, batch)
+        write(df, batch)
+        if batch == 8:
+            assert opened.count() == 10  # its files are there after one more fold
+        assert {r.k: r.x for r in sinks.latest_of(spark, path, keys).collect()} == want
+        if batch == 7:
+            opened = sinks.latest_of(spark, path, keys)
+    assert len([n for n in parts_of(spark, path) if n.startswith("base")]) <= 2
+    spark.createDataFrame([("k0", -1)], "k string, x int").write.parquet(f"{path}/delta-99")
+    paths.delete(spark, f"{path}/delta-99/_SUCCESS")  # a batch that stopped while it was written
+    assert {r.k: r.x for r in sinks.latest_of(spark, path, keys).collect()} == want
 
 
 def test_unknown_topics_are_set_aside(spark):

@@ -24,6 +24,7 @@ class Stream:
     def __init__(self, spark, process, mode="append", keys=None):
         self.spark, self.process, self.mode = spark, process, mode
         self.path, self.out = work_dir(spark, "t"), work_dir(spark, "t")
+        self.keys = keys
         self.sink = sinks.latest_table(f"{self.out}/d", keys) if keys else sinks.batch_folder(f"{self.out}/d")
 
     def send(self, *files):
@@ -32,7 +33,7 @@ class Stream:
         schema = self.spark.createDataFrame([], TICKS).schema
         live = sources.parquet_folder(self.spark, self.path, schema, max_files=1)
         sinks.drain(self.process(live), self.sink, f"{self.out}/c", self.mode)
-        return sinks.rows_of(self.spark, f"{self.out}/d")
+        return sinks.latest_of(self.spark, f"{self.out}/d", self.keys) if self.keys else sinks.rows_of(self.spark, f"{self.out}/d")
 
 
 def shuffled(rng, n, tickers, span, lateness, files):
@@ -92,19 +93,17 @@ def test_values_expire_without_new_ones(spark):
     """A removal in silence, a renewal before the end, an older tick that changes nothing, and a restart between all."""
     stream = Stream(spark, lambda live: timed.expiring_latest(live, "price", "at", "event_id", 300), "update", ["ticker"])
 
-    def live():
+    def live(rows):
         return {r.ticker: (r.value, r.us // 1_000_000 - int(BASE.replace(tzinfo=dt.timezone.utc).timestamp()))
-                for r in sinks.rows_of(spark, f"{stream.out}/d").filter("live").collect()}
+                for r in rows.filter("live").collect()}
 
-    stream.send([("A", at(0), 1, 1.0, 0), ("B", at(10), 2, 2.0, 0), ("A", at(0), 3, 1.5, 0)])
-    assert live() == {"A": (1.5, 0), "B": (2.0, 10)}
-    stream.send([("A", at(200), 4, 3.0, 0), ("A", at(150), 5, 9.0, 0), (None, at(309), None, None, None)])
-    assert live() == {"A": (3.0, 200), "B": (2.0, 10)}
-    stream.send(closing(310))  # B's time is up exactly now
-    assert live() == {"A": (3.0, 200)}
-    stream.send([("B", at(320), 6, 4.0, 0)], closing(600))
-    assert live() == {"B": (4.0, 320)}
-    assert sinks.rows_of(spark, f"{stream.out}/d").count() == 2
+    rows = stream.send([("A", at(0), 1, 1.0, 0), ("B", at(10), 2, 2.0, 0), ("A", at(0), 3, 1.5, 0)])
+    assert live(rows) == {"A": (1.5, 0), "B": (2.0, 10)}
+    rows = stream.send([("A", at(200), 4, 3.0, 0), ("A", at(150), 5, 9.0, 0), (None, at(309), None, None, None)])
+    assert live(rows) == {"A": (3.0, 200), "B": (2.0, 10)}
+    assert live(stream.send(closing(310))) == {"A": (3.0, 200)}  # B's time is up exactly now
+    rows = stream.send([("B", at(320), 6, 4.0, 0)], closing(600))
+    assert live(rows) == {"B": (4.0, 320)} and rows.count() == 2
 
 
 @pytest.mark.parametrize("ascending", [False, True])
@@ -119,14 +118,12 @@ def test_a_board_is_refreshed_in_silence(spark, ascending):
         live = [(p, k) for k, (p, t) in latest.items() if t + dt.timedelta(seconds=300) > at(now - now % 60)]
         return [(k, p) for p, k in sorted(live, reverse=not ascending)[:3]]
 
-    def board():
-        rows = timed.merged_board(sinks.latest_of(spark, f"{stream.out}/d"), "price", 3, ascending).collect()
+    def board(parts):
+        rows = timed.merged_board(parts, "price", 3, ascending).collect()
         return [(r.ticker, r.price) for r in rows]
 
-    stream.send(ticks[:30], ticks[30:], closing(650))
-    assert board() == expected(650) and len(expected(650)) == 3
-    stream.send(closing(845))
-    assert board() == expected(845)
-    stream.send(closing(2000))
-    assert board() == expected(2000) == []
-    assert sinks.latest_of(spark, f"{stream.out}/d").filter("at % 60000 <> 0").count() == 0
+    assert board(stream.send(ticks[:30], ticks[30:], closing(650))) == expected(650) and len(expected(650)) == 3
+    assert board(stream.send(closing(845))) == expected(845)
+    parts = stream.send(closing(2000))
+    assert board(parts) == expected(2000) == []
+    assert parts.filter("at % 60000 <> 0").count() == 0
