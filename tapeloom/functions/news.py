@@ -120,3 +120,15 @@ def sentiment_analytics(label: Column, score: Column, mentions: Column) -> Colum
         mentions.alias("tickers"),
         sentiment_category(overall).alias("sentiment_category"),
     )
+
+
+#: Characters of a title in a line about its article.
+TITLE_PREFIX = 50
+
+
+def article_line(title: Column, label: Column, score: Column, tickers: Column) -> Column:
+    """One line about a processed article: the beginning of its title, label, score and number of tickers."""
+    return F.format_string(
+        "Processed News: %s... | Sentiment: %s (%s) | Tickers: %d",
+        F.substring(F.coalesce(title, F.lit("No title")), 1, TITLE_PREFIX), label,
+        score.cast("decimal(18,2)").cast("string"), tickers.cast("long"))

@@ -13,9 +13,8 @@ from tapeloom.sinks.lake import write_lake
 from tapeloom.sources import paths
 
 NEWS, MAPPING, DAILY = "news_sentiment_processed", "news_ticker_mapping", "ticker_sentiment_daily"
-#: Ids stored so far, each with the batch that stored it, spread over buckets by the hash of the id.
+#: Ids stored so far, a folder per batch that stored them.
 IDS = "news_message_ids"
-ID_BUCKETS = 64
 NEWS_DDL = (
     "id bigint, message_id string, source_id string, title string, url string, time_published timestamp, "
     "summary string, source_name string, overall_sentiment_score double, overall_sentiment_label string, date date, batch string"
@@ -24,7 +23,7 @@ MAPPING_DDL = (
     "news_id bigint, i int, ticker string, relevance_score double, ticker_sentiment_score double, "
     "ticker_sentiment_label string, time_published timestamp, date date, batch string"
 )
-IDS_DDL = "message_id string, bucket int, batch string"
+IDS_DDL = "message_id string, batch string"
 DAILY_DDL = (
     "ticker string, news_count bigint, avg_sentiment_score double, bullish_count bigint, bearish_count bigint, "
     "neutral_count bigint, top_sentiment_score double, created_batch bigint, updated_batch bigint, date date"
@@ -85,13 +84,13 @@ def process_batch(messages: DataFrame, batch_id: int, base: str, run: str = "str
     as literals only their partitions of mentions and daily rows are read.
     """
     spark, batch = messages.sparkSession, f"{run}-{batch_id}"
-    ids = one_per_id(messages).withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(ID_BUCKETS)).cast("int")).persist()
+    ids = one_per_id(messages).persist()
     try:
         days = [x["date"] for x in news_rows(ids).select("date").distinct().collect()]
-        known = table(spark, base, IDS, IDS_DDL).filter(F.col("batch") != batch).select("message_id", "bucket")
-        fresh = ids.join(known, ["message_id", "bucket"], "left_anti").withColumn("batch", F.lit(batch))
+        known = table(spark, base, IDS, IDS_DDL).filter(F.col("batch") != batch).select("message_id")
+        fresh = ids.join(known, "message_id", "left_anti").withColumn("batch", F.lit(batch))
         for name, rows, partitions in (
-            (IDS, fresh.select("message_id", "bucket", "batch"), ("bucket", "batch")),
+            (IDS, fresh.select("message_id", "batch"), ("batch",)),
             (NEWS, news_rows(fresh).withColumn("batch", F.lit(batch)), ("date", "batch")),
             (MAPPING, mapping_rows(fresh).withColumn("batch", F.lit(batch)), ("date", "batch")),
         ):

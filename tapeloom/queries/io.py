@@ -161,6 +161,17 @@ def snk7(v: Views):
     )
 
 
+@query("snk7_unknown_types", "SELECT event_type, count(*) AS rows, (SELECT count(*) FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')) AS counted FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY ALL")
+def snk7_unknown(v: Views):
+    """Events of types without a collection, set aside, and their number as the sink tells it."""
+    path = work_dir(v.spark, "routed")
+    routes = {"view": "views", "click": "clicks", "purchase": "sales"}
+    rows = tables.routed(v.table("events"), F.col("event_type"), routes)
+    counted = tables.write_routed(rows, f"{path}/data", dead_path=f"{path}/dead")
+    return v.spark.read.parquet(f"{path}/dead").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(counted).cast("long").alias("counted"))
+
+
 @query("snk8_keyed_messages", f"WITH {BARS} SELECT ticker AS key, t, c, 'tapeloom' AS source, TRUE AS stamped FROM bars")
 def snk8(v: Views):
     path = work_dir(v.spark, "messages")

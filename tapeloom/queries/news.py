@@ -230,6 +230,17 @@ def scl27(v: Views):
     return rows.select("doc_id", size.alias("ticker_count"), F.coalesce("source", F.lit("Unknown")).alias("label"))
 
 
+@query(
+    "scl28_article_line",
+    f"WITH {NEWS} SELECT doc_id, concat('Processed News: ', CASE WHEN doc_id % 3 = 0 THEN 'No title' ELSE coalesce(substr(summary, 1, 50), 'No title') END, '... | Sentiment: ', {label('overall_score')}, ' (', CAST(CAST(overall_score AS DECIMAL(18,2)) AS VARCHAR), ') | Tickers: 3') AS line FROM news",
+)
+def scl28_article_line(v: Views):
+    """The text stands for the title; some articles lack it."""
+    score = F.col("overall_sentiment_score").cast("double")
+    title = F.when(F.col("doc_id") % 3 != 0, F.col("summary"))
+    return v.articles.select("doc_id", nf.article_line(title, nf.ticker_label(score), score, F.size("ticker_sentiment")).alias("line"))
+
+
 @query("scl30_message_id", f"WITH {NEWS} SELECT doc_id, sha256(concat(message_id, '|', published_s)) AS message_key, CAST(36 AS INTEGER) AS uuid_length FROM news")
 def scl30(v: Views):
     return v.articles.select(

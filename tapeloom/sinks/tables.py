@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,9 +60,18 @@ def routed(df: DataFrame, route: Column, collections: Mapping[str, str]) -> Data
     return df.withColumn("collection", F.try_element_at(table, route))
 
 
-def write_routed(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One pass writes every collection into its own folder; rows without one are left out."""
-    df.filter(F.col("collection").isNotNull()).write.mode(mode).partitionBy("collection").parquet(path)
+def write_routed(df: DataFrame, path: str, mode: str = "append", dead_path: str | None = None) -> int:
+    """One pass writes every collection into its own folder. Returns the number of rows without a collection.
+
+    These are counted on the way and left out; with ``dead_path`` they are written there.
+    """
+    told = Observation()
+    unknown = F.col("collection").isNull()
+    counted = df.observe(told, F.count_if(unknown).alias("unknown"))
+    counted.filter(~unknown).write.mode(mode).partitionBy("collection").parquet(path)
+    if dead_path:
+        df.filter(unknown).drop("collection").write.mode(mode).parquet(dead_path)
+    return told.get["unknown"]
 
 
 def bundled(df: DataFrame, max_bytes: int) -> DataFrame:
