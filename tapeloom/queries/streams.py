@@ -14,7 +14,7 @@ from tapeloom.queries import bars as bar_queries
 from tapeloom.queries.registry import ORACLE, query
 from tapeloom.session import materialize, work_dir
 from tapeloom.sinks import lake as lake_sink
-from tapeloom.streaming import sinks, sources, state, timed, windows
+from tapeloom.streaming import batches, sinks, sources, state, timed, windows
 from tapeloom.views import BARS, DAILY_SENTIMENT_SELECT, MENTIONS, NEWS, TICKS, Views, r
 
 
@@ -263,6 +263,19 @@ def str11(v: Views):
     return out.agg(F.count(F.lit(1)).alias("rows"), (F.count_distinct("batch_id") > 1).alias("several_batches"))
 
 
+@query("str11_rows_or_seconds", "SELECT count(*) AS rows, (count(*) + 249) // 250 AS batches, least(count(*), 250) AS most FROM documents")
+def str11_rows(v: Views):
+    """Articles in batches of 250 whatever the files they come in; the last one is closed by its age."""
+    path, out = work_dir(v.spark, "messages"), work_dir(v.spark, "stream")
+    v.articles.select(F.to_json(F.struct("message_id", "time_published"))).repartition(3).write.text(path)
+    live = batches.message_batches(v.spark, path, f"{out}/log", 250, 0)
+    query = sinks.start(live, sinks.batch_folder(f"{out}/data"), f"{out}/checkpoint", every_seconds=0)
+    query.processAllAvailable()
+    query.stop()
+    sizes = sinks.rows_of(v.spark, f"{out}/data").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("batches"), F.max("n").alias("most"))
+
+
 @query("str12_restart", "SELECT event_type, count(*) AS rows FROM events GROUP BY event_type")
 def str12(v: Views):
     """The stream is stopped and started again on its checkpoint: nothing is read twice."""

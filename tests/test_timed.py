@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.session import work_dir
-from tapeloom.streaming import sinks, sources, timed
+from tapeloom.streaming import batches, sinks, sources, timed
 
 TICKS = "ticker string, at timestamp, event_id long, price double, volume long"
 BASE = dt.datetime(2024, 1, 1)
@@ -127,3 +127,36 @@ def test_a_board_is_refreshed_in_silence(spark, ascending):
     parts = stream.send(closing(2000))
     assert board(parts) == expected(2000) == []
     assert parts.filter("at % 60000 <> 0").count() == 0
+
+
+def test_batches_close_by_rows_or_age_and_go_on_in_the_middle_of_a_file(spark, tmp_path):
+    folder, out, sent = tmp_path / "in", tmp_path / "out", []
+    folder.mkdir()
+
+    def add(name, n):
+        lines = [f"{name} {i} é" for i in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n" * (n % 2))
+        (tmp_path / name).rename(folder / name)
+        sent.extend(lines)
+
+    def run(seconds):
+        live = batches.message_batches(spark, str(folder), str(out / "log"), 100, seconds)
+        query = sinks.start(live, sinks.batch_folder(f"{out}/d"), f"{out}/c", every_seconds=0)
+        query.processAllAvailable()
+        query.stop()
+        rows = spark.read.parquet(f"{out}/d").collect()
+        assert len({r.value for r in rows}) == len(rows)
+        sizes = {}
+        for r in rows:
+            sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
+        return [sizes[k] for k in sorted(sizes)], {r.value for r in rows}
+
+    add("b", 150)
+    add("a", 71)
+    assert run(3600) == ([100, 100], set(sent[:200]))  # 21 rows wait
+    add("c", 90)
+    assert run(3600) == ([100] * 3, set(sent[:300]))
+    assert run(3600)[0] == [100] * 3
+    assert run(0) == ([100, 100, 100, 11], set(sent))
+    add("d", 100)
+    assert run(3600) == ([100, 100, 100, 11, 100], set(sent))
