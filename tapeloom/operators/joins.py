@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,22 +135,54 @@ def last_close_at_or_before(targets: DataFrame, bars: DataFrame, span_ms: int =
 Check = tuple[str, DataFrame, str, DataFrame, str]
 
 
+def _groups(checks: list[Check], side: int) -> list[tuple[DataFrame, dict[str, list[str]]]]:
+    """The tables of one side of the checks, each once, with the names of the checks by column."""
+    out: list[tuple[DataFrame, dict[str, list[str]]]] = []
+    for check in checks:
+        columns = next((c for t, c in out if t is check[side]), None)
+        if columns is None:
+            columns = {}
+            out.append((check[side], columns))
+        columns.setdefault(check[side + 1], []).append(check[0])
+    return out
+
+
+def _counted(table: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """(foreign_key, key, rows) of a child: each column counted in its own type, all in one pass; its counts become text."""
+    n = len(columns)
+    only = {c: (1 << n) - 1 ^ 1 << (n - 1 - i) for i, c in enumerate(columns)}  # the grouping id of a column by itself
+    if n == 1:
+        found = table.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("_g"))
+        only = dict.fromkeys(columns, 0)
+    else:
+        found = table.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(
+            F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("_g"))
+    key = F.coalesce(*[F.when(F.col("_g") == only[c], F.col(c).cast("string")) for c in columns])
+    names = F.coalesce(*[F.when(F.col("_g") == only[c], F.array(*map(F.lit, names))) for c, names in columns.items()])
+    return found.select(key.alias("key"), "rows", names.alias("_names")).filter("key IS NOT NULL").select(
+        F.explode("_names").alias("foreign_key"), "key", "rows")
+
+
+def _known(table: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """(foreign_key, key) of a parent, read once for all checks that look into it."""
+    entries = F.array(*[
+        F.struct(F.lit(name).alias("foreign_key"), F.col(c).cast("string").alias("key")) for c, names in columns.items() for name in names])
+    return table.select(F.explode(entries).alias("_e")).select("_e.*").filter(F.col("key").isNotNull())
+
+
 def orphan_report(checks: list[Check]) -> DataFrame:
     """One row per foreign key (name, child, its column, parent, its column): orphaned key values, orphaned rows.
 
-    Children are counted per key first, in the key's own type: a hot key crosses the network as
-    one row per task, and each check reads one column of its child. An outer join with a filter
-    keeps that order; an anti join would be moved below the count.
+    Children are counted per key first: a hot key crosses the network as one row per task.
+    An outer join with a filter keeps that order; an anti join would be moved below the
+    count. Checks on the same DataFrame share its scan.
     """
-    out = None
-    for name, child, column, parent, known in checks:
-        counted = child.select(F.col(column).alias("key")).filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-        keys = parent.select(F.col(known).alias("key"), F.lit(True).alias("_known"))
-        orphaned = counted.join(keys, "key", "left").filter("_known IS NULL")
-        found = orphaned.agg(F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("orphan_rows"))
-        found = found.select(F.lit(name).alias("foreign_key"), "orphan_keys", "orphan_rows")
-        out = found if out is None else out.unionByName(found)
-    return out
+    counted = reduce(DataFrame.unionByName, [_counted(*x) for x in _groups(checks, 1)])
+    known = reduce(DataFrame.unionByName, [_known(*x) for x in _groups(checks, 3)]).withColumn("_known", F.lit(True))
+    orphaned = counted.join(known, ["foreign_key", "key"], "left").filter(F.col("_known").isNull())
+    found = orphaned.groupBy("foreign_key").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("rows").alias("orphan_rows"))
+    names = found.sparkSession.createDataFrame([(c[0],) for c in checks], "foreign_key string")
+    return names.join(found, "foreign_key", "left").na.fill(0, ["orphan_keys", "orphan_rows"])
 
 
 def in_latest_snapshot(df: DataFrame, snapshots: DataFrame, key: str = "ticker", at: str = "time_update") -> DataFrame:
