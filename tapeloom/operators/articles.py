@@ -265,6 +265,28 @@ def sentiment_accumulation(enriched: DataFrame, *keys: str | Column) -> DataFram
     )
 
 
+def sentiment_partials(enriched: DataFrame, *keys: str | Column) -> DataFrame:
+    """What a sentiment accumulator holds, per key: counts and sums, which add up over any parts of the articles."""
+    s = F.col("sentiment_analytics.overall_score")
+    return enriched.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("news_count"), F.sum(s).alias("score_sum"),
+        F.sum("sentiment_analytics.total_relevance").alias("relevance_sum"),
+        F.count_if(s > 0.15).alias("positive"), F.count_if(s < -0.15).alias("negative"),
+    )
+
+
+def merged_sentiment(partials: DataFrame, *keys: str) -> DataFrame:
+    """`sentiment_accumulation` from stored partials, without the articles; a row per part and key is all it reads."""
+    total = {c: F.sum(c) for c in ("news_count", "score_sum", "relevance_sum", "positive", "negative")}
+    n = total["news_count"]
+    return partials.groupBy(*keys).agg(
+        n.alias("news_count"), half_up(total["score_sum"] / n, 4).alias("avg_sentiment"),
+        half_up(total["relevance_sum"], 2).alias("total_relevance"),
+        half_up(total["positive"] / n, 2).alias("positive_ratio"), half_up(total["negative"] / n, 2).alias("negative_ratio"),
+        half_up((n - total["positive"] - total["negative"]) / n, 2).alias("neutral_ratio"),
+    )
+
+
 def latest_for_ticker(mapping: DataFrame, ticker: str, n: int = 10) -> DataFrame:
     """Newest articles naming the ticker; ties broken by message id and position."""
     return (

@@ -11,6 +11,8 @@ from tapeloom.functions.rounding import half_up
 from tapeloom.operators import articles as art
 from tapeloom.operators import documents, indicators, joins, quality, ranking
 from tapeloom.queries.registry import query
+from tapeloom.session import work_dir
+from tapeloom.sinks import lake as lake_sink
 from tapeloom.views import (
     COMPANIES, DAILY_SENTIMENT_SELECT, EXCHANGES, MENTIONS, NEWS, Views, category, label, r,
 )
@@ -398,6 +400,22 @@ def agg6(v: Views):
     return art.sentiment_accumulation(art.enrich_news(v.articles), "source")
 
 
+@query(
+    "agg6_stored_partials",
+    f"WITH {MENTIONS}, per AS (SELECT doc_id, source, overall_score, {r('sum(relevance)', 2)} AS rel FROM mentions WHERE published_s >= 1704412800 AND published_s < 1705708800 GROUP BY doc_id, source, overall_score) SELECT source, count(*) AS news_count, {r('sum(overall_score) / count(*)', 4)} AS avg_sentiment, {r('sum(rel)', 2)} AS total_relevance, "
+    f"{_share('overall_score > 0.15')} AS positive_ratio, {_share('overall_score < -0.15')} AS negative_ratio, {_share('overall_score BETWEEN -0.15 AND 0.15')} AS neutral_ratio FROM per GROUP BY source",
+)
+def agg6_partials(v: Views):
+    """Partials of every day are stored, the first half of the days twice; a range of days is answered from them alone."""
+    path, day = work_dir(v.spark, "partials"), F.to_date("published_at").alias("day")
+    enriched = art.enrich_news(v.articles)
+    for rows in (enriched.filter(F.col("published_at") < F.lit("2024-01-15").cast("timestamp")), enriched):
+        lake_sink.write_lake(art.sentiment_partials(rows, "source", day), path, ("day",), "overwrite")
+    d = F.col("day")
+    days = v.spark.read.parquet(path).filter((d >= F.lit("2024-01-05").cast("date")) & (d < F.lit("2024-01-20").cast("date")))
+    return art.merged_sentiment(days, "source")
+
+
 @query(
     "agg10_null_profile",
     f"WITH {COMPANIES} SELECT count(*) FILTER (name IS NULL) AS name_nulls, count(*) FILTER (cik IS NULL) AS cik_nulls, count(*) AS composite_figi_nulls, count(*) FILTER (industry IS NULL) AS sic_description_nulls FROM companies",

@@ -439,3 +439,11 @@ def test_export_layout(spark, granularity, folder):
     lake.export_bars(bars, out, lo, hi, granularity)
     assert paths.exists(spark, f"{out}/ohlc/{folder}")
     assert spark.read.parquet(f"{out}/ohlc").count() == 2
+
+
+def test_routed_sink_counts_and_keeps_unknown_types(spark):
+    path = work_dir(spark, "t")
+    rows = tables.routed(spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "kind string, n int"), F.col("kind"), {"a": "as"})
+    assert tables.write_routed(rows, f"{path}/data", dead_path=f"{path}/dead") == 3
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/data").select("n", "collection").collect()] == [(1, "as")]
+    assert sorted(r.n for r in spark.read.parquet(f"{path}/dead").collect()) == [2, 3, 4]

@@ -154,3 +154,24 @@ def test_new_rows_with_a_hot_copy(spark):
 def test_clamp(spark):
     df = spark.createDataFrame([(5,), (11,), (None,)], "t int")
     assert [tuple(r) for r in merge.clamp(df, "t", 10).collect()] == [(5, False), (10, True), (None, False)]
+
+
+def test_merged_partials_equal_one_accumulation(spark):
+    analytics = "struct<overall_score: double, total_relevance: double>"
+    rows = [("a" if i % 3 else "b", i % 4, ((i % 7 - 3) / 10, i / 8)) for i in range(40)] + [(None, 1, (0.15, None))]
+    enriched = spark.createDataFrame(rows, f"source string, day int, sentiment_analytics {analytics}")
+    partials = art.sentiment_partials(enriched, "source", "day").repartition(3)
+    got = art.merged_sentiment(partials, "source")
+    want = art.sentiment_accumulation(enriched, "source")
+    assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    days = art.merged_sentiment(partials.filter("day < 2"), "source")
+    want = art.sentiment_accumulation(enriched.filter("day < 2"), "source")
+    assert {tuple(r) for r in days.collect()} == {tuple(r) for r in want.collect()}
+    assert art.merged_sentiment(partials.limit(0), "source").collect() == []
+
+
+def test_article_line(spark):
+    rows = spark.createDataFrame([("x" * 60, "Bullish", 0.4, 2), (None, None, -0.125, 0)], "title string, label string, score double, n int")
+    got = [r[0] for r in rows.select(nf.article_line(F.col("title"), F.col("label"), F.col("score"), F.col("n"))).collect()]
+    assert got[0] == f"Processed News: {'x' * 50}... | Sentiment: Bullish (0.40) | Tickers: 2"
+    assert got[1].startswith("Processed News: No title... | Sentiment: null (-0.1")
