@@ -302,8 +302,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
     item_start): of equal ones the first in the text, then the smallest item id.
 
     Null, empty and blank texts have no words and no matches. Items with the same id are one
-    item; a null id is the text ''. A very long text is cut into overlapping shards, so its
-    matches are whole but for `longest`, which is found from each place in full. Repeated rows
+    item; a null id is the text ''. A very long text is searched in overlapping shards: windows
+    are found in all of it, and `longest` is followed to its end beyond a shard. Repeated rows
     are answered each; an empty table, or an empty benchmark, gives rows without matches; other
     columns pass through, one with the name of the new column is replaced. Without `whole` the
     text itself is left out of the result.
