@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tapeloom.functions import prices
 from tapeloom.functions.rounding import half_up
 from tapeloom.operators import candles, documents, indicators, joins, ranking
-from tapeloom.queries.registry import query
+from tapeloom.queries.registry import ORACLE, query
+from tapeloom.session import work_dir
+from tapeloom.sinks import page_directory
 from tapeloom.views import BARS, BATCH_END, BATCH_START, DAILY, FILLED, RETURNS, TICKS, Views, r
 
 _W = "PARTITION BY ticker ORDER BY t"
@@ -416,6 +418,15 @@ def top4_deep(v: Views):
     return ranking.page(lines, lines.columns, lines.count() * 3 // 4000, F.floor(F.col("l_orderkey") / 64))
 
 
+@query("top4_stored_page", ORACLE["top4_deep_page"])
+def top4_stored(v: Views):
+    """The same page from a copy in page order, of which only the files that hold it are opened."""
+    lines = v.table("lineitem").select(*_LINE.split(", "))
+    path = work_dir(v.spark, "pages")
+    page_directory.write_pages(lines, path, lines.columns, rows_per_part=20_000)
+    return page_directory.read_page(v.spark, path, lines.columns, lines.count() * 3 // 4000)
+
+
 @query("agg12_page_count", f"WITH {BARS} SELECT count(*) AS documents, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS page_count FROM bars")
 def agg12(v: Views):
     n = F.count(F.lit(1))

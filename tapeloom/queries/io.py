@@ -12,7 +12,7 @@ from tapeloom.operators import candles, documents
 from tapeloom.queries.registry import query
 from tapeloom.session import work_dir
 from tapeloom.sinks import lake as lake_sink
-from tapeloom.sinks import tables
+from tapeloom.sinks import snapshots, tables
 from tapeloom.sources import readers
 from tapeloom.views import BARS, COMPANIES, EXCHANGES, NEWS, Views, r
 
@@ -151,6 +151,31 @@ def snk5(v: Views):
     )
 
 
+@query(
+    "snk5_snapshots",
+    f"""WITH {NEWS}, days AS (SELECT CAST(published_at AS DATE) AS ingest_date, summary, message_id FROM news), kept AS (SELECT ingest_date, count(*) AS rows, CAST(sum(length(summary)) AS BIGINT) AS chars FROM days GROUP BY ALL)
+SELECT 'opened before' AS reader, ingest_date, rows, chars FROM kept UNION ALL SELECT 'opened after', ingest_date, rows, chars FROM kept WHERE ingest_date <> DATE '2024-01-10'
+UNION ALL SELECT 'opened after', ingest_date, count(*), CAST(sum(length(summary)) AS BIGINT) FROM days WHERE ingest_date = DATE '2024-01-10' AND CAST(message_id AS BIGINT) % 2 = 0 GROUP BY ALL""",
+)
+def snk5_snapshots(v: Views):
+    """A reader opens a table of four appends; it is compacted, and a day replaced, before that reader reads."""
+    path = work_dir(v.spark, "snapshots")
+    rows = v.lake_news.select("message_id", "summary", "ingest_date")
+    for part in range(4):
+        snapshots.append(rows.filter(F.pmod(F.xxhash64("message_id"), F.lit(4)) == part), path)
+    before = snapshots.read(v.spark, path)
+    snapshots.compact(v.spark, path, min_files=2)
+    day = F.col("ingest_date") == F.lit("2024-01-10").cast("date")
+    now = snapshots.read(v.spark, path)
+    snapshots.overwrite(now.filter(day & (F.col("message_id").cast("long") % 2 == 0)), path)
+
+    def told(df, reader: str):
+        n = df.groupBy("ingest_date").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("summary")).alias("chars"))
+        return n.select(F.lit(reader).alias("reader"), "*")
+
+    return told(before, "opened before").unionByName(told(snapshots.read(v.spark, path), "opened after"))
+
+
 @query("snk7_routed_sink", "SELECT CASE event_type WHEN 'view' THEN 'views' WHEN 'click' THEN 'clicks' WHEN 'purchase' THEN 'sales' END AS collection, count(*) AS rows, " + r("sum(value)", 2) + " AS total FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL")
 def snk7(v: Views):
     path = work_dir(v.spark, "routed")

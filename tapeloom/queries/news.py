@@ -10,9 +10,10 @@ from tapeloom.functions import text, timing
 from tapeloom.functions.rounding import half_up
 from tapeloom.operators import articles as art
 from tapeloom.operators import documents, indicators, joins, quality, ranking
-from tapeloom.queries.registry import query
+from tapeloom.queries.registry import ORACLE, query
 from tapeloom.session import work_dir
 from tapeloom.sinks import lake as lake_sink
+from tapeloom.sinks import news_index
 from tapeloom.views import (
     COMPANIES, DAILY_SENTIMENT_SELECT, EXCHANGES, MENTIONS, NEWS, Views, category, label, r,
 )
@@ -330,6 +331,14 @@ def flt5(v: Views):
     return documents.find_news(v.articles, "t[35]", "20240108T000000", "20240116T000000").select("doc_id", "time_published")
 
 
+@query("flt5_indexed_search", ORACLE["flt5_news_search"])
+def flt5_indexed(v: Views):
+    """The same search in a store whose dictionary, postings and days tell what to open."""
+    path = work_dir(v.spark, "news-index")
+    news_index.write_index(v.articles, path)
+    return news_index.search(v.spark, path, "t[35]", "20240108T000000", "20240116T000000").select("doc_id", "time_published")
+
+
 @query("src5_collection_filters", f"WITH {NEWS} SELECT message_id, time_published, source FROM news WHERE title <> 'title' AND time_published >= '20240105T000000' AND time_published < '20240121T000000'")
 def src5(v: Views):
     docs = art.published_between(art.skip_header(v.articles), "2024-01-05", "2024-01-20")

@@ -108,6 +108,17 @@ def small_file_partitions(spark: SparkSession, path: str, min_files: int = 5) ->
     )
 
 
+def into_files(rows: DataFrame, text: Column, files: dict[str, int]) -> DataFrame:
+    """Rows of a stored table dealt to as many writers per value of ``text`` as ``files`` says; a big partition is never one task."""
+    many = {k: n for k, n in files.items() if n > 1}
+    salt = F.lit(0)
+    if many:
+        counts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+        at = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+        salt = F.pmod(at, F.coalesce(F.try_element_at(counts, text), F.lit(1)).cast("long"))
+    return rows.withColumn("_salt", salt).repartition(sum(files.values()), text, "_salt").drop("_salt")
+
+
 def compact(
     spark: SparkSession, path: str, partition: str = "ingest_date", min_files: int = 5,
     target_bytes: int = TARGET_FILE_BYTES,
@@ -129,17 +140,8 @@ def compact(
     table = spark.read.parquet(path)
     text = F.col(partition).cast("string")
     rows = table.filter(text.isin(list(todo)))
-    # As many writers per partition as it needs files; a big partition is never one task.
-    many = {k: n for k, n in todo.items() if n > 1}
-    salt = F.lit(0)
-    if many:
-        counts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-        at = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-        salt = F.pmod(at, F.coalesce(F.try_element_at(counts, text), F.lit(1)).cast("long"))
     staged = f"{path.rstrip('/')}/{STAGED}"
-    rows.withColumn("_salt", salt).repartition(sum(todo.values()), text, "_salt").drop("_salt").write.mode(
-        "overwrite"
-    ).partitionBy(partition).parquet(staged)
+    into_files(rows, text, todo).write.mode("overwrite").partitionBy(partition).parquet(staged)
     finish_compaction(spark, path)
     return len(todo)
 

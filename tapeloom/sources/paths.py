@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -45,3 +46,25 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     _, q = _fs(spark, new)
     if not fs.rename(p, q):
         raise OSError(f"cannot rename {old} to {new}")
+
+
+def rename_new(spark: SparkSession, old: str, new: str) -> bool:
+    """Rename unless the new name is taken: of two writers of a name one gets True, the other False."""
+    fs, p = _fs(spark, old)
+    _, q = _fs(spark, new)
+    jvm, q = spark.sparkContext._jvm, fs.makeQualified(q)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(q.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(p), q, no_options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def found(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time in ms) of what a glob stands for; metadata only."""
+    fs, p = _fs(spark, pattern)
+    return [(x.getPath().toUri().getPath(), x.getLen(), x.getModificationTime()) for x in fs.globStatus(p) or []]
