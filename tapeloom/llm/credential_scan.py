@@ -29,6 +29,41 @@ SHORTEST_VALUE = 6
 #: A secret of more distinct owners than this is a copied example; so is one of more distinct repositories.
 LIVE_OWNERS = 2
 LIVE_REPOSITORIES = 4
+#: Numbers summed by appending to an array, which copies it.
+BLOCK = 64
+
+
+def named(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ends_before(lengths: Column, levels: int = 2) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Appending to an array copies it, so the array is summed in blocks: the sums of the
+    blocks, one level up, tell where each block begins. With two levels no array beyond
+    BLOCK numbers is appended to until there are BLOCK cubed of them, and the work stays in
+    proportion to the length.
+    """
+    def add(state: Column, x: Column) -> Column:
+        return F.struct((state["at"] + x).alias("at"), F.concat(state["found"], F.array(state["at"])).alias("found"))
+
+    def within(numbers: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("found"))
+        return F.aggregate(numbers, first, add, lambda state: state["found"])
+
+    if not levels:
+        return within(lengths, F.lit(0))
+
+    def blocks(whole: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(whole, i, BLOCK))
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda sum_, x: sum_ + x)
+
+    return named(named(lengths, blocks), lambda cut: F.flatten(
+        F.zip_with(cut, ends_before(F.transform(cut, total), levels - 1), within)))
 
 
 def spans(text: Column, pattern: str, group: int, order: int) -> Column:
@@ -45,14 +80,13 @@ def spans(text: Column, pattern: str, group: int, order: int) -> Column:
         F.length(gap).alias("gap"), F.length(x["m"]).alias("size"), x["s"].alias("secret")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,secret:string>>")
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["size"]
-        found = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["secret"].alias("secret"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+    def placed(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(
+            start.alias("start"), F.lit(order).alias("kind"), (start + x["size"]).alias("end"), x["secret"].alias("secret"))
 
-    placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda state: state["found"])
-    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(none)
+    every = named(steps, lambda s: F.zip_with(ends_before(F.transform(s, lambda x: x["gap"] + x["size"])), s, placed))
+    return F.when(F.rlike(text, F.lit(pattern)), every).otherwise(none)
 
 
 def joined(listed: Column) -> Column:

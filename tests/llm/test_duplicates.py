@@ -151,6 +151,21 @@ def base_spans(text):
     return sorted(found)
 
 
+def test_a_text_of_very_many_secrets(spark):
+    """More matches than two levels of blocks hold appended; each is copied a few times only."""
+    text = " ".join(f"\u00e9{i} token={i:08d} x" for i in range(20_000))
+    found = credential_scan.scan(spark.createDataFrame([(1, text, "a", "en")], "doc_id long, text string, source string, lang string")).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[0-9]+", text))
+    assert found.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and found.n_assign == 20_000
+
+
+def test_sums_before_each_number(spark):
+    for n in (0, 1, 63, 64, 65, 4096, 4097):
+        numbers = [i * 7 % 11 for i in range(n)]
+        row = spark.createDataFrame([(numbers,)], "a array<int>").select(credential_scan.ends_before(F.col("a")).alias("b")).first()
+        assert row.b == [sum(numbers[:i]) for i in range(n)]
+
+
 def test_secret_spans(spark):
     owners = ["a", "a", "b", "b", None, "c", "d", "e", "f"]
     docs = spark.createDataFrame(
