@@ -7,10 +7,15 @@ and a larger product is a smaller distance. A query has the distances to all
 pivots at hand; the triangle inequality bounds its distance to a block of a
 pivot's vectors, an annulus between two distances, from below.
 
-The blocks of a query's own surroundings give it a k-th distance, its radius; then
-it visits every block whose bound doesn't pass the radius, and no other. Blocks hold a
-bounded number of vectors, so a pivot that is nearest to a third of all rows is many
-blocks, and each pair of block and query batch is work of its own.
+Distances are cut into ranges; a cell is a pivot and a range, an annulus. There is a
+bounded number of cells, whatever the table, so their table, with the least and largest
+distance and the members of each, is at hand in every task, and a query looks up its
+cells without a row for each of them. The nearest cells give a query a k-th distance, its
+radius; then it visits every cell whose bound doesn't pass the radius, and no other.
+What is written grows with what the radius reaches. Cells are stored in blocks of a
+bounded number of vectors, so a cell that holds a third of all rows is many blocks, and
+each pair of block and query batch is work of its own; a block is copied only for the
+batches that ask for it.
 """
 
 from __future__ import annotations
@@ -26,11 +31,14 @@ from pyspark.sql import functions as F
 
 from tapeloom.session import materialize
 
-PIVOTS = 64
+#: Pivots and distance ranges: from the number of vectors, within these bounds.
+FEWEST_PIVOTS, MOST_PIVOTS, MOST_RANGES = 64, 256, 128
 #: Vectors the pivots are fitted on: those with the smallest hash. Every vector is indexed and searched.
 SAMPLE = 2048
 #: Vectors in a block.
 BLOCK = 1024
+#: Queries whose cells are looked up at once.
+LOOKED_UP = 64
 #: Queries that meet a block at once.
 QUERY_BATCH = 4096
 NO_ID = np.iinfo(np.int64).max
@@ -89,57 +97,88 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Blocks of vectors (block, pivot, rid, id, v) on disk, and what a query needs to choose among them."""
+    """Blocks of vectors (block, pivot, range, rid, id, v) on disk, and the cells a query chooses among."""
 
-    def __init__(self, vectors: DataFrame, reach2: float, width: int):
-        self.reach2, self.width = reach2, width
-        sample = vectors.orderBy(F.xxhash64("id", "v"), "rid").limit(SAMPLE).select("v").toArrow()
-        self.pivots = pivots = fit_pivots(raised(matrix(sample["v"], width), reach2), PIVOTS)
+    def __init__(self, vectors: DataFrame, count: int, reach2: float, width: int, k: int):
+        self.reach2, self.width, self.k = reach2, width, k
+        sample = raised(matrix(
+            vectors.orderBy(F.xxhash64("id", "v"), "rid").limit(SAMPLE).select("v").toArrow()["v"], width), reach2)
+        self.pivots = pivots = fit_pivots(sample, min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(count**0.5 / 4))))
+        ranges = min(MOST_RANGES, -(-count // (len(pivots) * BLOCK)))
+        # Where ranges are cut decides how even they are, not what is found: bounds come from the members themselves.
+        cuts = np.quantile(distances(sample, pivots).min(axis=1), np.arange(1, ranges) / ranges) if ranges > 1 else np.zeros(0)
 
         def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 far = distances(raised(matrix(batch.column("v"), width), reach2), pivots)
                 nearest = far.argmin(axis=1)
+                own = far[np.arange(len(far)), nearest]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(far[np.arange(len(far)), nearest])],
-                    names=[*batch.schema.names, "pivot", "far"])
+                    [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(np.searchsorted(cuts, own).astype(np.int32)),
+                     pa.array(own)],
+                    names=[*batch.schema.names, "pivot", "range", "far"])
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, held, last = TaskContext.get().partitionId() << 32, 0, None
             for batch in batches:
                 numbers = []
-                for pivot in batch.column("pivot").to_pylist():
-                    if pivot != last or held == BLOCK:
-                        block, held, last = block + 1, 0, pivot
+                for cell in zip(batch.column("pivot").to_pylist(), batch.column("range").to_pylist(), strict=True):
+                    if cell != last or held == BLOCK:
+                        block, held, last = block + 1, 0, cell
                     held += 1
                     numbers.append(block)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())],
                                                  names=[*batch.schema.names, "block"])
 
-        keyed = vectors.select("rid", "id", "v").mapInArrow(key, "rid long, id long, v array<long>, pivot int, far double")
+        fields = "rid long, id long, v array<long>, pivot int, range int, far double"
+        keyed = vectors.select("rid", "id", "v").mapInArrow(key, fields)
         # Equal vectors have equal keys; the row number lets them lie in several parts.
         ordered = keyed.repartitionByRange("pivot", "far", "rid").sortWithinPartitions("pivot", "far", "rid")
-        self.blocks = materialize(
-            ordered.mapInArrow(number, "rid long, id long, v array<long>, pivot int, far double, block long"), "index")
-        self.directory = self.blocks.groupBy("block", "pivot").agg(
-            F.min("far").alias("inner"), F.max("far").alias("outer"), F.count(F.lit(1)).alias("members"))
-
-    def bounds(self, queries: DataFrame) -> DataFrame:
-        """(q, block, members, bound, apart): how near a block's vectors can be to a query."""
-        pivots, width = self.pivots, self.width
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                points = matrix(batch.column("v"), width)
-                far = distances(np.hstack([points, np.zeros((len(points), 1))]), pivots)
-                yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(list(far), pa.list_(pa.float64()))], names=["q", "far"])
-
-        measured = queries.select("q", "v").mapInArrow(measure, "q long, far array<double>")
-        at = measured.select("q", F.posexplode("far").alias("pivot", "far"))
-        bound = F.greatest(F.col("far") - F.col("outer"), F.col("inner") - F.col("far"), F.lit(0.0))
-        return at.join(self.directory, "pivot").select(
-            "q", "block", "members", bound.alias("bound"),
-            F.abs(F.col("far") - (F.col("inner") + F.col("outer")) / 2).alias("apart"))
+        self.blocks = materialize(ordered.mapInArrow(number, f"{fields}, block long"), "index")
+        sizes = self.blocks.groupBy("pivot", "range", "block").agg(
+            F.count(F.lit(1)).alias("members"), F.min("far").alias("inner"), F.max("far").alias("outer"))
+        # Of a cell's blocks the first that hold more than k vectors are enough for a radius.
+        upto = Window.partitionBy("pivot", "range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        self.directory = materialize(sizes.withColumn("first", F.coalesce(F.sum("members").over(upto), F.lit(0)) <= k), "directory")
+        # At most MOST_PIVOTS times MOST_RANGES rows.
+        self.cells = self.directory.groupBy("pivot", "range").agg(
+            F.min("inner").alias("inner"), F.max("outer").alias("outer"), F.sum("members").alias("members")
+        ).orderBy("pivot", "range").toPandas()
+
+    def reached(self, queries: DataFrame, first: bool) -> DataFrame:
+        """(q, block, floor): the blocks that a query's radius reaches; `first`: those near it that hold more than k vectors.
+
+        `queries` are (q, v, floor, radius); without a radius all blocks are reached.
+        """
+        pivots, width, k = self.pivots, self.width, self.k
+        pivot, ring = self.cells["pivot"].to_numpy(), self.cells["range"].to_numpy()
+        inner, outer, members = (self.cells[x].to_numpy() for x in ("inner", "outer", "members"))
+        slack = 1e-6 * (1 + self.reach2) ** 0.5  # covers the rounding of distances
+
+        def choose(bound: np.ndarray, apart: np.ndarray, radius: float | None) -> np.ndarray:
+            if first:
+                order = np.lexsort((apart, bound))
+                return order[: np.searchsorted(np.cumsum(members[order]), k, side="right") + 1]
+            return np.arange(len(bound)) if radius is None else np.flatnonzero(bound <= radius + slack)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, LOOKED_UP):
+                    batch = whole.slice(start, LOOKED_UP)
+                    points = matrix(batch.column("v"), width)
+                    far = distances(np.hstack([points, np.zeros((len(points), 1))]), pivots)[:, pivot]
+                    bound = np.maximum(np.maximum(far - outer, inner - far), 0)
+                    apart = np.abs(far - (inner + outer) / 2)
+                    chosen = [choose(*x) for x in zip(bound, apart, batch.column("radius").to_pylist(), strict=True)]
+                    row = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen])
+                    cell = np.concatenate(chosen)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("q").take(pa.array(row)), batch.column("floor").take(pa.array(row)),
+                         pa.array(pivot[cell]), pa.array(ring[cell])], names=["q", "floor", "pivot", "range"])
+
+        cells = queries.select("q", "v", "floor", "radius").mapInArrow(look_up, "q long, floor long, pivot int, range int")
+        blocks = self.directory.where("first") if first else self.directory
+        return cells.join(blocks.select("pivot", "range", "block"), ["pivot", "range"]).select("q", "block", "floor")
 
     def visit(self, pairs: DataFrame, queries: DataFrame, batches: int, k: int) -> DataFrame:
         """The k best of each block for each query in `pairs` (q, block, floor), none below its floor."""
@@ -161,9 +200,10 @@ class Index:
             return pa.table({"q": q, "query_id": query_id, "vec_id": vec_id, "score": score})
 
         part = F.pmod(F.xxhash64("q"), F.lit(batches)).alias("part")
-        asked = pairs.join(queries, "q").select("block", part, "q", "query_id", "v", "floor")
-        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("part")
-        held = self.blocks.select("block", parts, "rid", "id", "v")
+        dealt = materialize(pairs.select("block", part, "q", "floor"), "asked")
+        asked = dealt.join(queries, "q").select("block", "part", "q", "query_id", "v", "floor")
+        wanted = dealt.select(F.col("block").alias("wanted"), F.col("part").alias("of")).distinct()
+        held = self.blocks.join(wanted, F.col("block") == F.col("wanted")).select("block", F.col("of").alias("part"), "rid", "id", "v")
         return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(meet, RESULT)
 
 
@@ -190,30 +230,21 @@ def top_k(rows: DataFrame, query: Column, key: str = "vec_id", vector: str = "em
         F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("id"), whole.alias("v"),
         F.coalesce(query, F.lit(False)).alias("asks"), usable.alias("usable")).where("usable").drop("usable"), "vectors")
     length2 = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    stats = vectors.agg(F.max(length2).alias("reach2"), F.max(F.size("v")).alias("width"),
+    stats = vectors.agg(F.count(F.lit(1)).alias("count"), F.max(length2).alias("reach2"), F.max(F.size("v")).alias("width"),
                         F.count_if("asks").alias("queries")).first()
     if not stats["queries"]:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"),
                               F.lit(0).cast("long").alias("score")).limit(0)
-    index = Index(vectors, stats["reach2"], stats["width"])
+    index = Index(vectors, stats["count"], stats["reach2"], stats["width"], k)
     queries = vectors.where("asks").select(F.col("rid").alias("q"), F.col("id").alias("query_id"), "v")
     batches = -(-stats["queries"] // QUERY_BATCH)
-    bounds = materialize(index.bounds(queries), "bounds")
 
-    # The nearest annuli that hold more than k vectors give each query a radius.
-    order = Window.partitionBy("q").orderBy("bound", "apart", "block")
-    before = F.coalesce(F.sum("members").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = bounds.withColumn("before", before).where(F.col("before") <= k).select("q", "block", F.lit(None).cast("long").alias("floor"))
-    first = ranked(index.visit(near, queries, batches, k), k)
+    unknown = queries.withColumns({"floor": F.lit(None).cast("long"), "radius": F.lit(None).cast("double")})
+    first = ranked(index.visit(index.reached(unknown, first=True), queries, batches, k), k)
     floors = first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
-    radius = queries.select("q", F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")).alias("length2"))
-    radius = radius.join(floors, "q", "left").select("q", "floor", F.when(
+    length2 = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    known = queries.join(floors.select("q", "floor"), "q", "left").withColumn("radius", F.when(
         F.col("floor").isNotNull(), F.sqrt(F.greatest(
-            F.col("length2") + F.lit(stats["reach2"]) - 2 * F.col("floor").cast("double"), F.lit(0.0)))).alias("radius"))
-
-    # Every annulus that the radius reaches; the slack covers the rounding of distances.
-    slack = 1e-6 * (1 + stats["reach2"]) ** 0.5
-    reached = bounds.join(radius, "q").where(
-        F.col("radius").isNull() | (F.col("bound") <= F.col("radius") + slack)).select("q", "block", "floor")
-    found = ranked(index.visit(reached, queries, batches, k), k)
+            length2 + F.lit(stats["reach2"]) - 2 * F.col("floor").cast("double"), F.lit(0.0)))))
+    found = ranked(index.visit(index.reached(known, first=False), queries, batches, k), k)
     return found.select("query_id", "rank", "vec_id", "score")

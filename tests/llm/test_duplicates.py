@@ -204,10 +204,12 @@ def plain_top(rows, k):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_top_k_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "pivots"), [(8, 4), (8, 64), (1024, 64)])
+def test_top_k_equals_brute_force(spark, monkeypatch, block, pivots):
     """Clusters, a vector that a third of the rows share, ties, repeated ids, unusable and short vectors."""
     monkeypatch.setattr(nearest, "BLOCK", block)
+    monkeypatch.setattr(nearest, "FEWEST_PIVOTS", pivots)
+    monkeypatch.setattr(nearest, "LOOKED_UP", block)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 6))
     rows = [(i, (centres[i % 5] + rng.normal(scale=0.2, size=6)).astype(np.float32).tolist()) for i in range(301)]
@@ -220,6 +222,27 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == plain_top(rows, 10)
 
 
+def test_a_radius_reaches_its_own_surroundings_only(spark, monkeypatch):
+    """Clusters far apart, one of them a third of all rows: a query opens the blocks of its own, not one row per block."""
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    centres = np.eye(8) * 4096
+    at = [0 if i % 3 == 0 else i % 8 for i in range(1200)]
+    rows = [(i, i, np.round(centres[c] + rng.normal(scale=8, size=8)).astype(int).tolist()) for i, c in enumerate(at)]
+    vectors = spark.createDataFrame(rows, "rid long, id long, v array<long>")
+    longest = float(max(sum(x * x for x in v) for *_, v in rows))
+    index = nearest.Index(vectors, len(rows), longest, 8, 10)
+    blocks = index.directory.count()
+    assert blocks >= 75 and index.directory.agg(F.max("members")).first()[0] <= 16
+    asking = vectors.where("id % 100 = 1").selectExpr("rid as q", "v", "cast(null as long) as floor", "cast(null as double) as radius")
+    near = index.reached(asking, first=True).groupBy("q").count().collect()
+    assert len(near) == 12 and max(r["count"] for r in near) <= 6
+    assert index.reached(asking, first=False).count() == 12 * blocks
+    # Both on the sphere: the distance of a query to the rest of its cluster is little more than to the nearest of it.
+    far = float(np.sqrt(2 * longest - 2 * 4096 * 4000))
+    assert index.reached(asking.drop("radius").selectExpr("*", f"{far}D as radius"), first=False).count() < 12 * blocks / 2
+
+
 def test_top_k_of_few_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = nearest.top_k(table, F.col("vec_id") == 0).collect()
