@@ -3,8 +3,8 @@
 Rows get the numbers 0 .. n-1, a Feistel network permutes 0 .. n-1, and the
 permuted number gives shard and slot: p mod k and p div k. Shards so hold counts
 at most one apart, slots are gapless, the shuffle depends on the seed alone, and
-where a numbered row lies, or which number lies at a place, can be computed
-without any table.
+where a numbered row lies, or which number lies at a place (`at_place`), can be
+computed without any table.
 
 The network works on pairs of residues a x b with a = ceil(sqrt n), b = ceil(n / a):
 fewer than a of its values lie outside 0 .. n-1. A number that lands there walks
@@ -82,6 +82,32 @@ def permuted(rows: DataFrame, number: str, n: int, seed: int = 11) -> DataFrame:
     )
 
 
+def step_back(x: Column, n: int, seed: int) -> Column:
+    """The number that `step` sends to x: the rounds in reverse, each taking away what it added."""
+    a, b = sides(n)
+    rounds = F.array(*map(F.lit, reversed(range(ROUNDS))))
+
+    def turn(pair: Column, i: Column) -> Column:
+        left, right = pair["l"], pair["r"]
+        even = i % 2 == 0
+        mixed = F.xxhash64(F.lit(seed), i, F.when(even, right).otherwise(left))
+        return F.struct(
+            F.when(even, (left + a - F.pmod(mixed, F.lit(a))) % a).otherwise(left).alias("l"),
+            F.when(even, right).otherwise((right + b - F.pmod(mixed, F.lit(b))) % b).alias("r"))
+
+    start = F.struct((x % a).cast("long").alias("l"), F.floor((x - x % a) / a).cast("long").alias("r"))
+    return F.aggregate(rounds, start, turn, lambda pair: pair["l"] + pair["r"] * a)
+
+
+def at_place(shard: Column, slot: Column, count: int, n: int, seed: int = 11) -> Column:
+    """The row number that lies at a shard and slot of n rows in `count` shards; null outside. Walks back along the cycle."""
+    p = slot.cast("long") * count + shard
+    back = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), step_back(p, n, seed), lambda x, _: F.when(x < n, x).otherwise(step_back(x, n, seed)))
+    checked = F.when(back < n, back).otherwise(F.raise_error(F.lit("a walk isn't over")))
+    return F.when((shard >= 0) & (shard < count) & (slot >= 0) & (p < n), checked)
+
+
 def numbered(rows: DataFrame, number: str, total: int) -> DataFrame:
     """`rows`, taken as a bag of values, with the numbers 0 .. total-1 in a new column.
 
