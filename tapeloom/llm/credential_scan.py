@@ -103,7 +103,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     `owner` and `repository` name the columns that tell owners and their repositories
     apart; null is a value like any other. Base spans are those of the patterns. Each of
     them adds a span of kind live or example over its secret, by the owners and
-    repositories that hold the same secret. A null text is empty and has no spans; rows
+    repositories that hold the same secret. A null text is empty and has no spans; a very
+    long text is read whole, in time proportional to its length and its matches; rows
     that repeat are scanned each and held by the same owner; an empty table gives an
     empty table; other columns are not read.
 

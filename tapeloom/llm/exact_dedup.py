@@ -94,8 +94,8 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     Texts are equal when their bytes are; a null text is the empty one. Of equal
     texts the row with the largest key stays; null keys are below all others, and of
-    rows equal in key and text one stays. An empty table gives an empty table, other
-    columns are not read.
+    rows equal in key and text one stays. A very long text is hashed and compared
+    whole, as one value. An empty table gives an empty table, other columns are not read.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("fp", F.xxhash64("text"))

@@ -74,7 +74,8 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int =
 
     Nulls: a null text has size 0, a null source is a source of its own, last in
     order; a null key orders as the text ''. Documents of size 0 take 0 words
-    whatever their copies. Equal rows are interchangeable and counted as one group,
+    whatever their copies; a very long text is one document like any other, its words
+    counted inside the row and never cut. Equal rows are interchangeable and counted as one group,
     so repeated rows make no large group. An empty table gives an empty table.
     Reruns agree: order and offset come from hashes of key and source, not from the
     layout. Other columns are carried along; one with the name of a new column is

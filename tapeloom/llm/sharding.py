@@ -140,7 +140,7 @@ def shards(rows: DataFrame, count: int, seed: int = 11) -> DataFrame:
     Rows may hold nulls and repeat: equal rows are interchangeable and get numbers of
     their own. Columns must be of types that can be grouped (no maps); those named
     shard or slot are replaced. An empty table gives an empty table. Text may be among
-    the columns, but a narrow key or checksum in its place spares moving it.
+    the columns, very long ones whole, but a narrow key or checksum in its place spares moving it.
     """
     rows = rows.drop("shard", "slot")
     total = rows.count()

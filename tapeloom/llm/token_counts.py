@@ -64,7 +64,8 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
     """`docs` with n_bytes, n_tokens and over_limit in the place of the text column.
 
     Counts equal SentencePiece's default encoding without begin and end tokens.
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
+    Null and empty texts have 0 bytes and 0 tokens; a very long text is counted whole
+    and handled alone in its slice; repeated rows are counted each;
     an empty table gives an empty table; other columns are passed on, whatever
     their names or nulls.
     """

@@ -67,3 +67,17 @@ def test_near_copies_equal_all_pairs(spark, near, monkeypatch, common):
 
 def test_empty_table_has_no_near_copies(empty):
     assert resemblance.one_of_each(empty).collect() == []
+
+
+def test_one_of_repeated_rows_very_long_texts_and_clashing_columns(spark):
+    """Of exact repeats one row stays, a text of 60,000 words is compared whole, and columns named as inner ones pass through."""
+    long_text = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
+    tail = long_text.rsplit(" ", 40)[0] + " another end of the same long text"  # similar as a whole
+    other = " ".join(f"v{i * 7919 % 5003}" for i in range(60_000))
+    rows = [(5, long_text, 1, None, "x"), (4, tail, 2, None, "y"), (9, other, 3, "r", "z")]
+    rows += [(7, "the same row comes again and again", 4, None, "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, root string, `a.b` string")
+    kept = resemblance.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.row, r["a.b"]) for r in kept.collect()) == [(4, 2, "y"), (7, 4, "a"), (9, 3, "z")]
+    assert resemblance.one_of_each(docs.limit(0)).collect() == []
