@@ -9,11 +9,12 @@ from tapeloom.functions.text import safe_double, surrogate_key
 from tapeloom.functions.timing import parse_published
 from tapeloom.operators import articles as art
 from tapeloom.operators import merge
+from tapeloom.sinks import id_sets
 from tapeloom.sinks.lake import write_lake
 from tapeloom.sources import paths
 
 NEWS, MAPPING, DAILY = "news_sentiment_processed", "news_ticker_mapping", "ticker_sentiment_daily"
-#: Ids stored so far, a folder per batch that stored them.
+#: Ids stored so far: a folder per recent batch, older ones in parts with filters (`id_sets`).
 IDS = "news_message_ids"
 NEWS_DDL = (
     "id bigint, message_id string, source_id string, title string, url string, time_published timestamp, "
@@ -23,7 +24,6 @@ MAPPING_DDL = (
     "news_id bigint, i int, ticker string, relevance_score double, ticker_sentiment_score double, "
     "ticker_sentiment_label string, time_published timestamp, date date, batch string"
 )
-IDS_DDL = "message_id string, batch string"
 DAILY_DDL = (
     "ticker string, news_count bigint, avg_sentiment_score double, bullish_count bigint, bearish_count bigint, "
     "neutral_count bigint, top_sentiment_score double, created_batch bigint, updated_batch bigint, date date"
@@ -75,8 +75,8 @@ def days_of(df: DataFrame, days: list) -> DataFrame:
 def process_batch(messages: DataFrame, batch_id: int, base: str, run: str = "stream") -> None:
     """Insert articles that are new, then their mentions, then recompute the days touched.
 
-    An id is new if no other batch has stored it, on whatever day. Ids are written first,
-    under the batch's name, and articles and mentions by day and batch, so repeating a
+    An id is new if no other batch has stored it, on whatever day; filters tell which of the
+    stored ids need reading for that. Ids are written first, under the batch's name, and articles and mentions by day and batch, so repeating a
     batch after a failure at any point replaces its own files and nothing else. ``run``
     tells the batches of several streams into the same tables apart.
 
@@ -87,7 +87,7 @@ def process_batch(messages: DataFrame, batch_id: int, base: str, run: str = "str
     ids = one_per_id(messages).persist()
     try:
         days = [x["date"] for x in news_rows(ids).select("date").distinct().collect()]
-        known = table(spark, base, IDS, IDS_DDL).filter(F.col("batch") != batch).select("message_id")
+        known = id_sets.candidates(ids, f"{base}/{IDS}").filter(F.col("batch") != batch).select("message_id")
         fresh = ids.join(known, "message_id", "left_anti").withColumn("batch", F.lit(batch))
         for name, rows, partitions in (
             (IDS, fresh.select("message_id", "batch"), ("batch",)),
@@ -101,6 +101,7 @@ def process_batch(messages: DataFrame, batch_id: int, base: str, run: str = "str
         target = days_of(table(spark, base, DAILY, DAILY_DDL), days).select(*stamped.columns)
         merged = merge.upsert(target, stamped, ["ticker", "date"], keep=["created_batch"])
         write_lake(merged, f"{base}/{DAILY}", ("date",), mode="overwrite")
+        id_sets.merge_full_levels(spark, f"{base}/{IDS}")
     finally:
         ids.unpersist()
 
