@@ -52,9 +52,10 @@ def near():
     return [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common", [0, 1 << 17])
-def test_near_copies_equal_all_pairs(spark, near, monkeypatch, common):
+@pytest.mark.parametrize(("common", "large"), [(0, 1 << 13), (1 << 17, 1 << 13), (0, 8)])
+def test_near_copies_equal_all_pairs(spark, near, monkeypatch, common, large):
     monkeypatch.setattr(resemblance, "COMMON", common)
+    monkeypatch.setattr(resemblance, "LARGE", large)
     docs = spark.createDataFrame(near, SCHEMA).repartition(3, "doc_id")
     got = corpus_pipeline.without_near_copies(spark, docs, "")
     assert got.columns == docs.columns
@@ -81,3 +82,42 @@ def test_one_of_repeated_rows_very_long_texts_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.row, r["a.b"]) for r in kept.collect()) == [(4, 2, "y"), (7, 4, "a"), (9, 3, "z")]
     assert resemblance.one_of_each(docs.limit(0)).collect() == []
+
+
+def variants(rng, count):
+    """Texts of one template: most with another word inside, not similar to each other; some with another last word, which are."""
+    base = prose(rng, 30).split()
+    texts = []
+    for i in range(count):
+        words = list(base)
+        words[29 if i % 7 == 0 else rng.randrange(6, 24)] = f"other{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_a_key_of_very_many_is_compared_in_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(resemblance, "LARGE", 64)
+    texts, sizes, whole = variants(random.Random(3), 1000), [], resemblance.in_pieces
+
+    def watched(rows, large):
+        pieces = whole(rows, large)
+        sizes.extend(r["count"] for r in pieces.groupBy("hash", "piece").count().collect())
+        return pieces
+
+    monkeypatch.setattr(resemblance, "in_pieces", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    kept = sorted(r.doc_id for r in resemblance.one_of_each(docs).collect())
+    assert kept == sorted(set(linked(texts)))
+    assert 500 < len(kept) < 1000
+    assert len(sizes) > 50 and max(sizes) < 4 * 64
+
+
+def test_a_large_group_of_copies_is_not_dealt_in_pairs(spark, monkeypatch):
+    """All of the first row's component: no row is copied for a second turn."""
+    monkeypatch.setattr(resemblance, "LARGE", 32)
+    rows = spark.range(500).selectExpr("5L as hash", "id as row", "0L as root", "20L as n", "cast('' as binary) as bits")
+    large = resemblance.materialize(spark.createDataFrame([(5,)], "hash long"), "large")
+    assert resemblance.in_pieces(rows, large).count() == 0
+    two = rows.unionByName(rows.where("row < 3").selectExpr("hash", "row + 1000 as row", "row + 1000 as root", "n", "bits"))
+    assert resemblance.in_pieces(two, large).count() < 2 * 503
+    assert resemblance.with_first(rows, large).count() == 499
