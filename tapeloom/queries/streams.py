@@ -22,8 +22,7 @@ class StreamViews(Views):
     """The row-wise views over a stream of the same tables."""
 
     def table(self, name: str):
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return sources.parquet_folder(self.spark, self.folder, schema, f"{name}.parquet")
+        return sources.parquet_table(self.spark, f"{self.folder}/{name}.parquet")
 
 
 def _live(v: Views) -> StreamViews:

@@ -17,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def matches(spark: SparkSession, pattern: str) -> bool:
     """Whether a path, or any path a glob stands for, is there."""
     fs, p = _fs(spark, pattern)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.sources import paths
+
 # Topic names and their partition counts.
 TOPICS = {
     "stock-news-sentiment": 8,
@@ -62,6 +64,15 @@ def parquet_folder(
     return reader.parquet(path)
 
 
+def parquet_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table as a stream: one file, or a folder of parts."""
+    schema = spark.read.parquet(path).schema
+    if paths.is_folder(spark, path):
+        return parquet_folder(spark, path, schema)
+    folder, name = path.rsplit("/", 1)
+    return parquet_folder(spark, folder, schema, name)
+
+
 def decoded(messages: DataFrame, schema: T.StructType) -> DataFrame:
     """JSON values as ``data``, beside the raw ``value``; unreadable ones have a NULL record."""
     return messages.withColumn("data", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
