@@ -114,6 +114,8 @@ def trailing_stats(
 ) -> DataFrame:
     """Statistics of ``(ts - W, ts]`` for every tick and every W seconds in ``windows``.
 
+    Ticks are in the order of (``ts``, ``tie``): of those of the same time a window holds the ones up to its own.
+
     A sliding frame would revisit every tick of its window for every tick. Instead the axis
     is cut into buckets, and a window is the sum of three parts, each of linear cost:
 

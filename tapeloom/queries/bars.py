@@ -123,11 +123,12 @@ def win8(v: Views):
 
 
 def _trailing_sql(select) -> str:
-    parts = []
+    """Ticks in the order of (ts, event_id) as one number: a window ends with the tick itself, not with others of its time."""
+    parts, scale = [], "9223372036854775808::HUGEINT"
     for seconds, name in indicators.WINDOW_NAMES.items():
         frame = (
-            f"(PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL {seconds * 1_000_000 - 1} MICROSECONDS "
-            f"PRECEDING AND CURRENT ROW)"
+            f"(PARTITION BY ticker ORDER BY epoch_us(ts) * {scale} + event_id RANGE BETWEEN "
+            f"{seconds * 1_000_000 - 1} * {scale} + event_id PRECEDING AND CURRENT ROW)"
         )
         parts.append(f"SELECT ticker, t, event_id, {select(frame, name, seconds)} FROM ticks")
     return f"WITH {TICKS} " + " UNION ALL ".join(parts)
