@@ -188,8 +188,13 @@ def sentiment_anomalies(
     return anomaly_report(prior_totals(scores, key, order, value, slice_of), value, scores.columns, threshold, min_points)
 
 
-def anomaly_report(history: DataFrame, value: str, keys: Sequence[str], threshold: float = 2.0, min_points: int = 10) -> DataFrame:
-    """The report per value from the moments of all earlier ones (hist_n … hist_hi), of a table or a stream."""
+def anomaly_report(
+    history: DataFrame, value: str, keys: Sequence[str], threshold: float = 2.0, min_points: int = 10, noise: float = 0.0
+) -> DataFrame:
+    """The report per value from the moments of all earlier ones (hist_n … hist_hi), of a table or a stream.
+
+    A value no more than ``noise`` above the mean counts as equal to it, which is no spike.
+    """
     n, x = F.col("hist_n"), F.col(value)
     mean = F.col("hist_mean")
     var = F.col("hist_m2") / F.when(n > 0, n)
@@ -204,5 +209,5 @@ def anomaly_report(history: DataFrame, value: str, keys: Sequence[str], threshol
         half_up(z, 2).alias("z_score"),
         F.when(usable, half_up(mean, 4)).alias("avg_sentiment"),
         half_up(sd, 4).alias("std_dev"),
-        F.when(usable, F.when(x > mean, "spike").otherwise("drop")).alias("direction"),
+        F.when(usable, F.when(x - mean > noise, "spike").otherwise("drop")).alias("direction"),
     )

@@ -212,9 +212,13 @@ def str10_refresh(v: Views):
     return timed.merged_board(parts, "price", 5).withColumn("refreshed", F.lit(parts.agg(F.max("at")).scalar()))
 
 
-@query("win12_stream", ORACLE["win12_sentiment_anomaly"])
+#: Scores are hundredths: below this a difference from a mean is an error of rounding, whatever the order of its sum.
+NOISE = 1e-10
+
+
+@query("win12_stream", ORACLE["win12_sentiment_anomaly"].replace("score > mean", f"score - mean > {NOISE!r}"))
 def win12_stream(v: Views):
-    """The anomalies of a stream, from five numbers per ticker; mentions come out of order."""
+    """The anomalies of a stream, from five numbers per ticker; mentions come out of order. A score equal to the mean is a drop."""
     m = v.mentions.select(
         "ticker", F.timestamp_seconds("published_s").alias("at"), (F.col("doc_id") * 10 + F.col("i")).alias("tie"), F.col("sentiment_score").alias("score"))
     flat = m.filter("tie % 10 = 0").withColumns({"ticker": F.lit("FLAT"), "score": F.lit(0.25)})
@@ -222,7 +226,7 @@ def win12_stream(v: Views):
     history = sinks.rows_of(v.spark, _drained(timed.running_moments(_one_by_one(v, path), "ticker", "score", "at", "tie")))
     told = history.filter("NOT late").select(
         "*", F.expr("tie div 10").alias("doc_id"), F.expr("CAST(tie % 10 AS INT)").alias("i"), F.col("value").alias("score"))
-    return indicators.anomaly_report(told, "score", ["ticker", "doc_id", "i", "score"])
+    return indicators.anomaly_report(told, "score", ["ticker", "doc_id", "i", "score"], noise=NOISE)
 
 
 WIDTHS = (5, 15, 60)
