@@ -268,14 +268,14 @@ def str11(v: Views):
 
 @query("str11_rows_or_seconds", "SELECT count(*) AS rows, (count(*) + 249) // 250 AS batches, least(count(*), 250) AS most FROM documents")
 def str11_rows(v: Views):
-    """Articles in batches of 250 whatever the files they come in; the last one is closed by its age."""
+    """Articles in batches of 250 whatever the files they come in; the last one is closed by its age. Batches that wait go together."""
     path, out = work_dir(v.spark, "messages"), work_dir(v.spark, "stream")
     v.articles.select(F.to_json(F.struct("message_id", "time_published"))).repartition(3).write.text(path)
-    live = batches.message_batches(v.spark, path, f"{out}/log", 250, 0)
+    live = batches.message_batches(v.spark, path, f"{out}/log", 250, 0, together=400)
     query = sinks.start(live, sinks.batch_folder(f"{out}/data"), f"{out}/checkpoint", every_seconds=0)
     query.processAllAvailable()
     query.stop()
-    sizes = sinks.rows_of(v.spark, f"{out}/data").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sinks.rows_of(v.spark, f"{out}/data").groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("batches"), F.max("n").alias("most"))
 
 
