@@ -58,9 +58,9 @@ def str1(v: Views):
 
 
 def _topic_of(v: Views, rows):
-    """Rows as JSON lines in a folder, standing for a topic."""
+    """Rows as JSON lines in a folder, standing for a topic; compressed, as a producer sends them."""
     path = work_dir(v.spark, "topic")
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(path)
     return path
 
 

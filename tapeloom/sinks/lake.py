@@ -28,11 +28,14 @@ def spread_by(df: DataFrame, *partitions: str) -> DataFrame:
 
 def write_lake(
     df: DataFrame, path: str, partitions: Sequence[str] = ("ingest_date",), mode: str = "append",
-    rows_per_file: int = ROWS_PER_FILE,
+    rows_per_file: int = ROWS_PER_FILE, spread: bool = True,
 ) -> None:
-    """Hive-partitioned Parquet; 'overwrite' replaces only the partitions that ``df`` has."""
+    """Hive-partitioned Parquet; 'overwrite' replaces only the partitions that ``df`` has.
+
+    Without ``spread`` rows stay in their tasks: no shuffle, and a file per task and partition.
+    """
     writer = (
-        spread_by(df, *partitions).write.mode(mode).partitionBy(*partitions)
+        (spread_by(df, *partitions) if spread else df).write.mode(mode).partitionBy(*partitions)
         .option("compression", "snappy").option("maxRecordsPerFile", rows_per_file)
     )
     if mode == "overwrite":

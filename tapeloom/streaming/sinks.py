@@ -156,7 +156,8 @@ def snapshot(path: str) -> BatchFn:
 def lake(path: str, partitions: Sequence[str] = ("ingest_date",), dead_path: str | None = None) -> BatchFn:
     """Rows by day; rows without one go to ``dead_path``.
 
-    Files of a batch carry its number as innermost partition, so repeating it is harmless.
+    Files of a batch carry its number as innermost partition, so repeating it is harmless. Rows are not
+    shuffled here: `lake_sink.publish_days` brings those of a day together.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
@@ -164,7 +165,7 @@ def lake(path: str, partitions: Sequence[str] = ("ingest_date",), dead_path: str
         try:
             dated, dead = lake_sink.dead_letters(df, partitions[0])
             lake_sink.write_lake(
-                dated.withColumn("batch_id", F.lit(batch_id)), path, (*partitions, "batch_id"), mode="overwrite"
+                dated.withColumn("batch_id", F.lit(batch_id)), path, (*partitions, "batch_id"), mode="overwrite", spread=False
             )
             if dead_path:
                 dead.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
