@@ -89,8 +89,13 @@ def bundled(df: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def write_json_bundles(df: DataFrame, path: str, max_bytes: int = 2 * 1024 * 1024) -> None:
-    """JSON lines, one file per bundle below ``slice=…/bundle=…``."""
-    bundled(df, max_bytes).repartition("slice", "bundle").write.mode("overwrite").partitionBy("slice", "bundle").json(path)
+    """JSON lines, one file per bundle below ``slice=…/bundle=…``.
+
+    Files are many, so tasks put them in their places when they end, not the driver one by one. A task that
+    is repeated replaces its files by those of the same names; _SUCCESS says that all are there.
+    """
+    writer = bundled(df, max_bytes).repartition("slice", "bundle").write.mode("overwrite").partitionBy("slice", "bundle")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
 
 
 def alert_channel(alerts: DataFrame, payload: list[str]) -> DataFrame:
