@@ -39,7 +39,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 of their five-word shingles the document with the smallest id, null last.
 
-    Texts without words link; of repeated rows one stays; see `resemblance.one_of_each`.
+    SimHash fingerprints link through pivot distance tables, as in the query, and whole sets decide; what four bits do
+    not link is found by prefixes. Texts without words link; of repeated rows one stays; see `resemblance.one_of_each`.
     """
     few_at_once(spark)
     return resemblance.one_of_each(docs)

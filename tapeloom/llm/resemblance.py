@@ -1,8 +1,10 @@
 """Near copies by the Jaccard similarity of whole texts' word shingles, exact.
 
 Texts link when the sets of their runs of five words have a similarity of at least
-0.8. No radius of fingerprints bounds that, so candidates come from prefixes: of
-sets that similar, each has one of the other's among its first fifth of shingles
+0.8. SimHash fingerprints of these runs come first: rows whose fingerprints link through
+the pivot distance tables of `simhash`, at four bits or fewer, are compared as whole sets,
+and those that are similar are one class from then on. No radius of fingerprints bounds
+the similarity, so what four bits do not link comes from prefixes: of sets that similar, each has one of the other's among its first fifth of shingles
 and one more, whatever the order of shingles, if it is the same for all. The order
 puts shingles last that a sample found to be common, which spares pairs and never
 loses one. A key's members are linked in two turns: with one of them first, then
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
+from tapeloom.llm import simhash
 from tapeloom.llm.common import map_texts, numbered
 from tapeloom.llm.simhash import components
 from tapeloom.session import materialize
@@ -260,6 +263,20 @@ def picked(rows: DataFrame, some: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(few, "row", "left_semi")
 
 
+def near_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `rows` (row, text) whose SimHash fingerprints of five-word shingles link, enough to connect all that do.
+
+    Of a fingerprint the smallest row stands for the others, which pair with it; fingerprints pair as `simhash.links` finds them.
+    """
+    marked = materialize(simhash.fingerprints(rows.select("row", "text"), "text", WIDTH), "fingerprints")
+    first = materialize(marked.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("many")), "firsts")
+    repeated = first.where("many > 1").select("fp", "first")
+    same = joined_to_few(marked, repeated, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_row")) for c in "ab")
+    near = simhash.links(first.select("fp")).join(x, "a").join(y, "b")
+    return same.unionByName(near.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct())
+
+
 def links(rows: DataFrame) -> DataFrame:
     """(a, b): linked rows of `rows` (row, text), a written table; enough to connect whatever is connected."""
     keys = prefixes(rows, *common_shingles(rows, rows.count())).select("hash", "row").repartition("hash").sortWithinPartitions("hash")
@@ -279,7 +296,20 @@ def links(rows: DataFrame) -> DataFrame:
 
     some = picked(rows, materialize(keys.select("row").distinct(), "rows"))
     nodes = materialize(map_texts(some, "text", fields, lambda: described, most=SLICE_BYTES), "nodes")
-    roots, found = nodes.select("row", F.col("row").alias("root")), None
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = kept(pairs, nodes, may_be_alike)
+        members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "rows")
+        sets = map_texts(picked(rows, members), "text", [StructField("value", BinaryType())], lambda: whole, most=SLICE_BYTES)
+        return kept(pairs, materialize(sets, "sets"), alike)
+
+    def classes(edges: DataFrame) -> DataFrame:
+        named = components(edges)
+        return nodes.select("row").join(named, F.col("row") == F.col("node"), "left").select(
+            "row", F.coalesce("root", "row").alias("root"))
+
+    found = similar(near_fingerprints(rows))
+    roots = classes(found)
     counted = keys.groupBy("hash").agg(F.count(F.lit(1)).alias("many"))
     large = materialize(counted.where(F.col("many") > LARGE).select("hash"), "large")
     some_large = not large.isEmpty()
@@ -294,15 +324,9 @@ def links(rows: DataFrame) -> DataFrame:
         near = dealt.mapInArrow(candidates(every), "a long, b long")
         if some_large and not every:
             near = near.unionByName(with_first(keyed, large))
-        pairs = kept(near.distinct(), nodes, may_be_alike)
-        members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "rows")
-        sets = map_texts(picked(rows, members), "text", [StructField("value", BinaryType())], lambda: whole, most=SLICE_BYTES)
-        edges = kept(pairs, materialize(sets, "sets"), alike)
-        found = edges if found is None else found.unionByName(edges)
+        found = found.unionByName(similar(near.distinct()))
         if not every:
-            named = components(edges)
-            roots = nodes.select("row").join(named, F.col("row") == F.col("node"), "left").select(
-                "row", F.coalesce("root", "row").alias("root"))
+            roots = classes(found)
     return found
 
 
