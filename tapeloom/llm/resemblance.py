@@ -4,13 +4,14 @@ Texts link when the sets of their runs of five words have a similarity of at lea
 0.8. SimHash fingerprints of these runs come first: rows whose fingerprints link through
 the pivot distance tables of `simhash`, at four bits or fewer, are compared as whole sets,
 and those that are similar are one class from then on. No radius of fingerprints bounds
-the similarity, so what four bits do not link comes from prefixes: of sets that similar, each has one of the other's among its first fifth of shingles
-and one more, whatever the order of shingles, if it is the same for all. The order
-puts shingles last that a sample found to be common, which spares pairs and never
-loses one. A key's members are linked in two turns: with one of them first, then
-what is not yet connected, pair by pair; a large key in pieces that bound what a task
-holds and compares. Sizes and parity bitmaps discard pairs
-that can't be similar, a pair's longer bitmaps most of the others; whole sets decide on the rest.
+the similarity, so what four bits do not link comes from prefixes: of sets that similar,
+each has one of the other's among its first fifth of shingles and one more, whatever the
+order of shingles, if it is the same for all. The order puts shingles last that a sample
+found to be common, which spares pairs and never loses one. A key's members are linked in
+two turns: with one of them first, then what is not yet connected, pair by pair, each pair
+at the first key it shares; a large key in pieces that bound what a task holds and
+compares. Sizes and parity bitmaps discard pairs that can't be similar, a pair's longer
+bitmaps most of the others; whole sets decide on the rest.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BITMAP = 8
 SLICE_BYTES = 1 << 20
 #: Rows of a key, and of a block of a larger key, that a task compares.
 LARGE = 1 << 13
+#: Of a row's shared keys the smallest, by which a pair is told at the first key it shares and not at each.
+LOWEST = 16
 #: Rows that may be broadcast, as numbers.
 BROADCAST_ROWS = 1 << 20
 
@@ -120,14 +123,16 @@ def similar_sizes(a, b):
 
 
 def candidates(every: bool) -> Callable:
-    """From rows (hash, piece, side, row, root, n, bits) sorted by hash, piece and row: pairs (a, b) that may be similar.
+    """From rows (hash, piece, side, row, root, n, bits, low) sorted by hash, piece and row: pairs (a, b) that may be similar.
 
     Of each (hash, piece) those with its first row, or all of different roots; if it has two sides, those across.
+    A pair of different roots meets at every key it shares, and is left out where both rows have a smaller one
+    in common among their `low`: its first key always tells it.
     """
-    def pairs(side, row, root, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(key, side, row, root, n, bits, low) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if every:  # partners of a similar size follow one another
             order = np.argsort(n, kind="stable")
-            side, row, root, n, bits = side[order], row[order], root[order], n[order], bits[order]
+            side, row, root, n, bits, low = side[order], row[order], root[order], n[order], bits[order], low[order]
             upto, across = np.searchsorted(4 * n, 5 * n, side="right"), side.min() != side.max()
         for i in range(len(row) - 1 if every else 1):
             end = upto[i] if every else len(row)
@@ -136,6 +141,9 @@ def candidates(every: bool) -> Callable:
             at = np.flatnonzero(fits) + i + 1
             differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
             at = at[9 * differ <= n[at] + n[i]]
+            if every and len(at):
+                smaller = low[i][low[i] < key]
+                at = at[~(low[at][:, :, None] == smaller).any(axis=(1, 2))]
             if len(at):
                 yield np.minimum(row[at], row[i]), np.maximum(row[at], row[i])
 
@@ -143,6 +151,13 @@ def candidates(every: bool) -> Callable:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def lowest(column) -> np.ndarray:
+        """A line of LOWEST keys a row; what a row has fewer is filled with a number that no key is larger than."""
+        many = np.diff(column.offsets.to_numpy())
+        lines = np.full((len(many), LOWEST), np.iinfo(np.int64).max)
+        lines[np.arange(LOWEST) < many[:, None]] = column.flatten().to_numpy()
+        return lines
+
     def changes(table) -> np.ndarray:
         h, piece = (table.column(i).to_numpy() for i in range(2))
         return np.flatnonzero((h[1:] != h[:-1]) | (piece[1:] != piece[:-1])) + 1
@@ -152,12 +167,13 @@ def candidates(every: bool) -> Callable:
             side, row, root, n = (table[i].to_numpy() for i in range(2, 6))
             raw = b"".join(table[6].to_pylist())
             bits = np.frombuffer(raw, np.uint64).reshape(-1, BITMAP)
+            key, low = table[0].to_numpy(), lowest(table[7].combine_chunks())
             edge = np.r_[0, changes(table), len(row)]
             found, size = [], 0
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if e - s < 2 or (root[s:e] == root[s]).all():
                     continue
-                for x in pairs(side[s:e], row[s:e], root[s:e], n[s:e], bits[s:e]):
+                for x in pairs(key[s], side[s:e], row[s:e], root[s:e], n[s:e], bits[s:e], low[s:e]):
                     found.append(x)
                     size += len(x[0])
                     if size > 1 << 16:
@@ -221,7 +237,7 @@ def in_pieces(rows: DataFrame, large: DataFrame) -> DataFrame:
     met = joined_to_few(there, materialize(keys, "large"), "hash").withColumn("side", block).withColumn(
         "met", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     piece = F.shiftleft(F.least("side", "met"), 31).bitwiseOR(F.greatest("side", "met"))
-    return met.select("hash", piece.alias("piece"), "side", "row", "root", "n", "bits")
+    return met.select("hash", piece.alias("piece"), "side", *[c for c in rows.columns if c != "hash"])
 
 
 def fine(hashes: np.ndarray) -> bytes:
@@ -314,10 +330,18 @@ def links(rows: DataFrame) -> DataFrame:
     large = materialize(counted.where(F.col("many") > LARGE).select("hash"), "large")
     some_large = not large.isEmpty()
     for every in (False, True):
-        keyed = keys.join(roots.join(nodes.select("row", "n", "bits"), "row"), "row").select("hash", "row", "root", "n", "bits")
+        told = roots.join(nodes.select("row", "n", "bits"), "row")
+        met = keys
+        if every:  # a key of one root has nothing to compare
+            ends = keys.join(roots, "row").groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+            met = joined_to_few(keys, materialize(ends.where("least < most").select("hash"), "mixed"), "hash", "left_semi")
+            told = told.join(keys.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("hash")), 1, LOWEST).alias("low")), "row")
+        else:
+            told = told.withColumn("low", F.array().cast("array<long>"))
+        keyed = met.join(told, "row").select("hash", "row", "root", "n", "bits", "low")
         rest = joined_to_few(keyed, large, "hash", "left_anti") if some_large else keyed
         zero = F.lit(0).cast("long")
-        dealt = rest.select("hash", zero.alias("piece"), zero.alias("side"), "row", "root", "n", "bits")
+        dealt = rest.select("hash", zero.alias("piece"), zero.alias("side"), "row", "root", "n", "bits", "low")
         if some_large and every:
             dealt = dealt.unionByName(in_pieces(keyed, large))
         dealt = dealt.repartition("hash", "piece").sortWithinPartitions("hash", "piece", "row")

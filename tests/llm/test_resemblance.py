@@ -143,3 +143,14 @@ def test_near_copies_come_from_fingerprints_first(spark, near, monkeypatch):
     reached = resemblance.components(pairs).collect()
     root = {row: row for row in texts} | {r.node: r.root for r in reached}
     assert all(root[a] == root[b] for a in texts for b in texts if (prints[a] ^ prints[b]).bit_count() <= 4)
+
+
+def test_a_pair_is_told_at_the_first_key_it_shares(spark):
+    """Every key of a group told all pairs of the group: 3 pairs came 40 times each."""
+    low = list(range(resemblance.LOWEST))
+    rows = [(key, 0, 0, row, row, 50, bytes(8 * resemblance.BITMAP), low) for key in range(40) for row in range(3)]
+    rows += [(key, 0, 0, row, row, 50, bytes(8 * resemblance.BITMAP), [key, 900 + row]) for key in (50, 60) for row in (7, 8)]
+    schema = "hash long, piece long, side long, row long, root long, n long, bits binary, low array<long>"
+    keyed = spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("hash", "piece", "row")
+    told = [tuple(r) for r in keyed.mapInArrow(resemblance.candidates(True), "a long, b long").collect()]
+    assert sorted(told) == [(0, 1), (0, 2), (1, 2), (7, 8), (7, 8)]  # lists that hold no common smaller key leave nothing out
