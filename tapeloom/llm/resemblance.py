@@ -41,8 +41,8 @@ SLICE_BYTES = 1 << 20
 LARGE = 1 << 13
 #: Of a row's shared keys the smallest, by which a pair is told at the first key it shares and not at each.
 LOWEST = 16
-#: Rows that may be broadcast, as numbers.
-BROADCAST_ROWS = 1 << 20
+#: Rows that may be broadcast, as numbers: some 64 bytes each in the driver, which builds the table it sends.
+BROADCAST_ROWS = 1 << 18
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -84,8 +84,8 @@ def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
     sets = map_texts(some, "text", [StructField("hash", ArrayType(LongType()))], lambda: lambda texts: [
         pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], most=SLICE_BYTES)
     counted = sets.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counted.orderBy(F.col("n").desc(), "hash").limit(COMMON).collect()
-    hashes = np.array([r["hash"] for r in found], np.int64).view(np.uint64)
+    found = counted.orderBy(F.col("n").desc(), "hash").limit(COMMON).select("hash").toArrow()
+    hashes = found["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], -order  # the most frequent is the last of all
 

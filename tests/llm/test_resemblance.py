@@ -154,3 +154,12 @@ def test_a_pair_is_told_at_the_first_key_it_shares(spark):
     keyed = spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("hash", "piece", "row")
     told = [tuple(r) for r in keyed.mapInArrow(resemblance.candidates(True), "a long, b long").collect()]
     assert sorted(told) == [(0, 1), (0, 2), (1, 2), (7, 8), (7, 8)]  # lists that hold no common smaller key leave nothing out
+
+
+def test_what_the_driver_builds_to_send_is_small(spark):
+    """pipeline check: up to 2^20 rows were broadcast, tables of 67 MB at 0.5 GB, and the driver took more than its memory."""
+    rows = spark.range(5)
+    for many, sent in ((1 << 10, True), ((1 << 18) + 1, False)):
+        joined = resemblance.joined_to_few(rows, spark.range(many), "id", "left_semi")
+        assert ("strategy=broadcast" in joined._jdf.queryExecution().logical().toString()) == sent
+        assert joined.count() == 5
