@@ -159,11 +159,16 @@ def chosen_entries(toxic: list[str], clean: list[str]) -> dict[str, float]:
     already taken does. A word whose clean use is one phrase may be an entry, with that
     phrase as an exception of opposite weight.
     """
+    least = max(2, min(3, len(toxic) // 8), len(toxic) // 150)
+    seen = Counter()  # by hash, so never too few: most entries are rare, and none of those is held
+    for text in toxic:
+        seen.update({hash(entry) for entry in entries_of(text.split())})
     reached = defaultdict(set)
     for i, text in enumerate(toxic):
         for entry in entries_of(text.split()):
-            reached[entry].add(i)
-    least = max(2, min(3, len(toxic) // 8), len(toxic) // 150)
+            if seen[hash(entry)] >= least:
+                reached[entry].add(i)
+    del seen
     reached = {entry: texts for entry, texts in reached.items() if len(texts) >= least}
     harmless = Counter()
     for text in clean:

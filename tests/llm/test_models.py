@@ -171,3 +171,17 @@ def test_the_sample_is_bounded_and_skips_what_contradicts(spark):
     more = {r.doc_id: r.text.decode() for r in labelled_sample(again, labels, "toxic", ~test, {0: 5, 1: 1000}).collect()}
     assert len(more) == len(got) and more[some] == "a" and all(len(t) < 10 for t in more.values())
     assert not {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+
+
+def test_rare_lexicon_entries_are_not_held():
+    """pipeline check: the driver held a set of texts for every entry of the toxic texts, though most occur once."""
+    import tracemalloc
+
+    toxic = [" ".join(f"{i * 211 + j:x}word{j}" for j in range(200)) + " vile" for i in range(60)]
+    entries = sum(len(toxicity.entries_of(t.split())) for t in toxic)
+    tracemalloc.start()
+    weights = toxicity.chosen_entries(toxic, [f"kind text {i}" for i in range(60)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any("vile".startswith(w.strip()) for w in weights)
+    assert peak < 200 * entries
