@@ -201,9 +201,11 @@ class Index:
 
         part = F.pmod(F.xxhash64("q"), F.lit(batches)).alias("part")
         dealt = materialize(pairs.select("block", part, "q", "floor"), "asked")
-        asked = dealt.join(queries, "q").select("block", "part", "q", "query_id", "v", "floor")
+        # A pair takes about a byte in the file and many in memory, equal vectors likewise, so no broadcast is chosen by a file's size.
+        asked = dealt.hint("merge").join(queries, "q").select("block", "part", "q", "query_id", "v", "floor")
         wanted = dealt.select(F.col("block").alias("wanted"), F.col("part").alias("of")).distinct()
-        held = self.blocks.join(wanted, F.col("block") == F.col("wanted")).select("block", F.col("of").alias("part"), "rid", "id", "v")
+        held = self.blocks.hint("merge").join(wanted, F.col("block") == F.col("wanted")).select(
+            "block", F.col("of").alias("part"), "rid", "id", "v")
         return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(meet, RESULT)
 
 

@@ -243,6 +243,21 @@ def test_a_radius_reaches_its_own_surroundings_only(spark, monkeypatch):
     assert index.reached(asking.drop("radius").selectExpr("*", f"{far}D as radius"), first=False).count() < 12 * blocks / 2
 
 
+def test_top_k_broadcasts_neither_pairs_nor_vectors(spark, monkeypatch):
+    """Their files are small where numbers repeat: 7.4 million pairs took 9 MB and, broadcast, the driver's whole heap."""
+    visits, visit = [], nearest.Index.visit
+    monkeypatch.setattr(nearest.Index, "visit", lambda self, *args: visits.append(visit(self, *args)) or visits[-1])
+    rows = [(i, [float(i % 7), 1.0]) for i in range(300)]
+    got = nearest.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == plain_top(rows, 10)
+    assert len(visits) == 2
+    for found in visits:
+        assert found.count() >= 30
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_top_k_of_few_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = nearest.top_k(table, F.col("vec_id") == 0).collect()
