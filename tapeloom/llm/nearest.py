@@ -13,9 +13,10 @@ distance and the members of each, is at hand in every task, and a query looks up
 cells without a row for each of them. The nearest cells give a query a k-th distance, its
 radius; then it visits every cell whose bound doesn't pass the radius, and no other.
 What is written grows with what the radius reaches. Cells are stored in blocks of a
-bounded number of vectors, so a cell that holds a third of all rows is many blocks, and
-each pair of block and query batch is work of its own; a block is copied only for the
-batches that ask for it.
+bounded number of vectors, so a cell that holds a third of all rows is many blocks. A
+query is sent once to a group of neighbouring blocks, with a bit for each that it asks,
+and each pair of group and query batch is work of its own; a block is copied only for
+the batches that ask for it.
 """
 
 from __future__ import annotations
@@ -39,9 +40,13 @@ SAMPLE = 2048
 BLOCK = 1024
 #: Queries whose cells are looked up at once.
 LOOKED_UP = 64
-#: Queries that meet a block at once.
-QUERY_BATCH = 4096
-NO_ID = np.iinfo(np.int64).max
+#: Blocks, neighbours in the index, that a query is sent to at once: bits of a long.
+GROUP = 16
+#: Queries that are sent to a group of blocks at once, and of them those multiplied with a block at once.
+QUERY_BATCH, MULTIPLIED = 4096, 512
+#: Pairs of group and query batch whose table is broadcast; they are counted first.
+FEW_PAIRS = 1 << 16
+NO_ID, NO_FLOOR = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 RESULT = "q long, query_id long, vec_id long, score long"
 
 
@@ -80,20 +85,32 @@ def fit_pivots(points: np.ndarray, count: int) -> np.ndarray:
 
 
 def products(queries: np.ndarray, vectors: np.ndarray, reach2: float) -> np.ndarray:
-    """Inner products as longs. Doubles are exact below 2^53, and products are bounded by the longest length."""
-    if reach2 < 2**53:
-        return (queries @ vectors.T).astype(np.int64)
-    return queries.astype(np.int64) @ vectors.astype(np.int64).T
-
-
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+    """Inner products, exact: no sum on the way passes the longest length, and floats hold whole numbers up to 2^24 and 2^53."""
+    kind = np.float32 if reach2 < 2**24 else np.float64 if reach2 < 2**53 else np.int64
+    return queries.astype(kind) @ vectors.astype(kind).T
+
+
+def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k highest scores of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows = rows[order]
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    return order[np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows))) < k]
+
+
+def met(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, vectors: np.ndarray, rids: np.ndarray, reach2: float,
+        k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) by position: what reaches a query's floor, its own row aside; without a floor the k best and their ties."""
+    scores = products(queries, vectors, reach2)
+    edge = floors.astype(scores.dtype)
+    bare = np.flatnonzero(floors == NO_FLOOR)
+    if len(bare) and len(rids) > k + 1:  # one more than k, as a query's own row may be among them
+        edge[bare] = np.partition(scores[bare], len(rids) - k - 1, axis=1)[:, len(rids) - k - 1]
+    reaches = scores >= edge[:, None]
+    _, at, there = np.intersect1d(own, rids, assume_unique=True, return_indices=True)
+    reaches[at, there] = False
+    row, column = np.nonzero(reaches)
+    return row, column, scores[row, column].astype(np.int64)
 
 
 class Index:
@@ -131,7 +148,8 @@ class Index:
                                                  names=[*batch.schema.names, "block"])
 
         fields = "rid long, id long, v array<long>, pivot int, range int, far double"
-        keyed = vectors.select("rid", "id", "v").mapInArrow(key, fields)
+        # Written, as the ranges are found in a pass of their own, which then reads three numbers and no vectors.
+        keyed = materialize(vectors.select("rid", "id", "v").mapInArrow(key, fields), "keyed")
         # Equal vectors have equal keys; the row number lets them lie in several parts.
         ordered = keyed.repartitionByRange("pivot", "far", "rid").sortWithinPartitions("pivot", "far", "rid")
         self.blocks = materialize(ordered.mapInArrow(number, f"{fields}, block long"), "index")
@@ -181,32 +199,45 @@ class Index:
         return cells.join(blocks.select("pivot", "range", "block"), ["pivot", "range"]).select("q", "block", "floor")
 
     def visit(self, pairs: DataFrame, queries: DataFrame, batches: int, k: int) -> DataFrame:
-        """The k best of each block for each query in `pairs` (q, block, floor), none below its floor."""
+        """The k best of each group of blocks for each query in `pairs` (q, block, floor), none below its floor."""
         reach2, width = self.reach2, self.width
 
         def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
-            out = [[], [], [], []]
-            if asked.num_rows and held.num_rows:
-                scores = products(matrix(asked["v"], width), matrix(held["v"], width), reach2)
-                ids, rids = held["id"].fill_null(NO_ID).to_numpy(), held["rid"].to_numpy()
-                for row, (q, query_id, floor) in enumerate(zip(
-                        asked["q"].to_pylist(), asked["query_id"].to_pylist(), asked["floor"].to_pylist(), strict=True)):
-                    use = np.flatnonzero((rids != q) & (scores[row] >= (floor if floor is not None else -(2**63))))
-                    use = use[best(scores[row][use], ids[use], k)]
-                    for column, values in zip(out, ([q] * len(use), [query_id] * len(use), ids[use], scores[row][use]), strict=True):
-                        column.extend(values)
-            q, query_id, vec_id, score = (pa.array(c, pa.int64()) for c in out)
-            vec_id = pc.if_else(pc.equal(vec_id, NO_ID), None, vec_id)
-            return pa.table({"q": q, "query_id": query_id, "vec_id": vec_id, "score": score})
+            if not asked.num_rows or not held.num_rows:
+                return pa.table({n: pa.array([], pa.int64()) for n in ("q", "query_id", "vec_id", "score")})
+            vectors, points = matrix(held["v"], width), matrix(asked["v"], width)
+            slot, rids, ids = held["slot"].to_numpy(), held["rid"].to_numpy(), held["id"].fill_null(NO_ID).to_numpy()
+            q, slots, floors = asked["q"].to_numpy(), asked["slots"].to_numpy(), asked["floor"].fill_null(NO_FLOOR).to_numpy()
+            found = []
+            for block in np.unique(slot):
+                members, asking = np.flatnonzero(slot == block), np.flatnonzero(slots >> block & 1)
+                for start in range(0, len(asking), MULTIPLIED):
+                    some = asking[start : start + MULTIPLIED]
+                    row, column, score = met(points[some], q[some], floors[some], vectors[members], rids[members], reach2, k)
+                    row, vec_id = some[row], ids[members[column]]
+                    if len(row) > k * len(some):
+                        few = best(row, vec_id, score, k)
+                        row, vec_id, score = row[few], vec_id[few], score[few]
+                    found.append((row, vec_id, score))
+            row, vec_id, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            few = best(row, vec_id, score, k)
+            row, vec_id, score = row[few], vec_id[few], score[few]
+            return pa.table({"q": pa.array(q[row]), "query_id": asked["query_id"].take(pa.array(row)),
+                             "vec_id": pa.array(vec_id, mask=vec_id == NO_ID), "score": pa.array(score)})
 
         part = F.pmod(F.xxhash64("q"), F.lit(batches)).alias("part")
-        dealt = materialize(pairs.select("block", part, "q", "floor"), "asked")
-        # A pair takes about a byte in the file and many in memory, equal vectors likewise, so no broadcast is chosen by a file's size.
-        asked = dealt.hint("merge").join(queries, "q").select("block", "part", "q", "query_id", "v", "floor")
-        wanted = dealt.select(F.col("block").alias("wanted"), F.col("part").alias("of")).distinct()
-        held = self.blocks.hint("merge").join(wanted, F.col("block") == F.col("wanted")).select(
-            "block", F.col("of").alias("part"), "rid", "id", "v")
-        return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(meet, RESULT)
+        group, slot = F.shiftright("block", GROUP.bit_length() - 1).alias("group"), F.col("block").bitwiseAND(GROUP - 1).cast("int")
+        dealt = materialize(pairs.groupBy(group, part, "q", "floor").agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot)).alias("slots")), "asked")
+        # A row takes about a byte in the file and many in memory, equal vectors likewise, so no broadcast is chosen by a file's size.
+        asked = dealt.hint("merge").join(queries, "q").select("group", "part", "q", "query_id", "v", "floor", "slots")
+        wanted = materialize(dealt.groupBy(F.col("group").alias("wanted"), F.col("part").alias("of")).agg(
+            F.bit_or("slots").alias("slots")), "wanted")
+        wanted = wanted.hint("broadcast" if wanted.count() <= FEW_PAIRS else "merge")
+        blocks = self.blocks.select(group, slot.alias("slot"), "rid", "id", "v")
+        held = blocks.join(wanted, F.col("group") == F.col("wanted")).where(
+            F.call_function("getbit", "slots", "slot") == 1).select("group", F.col("of").alias("part"), "slot", "rid", "id", "v")
+        return asked.groupBy("group", "part").cogroup(held.groupBy("group", "part")).applyInArrow(meet, RESULT)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -243,6 +243,23 @@ def test_a_radius_reaches_its_own_surroundings_only(spark, monkeypatch):
     assert index.reached(asking.drop("radius").selectExpr("*", f"{far}D as radius"), first=False).count() < 12 * blocks / 2
 
 
+@pytest.mark.parametrize("longest", [1 << 8, 1 << 20, 1 << 28])
+@pytest.mark.parametrize("known", [True, False])
+def test_queries_met_by_a_block_are_ranked_exactly(longest, known):
+    """Single and double floats and longs, each exact; own rows left out, ties to the smaller id, no floor or one."""
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-longest, longest, size=(40, 5)).astype(float)
+    vectors[20:30] = vectors[5]
+    whole = [[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in vectors] for a in vectors]
+    ids, rids = rng.permutation(40), np.arange(40)
+    floors = np.array([sorted(row)[30] if known else nearest.NO_FLOOR for row in whole])
+    row, column, score = nearest.met(vectors, rids, floors, vectors, rids, float(max(whole[i][i] for i in range(40))), 6)
+    few = nearest.best(row, ids[column], score, 6)
+    got = [(int(row[i]), int(ids[column[i]]), int(score[i])) for i in few]
+    want = [sorted((-x, ids[m], n) for m, x in enumerate(line) if m != n and x >= floors[n])[:6] for n, line in enumerate(whole)]
+    assert got == [(n, i, -x) for line in want for x, i, n in line]
+
+
 def test_top_k_broadcasts_neither_pairs_nor_vectors(spark, monkeypatch):
     """Their files are small where numbers repeat: 7.4 million pairs took 9 MB and, broadcast, the driver's whole heap."""
     visits, visit = [], nearest.Index.visit
@@ -255,7 +272,9 @@ def test_top_k_broadcasts_neither_pairs_nor_vectors(spark, monkeypatch):
         assert found.count() >= 30
         found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan
+        # Counted before: which batches ask a group of blocks.
+        assert all("wanted#" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
 
 
 def test_top_k_of_few_rows(spark):
